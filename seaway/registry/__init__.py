@@ -33,4 +33,4 @@ def load() -> None:
         import_module(f"seaway.registry.{module}")
 
 
-MODULES = ["scalars"]
+MODULES = ["scalars", "cleaning", "tracks", "spatial"]
