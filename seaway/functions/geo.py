@@ -6,7 +6,7 @@ Columns (lon, lat), so nothing is wrapped in structs until a caller asks for one
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6371008.8
@@ -20,6 +20,16 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x))
 
 
+def let(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that later filters and projections read as values.
+
+    A filter on a plain computed column is pushed down with the whole expression copied into it; chains
+    of great-circle formulas grow out of hand that way. The columns come out of ``inline`` instead, which
+    keeps them computed once and stays in code generation.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))))
+
+
 def km_to_nm(km) -> Column:
     return c(km) / KM_PER_NM
 

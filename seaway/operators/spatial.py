@@ -169,7 +169,8 @@ def points_on_land(points: DataFrame, edges: DataFrame, rule: str = "closed_righ
 
 def edge_vectors(df: DataFrame, p: str, x1, y1, x2, y2) -> DataFrame:
     """Unit vectors of both ends as ``{p}a*``, ``{p}b*`` and their cross product as ``{p}n*``."""
-    df = df.select("*", *geo.point_vec(p + "a", x1, y1), *geo.point_vec(p + "b", x2, y2))
+    ends = {p + e + k: v for e, xy in (("a", (x1, y1)), ("b", (x2, y2))) for k, v in zip("xyz", geo.unit_vector(*xy))}
+    df = geo.let(df, **ends)
     n = geo.cross(geo.vec(p + "a"), geo.vec(p + "b"))
     return df.select("*", *[v.alias(f"{p}n{k}") for v, k in zip(n, "xyz")])
 
@@ -213,15 +214,24 @@ def planar_crossings(segs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def arc_crossings(segs: DataFrame, edges: DataFrame, margin=0.6, with_t: bool = False) -> DataFrame:
-    """Great-circle crossings. ``segs`` has sid, x1, y1, x2, y2 and must not jump the antimeridian."""
+    """Great-circle crossings of segments (sid, x1, y1, x2, y2) with ring edges.
+
+    A segment over the antimeridian runs the short way and is looked up in the boxes on both sides.
+    """
+    m = geo.c(margin)
+    box = lambda a, b: F.struct(a.alias("x0"), b.alias("x1"))
+    plain = F.array(box(F.least("x1", "x2") - m, F.greatest("x1", "x2") + m))
+    both = F.array(box(F.greatest("x1", "x2") - m, F.lit(180.0)), box(F.lit(-180.0), F.least("x1", "x2") + m))
     s = edge_vectors(segs, "_s", "x1", "y1", "x2", "y2")
+    s = s.withColumn("_box", F.explode(F.when(F.abs(F.col("x1") - F.col("x2")) > 180.0, both).otherwise(plain)))
     e = edge_vectors(_edges_as(edges), "_e", "ex1", "ey1", "ex2", "ey2")
-    j = box_join(s, e, _seg_box(margin), _edge_box())
+    lbox = (F.col("_box.x0"), F.least("y1", "y2") - m, F.col("_box.x1"), F.greatest("y1", "y2") + m)
+    j = box_join(s, e, lbox, _edge_box())
     six = [geo.vec(p) for p in ("_sa", "_sb", "_sn", "_ea", "_eb", "_en")]
     j = j.filter(geo.arcs_cross_vec(*six))
     if with_t:
-        j = j.withColumn("t", geo.arc_param_vec(*six))
-    return j.drop(*[f"_{p}{q}{k}" for p in "se" for q in "abn" for k in "xyz"])
+        j = geo.let(j, t=geo.arc_param_vec(*six))
+    return j.drop("_box", *[f"_{p}{q}{k}" for p in "se" for q in "abn" for k in "xyz"])
 
 
 def near_land(segs: DataFrame, edges: DataFrame, margin=0.6) -> DataFrame:

@@ -15,11 +15,12 @@ def build_session(app: str = "seaway", master: str | None = None, shuffle: int |
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
-        builder = builder.master(master)
+        builder = builder.master(master).config("spark.driver.memory", os.environ.get("SEAWAY_DRIVER_MEMORY", "12g"))
     if shuffle:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle))
     return builder.getOrCreate()
