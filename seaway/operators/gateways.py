@@ -93,10 +93,10 @@ def element_at_rank(df: DataFrame, keys: Sequence[str], value: str, order: Seque
 
     x = df.withColumns({f"_o{i}": c for i, c in enumerate(order)})
     cols = [f"_o{i}" for i in range(len(order))]
-    x = number_rows(x, list(keys), cols, F.floor(F.col("_o0") / 8.0), "_rn")
+    x = number_rows(x, list(keys), cols, F.floor(F.col("_o0") / 8.0), "_pos")
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     x = x.join(n, list(keys))
-    pick = lambda q: F.max(F.when(F.col("_rn") - 1 == F.floor(F.col("_n") * q), F.col(value)))
+    pick = lambda q: F.max(F.when(F.col("_pos") - 1 == F.floor(F.col("_n") * q), F.col(value)))
     return x.groupBy(*keys).agg(*[pick(q).alias(k) for k, q in fractions.items()])
 
 

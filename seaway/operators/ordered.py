@@ -27,8 +27,8 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
     counts = x.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     prior = _prior_total(counts, keys, "_bkt", "_n", "_prior")
     w = Window.partitionBy(*keys, "_bkt").orderBy(*order)
-    x = x.withColumn("_rn", F.row_number().over(w)).join(prior, [*keys, "_bkt"])
-    return x.withColumn(out, F.col("_rn").cast("bigint") + F.coalesce("_prior", F.lit(0))).drop("_bkt", "_rn", "_prior")
+    x = x.withColumn("_in_bkt", F.row_number().over(w)).join(prior, [*keys, "_bkt"])
+    return x.withColumn(out, F.col("_in_bkt").cast("bigint") + F.coalesce("_prior", F.lit(0))).drop("_bkt", "_in_bkt", "_prior")
 
 
 def over_blocks(

@@ -98,14 +98,27 @@ VIEWS["v_pairs"] = """
 SELECT o_orderkey AS pair_id, o_custkey AS origin_id, (o_custkey * 13 + o_orderkey) % (1 + (SELECT MAX(c_custkey) FROM {customer})) AS dest_id
 FROM {orders}
 """
-# M7: one gateway per nation
+# M7: one gateway per nation, between the last water row and the first lane row of the lattice
 VIEWS["v_gateways"] = """
-SELECT CAST(n_nationkey AS BIGINT) AS gateway_id, CAST(n_nationkey * 40 + 7 AS BIGINT) AS node_id,
-       n_nationkey * 14 - 168e0 + 0.5e0 AS polar_lon, -50e0 - (n_nationkey % 5) AS polar_lat,
-       n_nationkey * 14 - 168e0 AS global_lon, -49e0 + (n_nationkey % 3) * 0.25e0 AS global_lat,
-       CAST(n_nationkey % 9 AS DOUBLE) AS gap_km,
+SELECT CAST(n_nationkey AS BIGINT) AS gateway_id, r * 40 + col AS node_id, (r + 1) * 40 + col AS vertex_id,
+       col * 9e0 - 180e0 AS polar_lon, r * 45e0 / nr - 85e0 AS polar_lat,
+       col * 9e0 - 180e0 AS global_lon, (r + 1) * 45e0 / nr - 85e0 AS global_lat, CAST(n_nationkey % 9 AS DOUBLE) AS gap_km,
        CASE WHEN n_regionkey <= 1 THEN 'ATLANTIC' WHEN n_regionkey <= 3 THEN 'INDIAN' ELSE 'PACIFIC' END AS sector
-FROM {nation}
+FROM (SELECT n_nationkey, n_regionkey, CAST((n_nationkey * 3) % 40 AS BIGINT) AS col, 1 + FLOOR((SELECT MAX(c_custkey) FROM {customer}) / 40e0) AS nr,
+             CAST(FLOOR(35e0 / 45e0 * (1 + FLOOR((SELECT MAX(c_custkey) FROM {customer}) / 40e0))) AS BIGINT) AS r FROM {nation}) g
+"""
+# M6: lattice over the mesh nodes: next column (around the globe) and next row, closed nodes without edges
+VIEWS["v_lattice"] = """
+SELECT a.node_id AS src, b.node_id AS dst, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2
+FROM (SELECT node_id, lon, lat, CAST(CASE WHEN node_id % 40 = 39 THEN node_id - 39 ELSE node_id + 1 END AS BIGINT) AS other FROM {v_mesh_nodes}
+      UNION ALL SELECT node_id, lon, lat, node_id + 40 FROM {v_mesh_nodes}) a
+JOIN {v_mesh_nodes} b ON b.node_id = a.other JOIN {customer} p ON p.c_custkey = a.node_id JOIN {customer} q ON q.c_custkey = b.node_id
+WHERE p.c_acctbal >= 0 AND q.c_acctbal >= 0
+"""
+# F-pairs: a short list of route requests, one per supplier
+VIEWS["v_requests"] = """
+SELECT s_suppkey AS pair_id, (s_suppkey * 37 + 5) % (1 + (SELECT MAX(c_custkey) FROM {customer})) AS origin_id,
+       (s_suppkey * 91 + 250) % (1 + (SELECT MAX(c_custkey) FROM {customer})) AS dest_id FROM {supplier}
 """
 # F-ports-raw: dirty text rows
 VIEWS["v_raw_rows"] = """
