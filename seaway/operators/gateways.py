@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seaway.functions import classify, geo
 from seaway.operators import graph as g
 from seaway.operators import spatial as sp
+from seaway.session import cut
 
 # a gateway catalogue up to this size is sent to every task; see sector_top
 MAX_BROADCAST = 20_000
@@ -21,7 +22,7 @@ def _pair_checks(nodes: DataFrame, vertices: DataFrame, ring_edges: DataFrame, m
     gap = F.abs(F.col("lon") - F.col("tlon"))
     near = sp.knn(nodes, "node_id", v, "vertex_id", 1, [max_km / 4.0, max_km], keep=(gap <= max_lon) | (gap >= 360.0 - max_lon))
     pos = nodes.select("node_id", F.col("lon").alias("x1"), F.col("lat").alias("y1"))
-    pair = near.select("node_id", "vertex_id", "km").join(pos, "node_id").join(v, "vertex_id").withColumnsRenamed({"tlon": "x2", "tlat": "y2"})
+    pair = cut(near.select("node_id", "vertex_id", "km").join(pos, "node_id").join(v, "vertex_id").withColumnsRenamed({"tlon": "x2", "tlat": "y2"}))
     blocked = sp.blocked_sight(pair.select(F.col("node_id").alias("sid"), "x1", "y1", "x2", "y2"), ring_edges)
     wet = sp.points_on_land(pair.select(F.col("vertex_id").alias("pid"), F.col("x2").alias("lon"), F.col("y2").alias("lat")).distinct(), ring_edges, "half_open")
     flag = lambda df, key, name: df.select(F.col(df.columns[0]).alias(key), F.lit(True).alias(name))
@@ -130,6 +131,7 @@ def corridor_benchmark(nodes: DataFrame, vertices: DataFrame, ring_edges: DataFr
     near = sp.knn(pts, "node_id", tv, "vertex_id", 1, [max_km / 4.0, max_km], keep=same)
     pair = near.select("node_id", "vertex_id", "km").join(pts.select("node_id", F.col("lon").alias("x1"), F.col("lat").alias("y1")), "node_id").join(
         tv.select("vertex_id", F.col("tlon").alias("x2"), F.col("tlat").alias("y2")), "vertex_id")
+    pair = cut(pair)
     blocked = sp.blocked_sight(pair.select(F.col("node_id").alias("sid"), "x1", "y1", "x2", "y2"), ring_edges).select(F.col("sid").alias("node_id"), F.lit(True).alias("blocked"))
     vland = sp.points_on_land(tv.select(F.col("vertex_id").alias("pid"), F.col("tlon").alias("lon"), F.col("tlat").alias("lat")), ring_edges, "half_open").select(
         F.col("pid").alias("vertex_id"), F.lit(True).alias("vertex_land"))
@@ -141,7 +143,9 @@ def corridor_benchmark(nodes: DataFrame, vertices: DataFrame, ring_edges: DataFr
     state = (F.when(~F.col("primary"), "other").when(yes("on_land"), "land").when(F.col("km").isNull(), "far").when(yes("vertex_land"), "land")
              .when(yes("blocked"), "sight").otherwise("ok"))
     x = x.withColumns({"state": state, "sector": classify.ocean_sector("lon")})
+    x = cut(x)
     ok = x.filter("state = 'ok'").groupBy("band", "lon", "lat").agg(F.min_by(F.struct("km", "land_km", "sector"), "node_id").alias("r")).select("band", "r.*")
+    ok = cut(ok)
     head = x.groupBy("band").agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if("primary").alias("primary_nodes"), F.count_if(F.col("state") == "far").alias("too_far"),
         F.count_if(F.col("state") == "land").alias("land_hits"), F.count_if(F.col("state") == "sight").alias("sight_blocked"))

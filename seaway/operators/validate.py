@@ -9,6 +9,7 @@ from seaway.functions import geo
 from seaway.operators import spatial as sp
 from seaway.operators.ordered import ends
 from seaway.operators.tracks import legs
+from seaway.session import cut
 
 
 def _outside_dock(x, y, tol) -> Column:
@@ -24,7 +25,7 @@ def unsafe_segments(segs: DataFrame, edges: DataFrame) -> DataFrame:
     ``tol_km`` of the dock is allowed; without a dock an edge start closer than ``clear_km`` is not.
     """
     s = sp.split_antimeridian(segs)
-    s = s.filter((F.abs(F.col("x1") - F.col("x2")) >= 1e-6) | (F.abs(F.col("y1") - F.col("y2")) >= 1e-6))
+    s = cut(s.filter((F.abs(F.col("x1") - F.col("x2")) >= 1e-6) | (F.abs(F.col("y1") - F.col("y2")) >= 1e-6)))
     margin = F.greatest(F.lit(0.6), F.greatest("tol_km", "clear_km") * 1.5 / 111.0)
     cross = sp.arc_crossings(s, edges, margin, with_t=True)
     cx, cy = geo.slerp("x1", "y1", "x2", "y2", "t")
@@ -49,7 +50,7 @@ def safe_segments(segs: DataFrame, edges: DataFrame) -> DataFrame:
 def unsafe_arcs(arcs: DataFrame, edges: DataFrame, step_km: float = 75.0) -> DataFrame:
     """sids of great-circle arcs ``(sid, x1, y1, x2, y2, clear_km)`` that touch land or break the clearance."""
     km = geo.haversine_km("x1", "y1", "x2", "y2")
-    a = arcs.select("sid", "x1", "y1", "x2", "y2", "clear_km").withColumn("_n", F.greatest(F.lit(1), F.ceil(km / step_km)).cast("int"))
+    a = cut(arcs.select("sid", "x1", "y1", "x2", "y2", "clear_km")).withColumn("_n", F.greatest(F.lit(1), F.ceil(km / step_km)).cast("int"))
     long = a.filter(km > 80.0).select("*", F.explode(F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75)])).alias("_t"))
     lon, lat = geo.slerp("x1", "y1", "x2", "y2", "_t")
     long = geo.let(long.withColumn("pid", F.struct("sid", "_t")), lon=lon, lat=lat).select("pid", "lon", "lat")
@@ -93,6 +94,7 @@ def failing_segments(points: DataFrame, route_ends: DataFrame, edges: DataFrame)
     margin = F.greatest(F.lit(0.6), F.col("tol_km") * 1.5 / 111.0)
     flat = F.abs(F.col("x1") - F.col("x2")) <= 180.0
     x = sp.near_land(x.filter(flat), edges, margin).unionByName(x.filter(~flat).select("sid", *[c for c in x.columns if c != "sid"]))
+    x = cut(x)
     step = geo.clamp(20.0 * F.cos(F.radians((F.col("y1") + F.col("y2")) / 2.0)), 2.5, 15.0)
     x = x.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("leg_km") / step)).cast("int"))
     s = x.select("sid", "x1", "y1", "x2", "y2", "terminal", F.when(F.col("terminal"), F.col("dock.lon")).alias("dock_x"),
@@ -102,14 +104,15 @@ def failing_segments(points: DataFrame, route_ends: DataFrame, edges: DataFrame)
     mx, my = geo.slerp("x1", "y1", "x2", "y2", (F.col("k") - 0.5) / F.col("_n"))
     s = geo.let(s, a=p[0], b=p[1], c=q[0], d=q[1], lon=mx, lat=my).drop("x1", "y1", "x2", "y2")
     s = s.withColumnsRenamed({"a": "x1", "b": "y1", "c": "x2", "d": "y2"})
-    cut = sp.arc_crossings(s.drop("lon", "lat"), edges, F.greatest(F.lit(0.6), F.col("tol_km") * 1.5 / 111.0), with_t=True)
+    s = cut(s)
+    hits = sp.arc_crossings(s.drop("lon", "lat"), edges, F.greatest(F.lit(0.6), F.col("tol_km") * 1.5 / 111.0), with_t=True)
     cx, cy = geo.slerp("x1", "y1", "x2", "y2", "t")
-    cut = geo.let(cut, cx=cx, cy=cy).filter(F.col("t").isNull() | _outside_dock("cx", "cy", "tol_km"))
-    cut = cut.select("sid", F.struct("k", F.lit(1).alias("kind")).alias("hit"))
+    hits = geo.let(hits, cx=cx, cy=cy).filter(F.col("t").isNull() | _outside_dock("cx", "cy", "tol_km"))
+    hits = hits.select("sid", F.struct("k", F.lit(1).alias("kind")).alias("hit"))
     m = s.filter(_outside_dock("lon", "lat", "tol_km"))
     inside = sp.points_in_rings(m.select(F.struct("sid", "k").alias("pid"), "lon", "lat"), edges)
     inside = inside.select("pid.sid", F.struct(F.col("pid.k").alias("k"), F.lit(2).alias("kind")).alias("hit"))
-    first = cut.unionByName(inside).groupBy("sid").agg(F.min("hit").alias("hit"))
+    first = hits.unionByName(inside).groupBy("sid").agg(F.min("hit").alias("hit"))
     tol = F.format_string("%.1f", "tol_km")
     reason = (F.when(F.col("terminal") & (F.col("hit.kind") == 1),
                      F.concat(F.lit("Terminal harbor approach segment crosses land/peninsula beyond "), tol, F.lit(" km dock tolerance")))

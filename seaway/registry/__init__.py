@@ -33,4 +33,4 @@ def load() -> None:
         import_module(f"seaway.registry.{module}")
 
 
-MODULES = ["scalars", "cleaning", "tracks", "spatial", "safety", "graphs", "places", "routing"]
+MODULES = ["scalars", "cleaning", "tracks", "spatial", "safety", "graphs", "places", "routing", "flows"]

@@ -12,7 +12,8 @@ from seaway.registry import register
 from seaway.registry import sqltext as S
 from seaway.registry.graphs import components, mesh
 from seaway.registry.places import SNAP, rnd, snapped
-from seaway.registry.spatial import ring_edges
+from seaway.operators.validate import unsafe_arcs
+from seaway.registry.spatial import ring_edges, route_segs
 from seaway.session import cut
 from seaway.views import table, view
 
@@ -121,7 +122,7 @@ def assemble_polyline(spark, sf):
 
 
 def _routes(spark, sf):
-    return view(spark, sf, "v_routes")
+    return cut(view(spark, sf, "v_routes"))
 
 
 @register("string_pull")
@@ -141,11 +142,11 @@ def fillet(spark, sf):
 
 @register("detour_repair")
 def detour_repair(spark, sf):
-    """Detours for the unsafe legs of the requests' straight lines."""
-    r = pair_requests(spark, sf, "v_requests").filter("a_id != b_id")
-    legs = r.select(F.struct(F.col("pair_id").alias("route_id"), F.lit(1).cast("bigint").alias("seq")).alias("sid"), F.col("a_lon").alias("x1"), F.col("a_lat").alias("y1"),
-                    F.col("b_lon").alias("x2"), F.col("b_lat").alias("y2"))
-    return sm.detour_repair(legs, ring_edges(spark, sf)).select("sid.route_id", "pos", "lon", "lat")
+    """Detours for the unsafe legs of all routes."""
+    e = ring_edges(spark, sf)
+    legs = cut(route_segs(spark, sf))
+    bad = legs.join(unsafe_arcs(legs.withColumn("clear_km", F.lit(0.0)), e), "sid", "left_semi")
+    return sm.detour_repair(cut(bad), e)
 
 
 @register("terminal_approaches")
