@@ -89,7 +89,7 @@ def _track_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.filter("line != ''")
     head = raw.groupBy("track_id").agg(F.min_by("line", "pos").alias("header"), F.min("pos").alias("hpos"))
     return raw.join(head, "track_id").filter("pos != hpos").select(
-        "track_id", "pos", F.transform(F.split("line", ","), F.trim).alias("parts"), F.split("header", ",").alias("header"))
+        "track_id", "pos", F.transform(F.split("line", ","), lambda v: F.trim(v)).alias("parts"), F.split("header", ",").alias("header"))
 
 
 def read_drift_tracks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -97,7 +97,7 @@ def read_drift_tracks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
     Lines with another column count than the header, or without a usable fix, are rejected.
     """
-    x = _track_lines(spark, path).withColumn("header", F.transform("header", F.lower))
+    x = _track_lines(spark, path).withColumn("header", F.transform("header", lambda v: F.lower(v)))
     same = F.size("parts") == F.size("header")
     x = x.withColumn("row", F.when(same, F.map_from_arrays("header", "parts")))
     fix = lambda n: (clean.to_double(F.col("row").getItem(f"{n}_1")), clean.to_double(F.col("row").getItem(f"{n}_2")))
