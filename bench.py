@@ -10,7 +10,7 @@ from seaway import registry
 from seaway.session import build_session
 
 HEADLINE = ["route_length", "quality_metrics", "voyage_profile", "points_in_rings", "radius_join", "nearest_within_cells",
-            "audit_hazards", "validate_routes", "connected_components", "shortest_paths", "reconcile", "classify_pairs"]
+            "audit_hazards", "reconcile"]
 
 
 def main() -> None:
