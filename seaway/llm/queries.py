@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaway.llm import quality, toxicity
+from seaway.llm import language, quality, toxicity
 from seaway.llm.texts import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,15 @@ def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("route_id").alias("doc_id"), (remainder("route_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), F.col("is_good").cast("int").alias("predicted"))
 
 
+@query
+def op3_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    plans = plans_of(docs)
+    model = language.fit_language(docs.filter(remainder("doc_id", 4) != 2).select(F.col("doc_id").alias("route_id"), F.col("text").alias("plan_text"), "lang"))
+    x = language.predict_language(plans, model)
+    return x.select(F.col("route_id").alias("doc_id"), (remainder("route_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 @query
 def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = plans_of(table(spark, sf_dir, "documents"))

@@ -10,6 +10,7 @@ passage plans (``route_id``, ``plan_text``).
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -18,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from seaway.llm.texts import as_text, code_points, graded_sample, letter_table, logistic_1d, sigmoid
 from seaway.session import cut
@@ -104,6 +106,17 @@ def folded_words(text: str) -> tuple[str, int]:
     return as_text(x), max(0, int((x == 32).sum()) - 1)
 
 
+@F.pandas_udf(LongType())
+def _family(texts: pd.Series) -> pd.Series:
+    """The least hash of a text's three-word shingles: near copies nearly always share it."""
+
+    def least(text: str) -> int:
+        w = fold(text).split()
+        return min((zlib.crc32(" ".join(x).encode("utf-8", "surrogatepass")) for x in zip(w, w[1:], w[2:], strict=False)), default=zlib.crc32(" ".join(w).encode("utf-8", "surrogatepass")))
+
+    return pd.Series([least(t) for t in texts], dtype="int64")
+
+
 def _terms(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Plans of each class that hold a term, summed within the batch: whole words and word beginnings."""
     for pdf in batches:
@@ -134,14 +147,15 @@ def fit_toxicity(plans: DataFrame, grades: DataFrame, plan_id: str = "route_id",
     """Learn the lexicon, the exception phrases and the curve from graded plans.
 
     ``grades(plan_id, grade)`` marks plans with 1 (toxic) or 0. The fit reads at most ``per_class`` plans of each class,
-    chosen by a hash of their id (the documented bound). A word, or a word beginning of 4 to 8 letters, enters the lexicon
-    if at least ``support`` toxic plans, and ``share`` of them, hold it (words of one group of copies do not) and its log odds
-    reach ``least_weight``; of nested beginnings the shortest
+    chosen by a hash of their id (the documented bound), and of near copies only one, so that chance words of a copied
+    plan gain no support. A word, or a word beginning of 4 to 8 letters, enters the lexicon
+    if at least ``support`` toxic plans, and ``share`` of them, hold it and its log odds reach ``least_weight``; of nested beginnings the shortest
     whose odds are about as good stays; at most ``entries`` of the strongest are kept. A two-word phrase around a lexicon
     word becomes an exception if at least ``support`` clean plans and no toxic plan hold it. Without toxic or clean
     examples the model has no entries and scores every text alike, below one half.
     """
-    sample = cut(graded_sample(plans, grades, grade, per_class, plan_id, plan_text))
+    sample = graded_sample(plans, grades, grade, per_class, plan_id, plan_text).withColumn("family", _family("plan_text"))
+    sample = cut(sample.groupBy("grade", "family").agg(F.min("plan_text").alias("plan_text")).select("plan_text", "grade"))
     sizes = {r[0]: r[1] for r in sample.groupBy("grade").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
