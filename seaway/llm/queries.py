@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaway.llm import language, quality, toxicity
+from seaway.llm import language, mixing, private, quality, toxicity
 from seaway.llm.texts import remainder
+from seaway.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,10 @@ def query(fn):
     return fn
 
 
+def oracle(name: str, sql: str) -> None:
+    ORACLES[name] = sql
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,3 +62,40 @@ def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit_toxicity(plans, learnable(spark, sf_dir))
     x = toxicity.score_toxicity(plans, model)
     return x.select(F.col("route_id").alias("doc_id"), (remainder("route_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), F.col("is_toxic").cast("int").alias("predicted"))
+
+
+@query
+def op8_private_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = private.pseudonymise(plans_of(table(spark, sf_dir, "documents")))
+    return x.select(F.col("route_id").alias("doc_id"), F.col("plan_text").alias("text"), F.array_join("private_kinds", ",").alias("kinds"))
+
+
+@query
+def op10_mixing_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    plans = docs.select(F.col("doc_id").alias("route_id"), F.col("text").alias("plan_text"), "source")
+    narrow = cut(mixing.measure(plans).drop("plan_text"))
+    x = mixing.take(narrow, mixing.quotas(narrow))
+    return x.select(F.col("route_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+oracle("op10_mixing_exponential", """
+WITH m AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         CASE WHEN length(coalesce(text, '')) > 0
+              THEN 0.05e0 + 0.95e0 * (CAST(length(translate(text, '0123456789#$%&*!|=<>@^~_{}[]\\', '')) AS DOUBLE) / CAST(length(text) AS DOUBLE)) ELSE 0.05e0 END AS w,
+         (CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5e0) / 4503599627370496e0 AS u
+  FROM documents),
+k AS (SELECT doc_id, source, size, -ln(u) / w AS k FROM m),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM k GROUP BY source),
+l AS (SELECT *, CASE r % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, 2e0 * s AS f, 2e0 * s / (CASE r % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END) AS lev FROM s),
+c AS (SELECT *, (1.5e0 * CAST(sum(s) OVER () AS DOUBLE) - coalesce(sum(f) OVER b, 0e0)) / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS tr
+      FROM l WINDOW b AS (ORDER BY lev, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT arg_min(tr, lev) AS tr FROM c WHERE tr < lev),
+t AS (SELECT source, s, CASE WHEN a.tr IS NULL THEN f ELSE least(f, a.tr * w) END AS target FROM c LEFT JOIN a ON TRUE),
+q AS (SELECT *, CASE WHEN s > 0 THEN CAST(floor(target / s) AS BIGINT) ELSE 0 END AS e FROM t),
+p AS (SELECT k.doc_id, k.size, q.s AS source_size, q.target, q.e, CAST(round(q.target) AS BIGINT) - q.e * q.s AS budget,
+             coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, CAST(e * size + greatest(0, least(size, budget - before)) AS BIGINT) AS taken FROM p
+""")
