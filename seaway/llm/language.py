@@ -24,6 +24,7 @@ from seaway.session import cut
 BITS = 13  # n-grams are hashed into 2**BITS slots
 SLOTS = 1 << BITS
 SLICE = 1 << 20  # code points worked on at a time
+BROADCAST_LANGS = 10_000  # more languages than these are joined by shuffle
 GROUP = 128  # texts compared with the centroids at a time
 
 
@@ -140,8 +141,10 @@ def fit_language(plans: DataFrame, plan_id: str = "route_id", plan_text: str = "
     idf = (np.log((1 + total) / (1 + df)) + 0.1).astype(np.float32)
 
     narrow = x.select("_id", "_l")
+    # a handful of languages is broadcast, so that texts stay where they are; the count is checked
     share = narrow.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")).select("_l", F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("_n")).alias("_share"))
     chance = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGS else share
     chosen = x.join(share, "_l").filter(chance < F.col("_share")).select("_t", "_l")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
