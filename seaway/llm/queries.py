@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaway.llm import language, mixing, private, quality, toxicity
+from seaway.llm import language, mixing, near_copies, private, quality, toxicity
 from seaway.llm.texts import remainder
 from seaway.session import cut
 
@@ -70,6 +70,29 @@ def op8_private_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("route_id").alias("doc_id"), F.col("plan_text").alias("text"), F.array_join("private_kinds", ",").alias("kinds"))
 
 
+@query
+def op9_near_copies_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = near_copies.near_copies(plans_of(table(spark, sf_dir, "documents")), words=2, percent=80)
+    return x.withColumnRenamed("route_id", "doc_id")
+
+
+oracle("op9_near_copies_hamming", """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+             ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM w),
+c AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT id, n, unnest(s) AS g FROM c),
+p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.g = b.g AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a AS id, min(b) AS m FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.m, s.doc_id) AS component_id, s.doc_id = coalesce(m.m, s.doc_id) AS kept
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON m.id = c.id
+""")
+
+
 @query
 def op10_mixing_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
