@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaway.llm import language, mixing, near_copies, private, quality, toxicity
+from seaway.llm import fingerprints, language, mixing, near_copies, private, quality, toxicity
 from seaway.llm.texts import remainder
 from seaway.session import cut
 
@@ -56,6 +56,12 @@ def op3_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("route_id").alias("doc_id"), (remainder("route_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+@query
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = fingerprints.edited_fingerprints(plans_of(table(spark, sf_dir, "documents")))
+    return x.withColumnRenamed("route_id", "doc_id")
+
+
 @query
 def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = plans_of(table(spark, sf_dir, "documents"))
