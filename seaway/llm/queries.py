@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaway.llm import fingerprints, language, mixing, near_copies, private, quality, toxicity
+from seaway.llm import fingerprints, language, mixing, near_copies, private, quality, token_files, toxicity
 from seaway.llm.texts import remainder
-from seaway.session import cut
+from seaway.session import cut, ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +48,15 @@ def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("route_id").alias("doc_id"), (remainder("route_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), F.col("is_good").cast("int").alias("predicted"))
 
 
+@query
+def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(plans_of(table(spark, sf_dir, "documents")), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read_token_files(spark, path).withColumnRenamed("route_id", "doc_id")
+
+
 @query
 def op3_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
