@@ -5,9 +5,9 @@ principle two signatures with at most ``chunks * (errors + 1) - 1`` differing sy
 differing ones. Every chunk is therefore indexed once for each choice of ``errors`` symbols left out, and all pairs within
 that distance share a key. Pairs that share a key are confirmed on their full shingle sets.
 
-Of a bucket not all pairs are tried: each member is first compared with one leader, components are formed, and then only
-members of different components are compared, so a group of thousands of near copies costs about its size and no link
-between different components is lost.
+Of a bucket not all pairs are tried: each member is first compared with one leader, then those outside the largest component
+with a few members of it, and at last all pairs of different components that can be links by the shingles they alone hold.
+A group of thousands of near copies costs about its size, and no link between different components is lost.
 
 Records: the engine stores no free remarks, so the operator runs on any (id, text) table; its defaults are those of
 passage plans (``route_id``, ``plan_text``).
@@ -27,10 +27,14 @@ from seaway.llm.shingles import mix, shingle_set
 from seaway.operators.graph import connected_components
 from seaway.session import cut
 
-CHUNKS, SYMBOLS, ERRORS = 14, 6, 1  # 84 symbols: every pair with at most 27 different ones is found, and nearly all others that are alike
+CHUNKS, SYMBOLS, ERRORS = 12, 6, 1  # 72 symbols: every pair with at most 23 different ones shares a key, and nearly all others that are alike
+FAR = 34  # more different symbols than these are no link: at 80 percent 14.4 are expected, with a deviation of 3.4
 SYMBOL = np.uint16
 BROADCAST_IDS = 1_000_000  # ids of candidate texts that are broadcast; more are joined by shuffle
-ROUNDS = 6
+BROADCAST_KEYS = 2_000_000  # keys of larger buckets that are broadcast; more are joined by shuffle
+BROADCAST_SHINGLES = 4_000_000  # shingles of candidate sets (32 MB) that are broadcast; more are joined by shuffle
+LEADERS, LEADER_ROUNDS = 4, 2
+FEW = 8  # members of a bucket whose pairs are simply all compared
 _SEEDS = mix(np.arange(1, CHUNKS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
@@ -76,8 +80,8 @@ def shingle_signatures(plans: DataFrame, words: int, plan_id: str = "route_id",
     return x.mapInPandas(made, f"id {kind}, n_shingles long, set_key binary, signature binary")
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, id, n) of every class under every key of its signature."""
+def _keys(classes: DataFrame) -> DataFrame:
+    """(key, id) of every class under every key of its signature."""
     kind = classes.schema["id"].dataType.simpleString()
 
     def made(batches):
@@ -85,30 +89,114 @@ def _buckets(classes: DataFrame) -> DataFrame:
             for i in range(0, len(pdf), 2000):
                 part = pdf[i : i + 2000]
                 sig = np.frombuffer(b"".join(part.signature), SYMBOL).reshape(len(part), -1)
-                yield pd.DataFrame({"id": part["id"], "n": part["n"], "keys": list(chunk_keys(sig).view(np.int64))})
-
-    x = classes.select("id", "n", "signature").mapInPandas(made, f"id {kind}, n long, keys array<long>")
-    return x.select(F.explode("keys").alias("key"), "id", "n")
-
-
-def _confirm(pairs: DataFrame, plans: DataFrame, words: int, percent: int, plan_id: str, plan_text: str) -> DataFrame:
-    """Of candidate pairs (a, b) those whose full shingle sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    kind = plans.schema[plan_id].dataType.simpleString()
-
-    def made(batches):
-        for pdf in batches:
-            for i in range(0, len(pdf), 500):
-                part = pdf[i : i + 500]
-                yield pd.DataFrame({"id": part["id"], "s": [shingle_set(t, words).view(np.int64) for t in part["text"]]})
-
-    x = plans.select(F.col(plan_id).alias("id"), F.col(plan_text).alias("text")).join(ids, "id", "left_semi")
-    sets = cut(x.mapInPandas(made, f"id {kind}, s array<long>"))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("t")).filter(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("t") - F.col("c"))).select("a", "b")
+                yield pd.DataFrame({"id": part["id"], "keys": list(chunk_keys(sig).view(np.int64))})
+
+    x = classes.select("id", "signature").mapInPandas(made, f"id {kind}, keys array<long>")
+    return x.select(F.explode("keys").alias("key"), "id")
+
+
+def _small(x: DataFrame, most: int) -> DataFrame:
+    """``x`` marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(x) if x.count() <= most else x
+
+
+class _Search:
+    """The links between classes of equal sets, found step by step. ``groups``: (id, component_id) so far."""
+
+    def __init__(self, plans: DataFrame, classes: DataFrame, words: int, percent: int, plan_id: str, plan_text: str):
+        self.plans = plans.select(F.col(plan_id).alias("id"), F.col(plan_text).alias("text"))
+        self.classes, self.words, self.percent = classes, words, percent
+        self.kind = classes.schema["id"].dataType.simpleString()
+        self.groups = classes.select("id", F.col("id").alias("component_id")).distinct()
+
+    def fits(self, common, na, nb):
+        """The similarity test for a given size of the intersection."""
+        return F.lit(100) * common >= F.lit(self.percent) * (na + nb - common)
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, s): the full shingle sets of some texts."""
+        words = self.words
+
+        def made(batches):
+            for pdf in batches:
+                for i in range(0, len(pdf), 500):
+                    part = pdf[i : i + 500]
+                    yield pd.DataFrame({"id": part["id"], "s": [shingle_set(t, words).view(np.int64) for t in part["text"]]})
+
+        x = self.plans.join(_small(ids, BROADCAST_IDS), "id", "left_semi")
+        return x.mapInPandas(made, f"id {self.kind}, s array<long>")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that can still be links by their sizes and by the distance of their signatures."""
+        c = self.classes.select("id", "n", "signature")
+        x = pairs.join(c.withColumnsRenamed({"id": "a", "n": "na", "signature": "sa"}), "a").join(c.withColumnsRenamed({"id": "b", "n": "nb", "signature": "sb"}), "b")
+        x = x.filter(self.fits(F.least("na", "nb"), F.col("na"), F.col("nb")))
+
+        def made(batches):
+            for pdf in batches:
+                if len(pdf):
+                    one, two = (np.frombuffer(b"".join(pdf[c]), SYMBOL).reshape(len(pdf), -1) for c in ("sa", "sb"))
+                    yield pdf.loc[(one != two).sum(axis=1) <= FAR, ["a", "b", "na", "nb"]]
+
+        return x.mapInPandas(made, f"a {self.kind}, b {self.kind}, na long, nb long")
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Compare pairs (a, b) on their full sets and join the components of those that are links."""
+        pairs = cut(self.near(pairs))
+        ids = cut(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("e")).select("e.*").distinct())
+        total = ids.agg(F.sum("n")).first()[0] or 0
+        if not total:
+            return
+        sets = cut(self.sets(ids.select("id")))
+        sets = F.broadcast(sets) if total <= BROADCAST_SHINGLES else sets
+        x = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+        links = x.filter(self.fits(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b")
+        g = self.groups
+        ends = links.join(g.withColumnsRenamed({"id": "a", "component_id": "src"}), "a").join(g.withColumnsRenamed({"id": "b", "component_id": "dst"}), "b")
+        ends = cut(ends.filter("src <> dst").select("src", "dst").distinct())
+        nodes = ends.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+        named = connected_components(nodes, ends).select(F.col("component_id").alias("new"), F.col("node_id").alias("component_id"))
+        self.groups = cut(g.join(named, "component_id", "left").select("id", F.coalesce("new", "component_id").alias("component_id")))
+
+    def open(self, members: DataFrame) -> DataFrame:
+        """The rows of buckets that still hold several components, with ``main``: whether the row is of the bucket's largest one."""
+        x = members.join(self.groups, "id")
+        size = x.groupBy("key", "component_id").agg(F.count(F.lit(1)).alias("c"))
+        size = size.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component_id")).alias("top"), F.sum("c").alias("m")).filter("parts > 1")
+        return cut(x.join(size.select("key", "m", F.col("top.component_id").alias("top")), "key").withColumn("main", F.col("component_id") == F.col("top")).drop("top"))
+
+    def to_leaders(self, live: DataFrame, number: int) -> DataFrame:
+        """Every row outside the main component of its bucket paired with a few members of it, the same few in many buckets."""
+        lead = live.filter("main").groupBy("key").agg(*[F.min_by("id", F.xxhash64("id", F.lit(number * LEADERS + i))).alias(f"l{i}") for i in range(LEADERS)])
+        lead = lead.select("key", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("lead"))
+        return ordered(live.filter("not main").select("key", "id").join(lead, "key"), "id", "lead")
+
+    def rest(self, live: DataFrame) -> DataFrame:
+        """All pairs of different components that share a bucket and can be links.
+
+        A shingle that only one component has cannot be common with another one. With ``u`` such shingles, a text shares at most
+        ``n - u`` with any text outside, which rules out nearly all members of a large bucket that no longer belong to its
+        main component; what remains is compared in full.
+        """
+        ids = live.filter(f"m > {FEW}").select("id").distinct()
+        own = self.sets(ids).join(self.groups, "id").select("id", "component_id", F.explode("s").alias("g"))
+        held = own.groupBy("g").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).filter("lo = hi").select("g")
+        # texts of one component that hold a shingle of that component alone: counted where the shingle is
+        again = self.sets(ids).select("id", F.explode("s").alias("g"))
+        private = again.join(held, "g").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+        n = self.classes.select("id", "n")
+        x = live.join(n, "id").join(private, "id", "left").withColumn("top", F.col("n") - F.coalesce("u", F.lit(0)))
+        low = x.groupBy("key").agg(F.min("n").alias("least"))
+        x = cut(x.join(low, "key").filter(self.fits(F.col("top"), F.col("n"), F.greatest(F.col("least"), F.col("top")))))
+        one = x.filter("not main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("top").alias("ta"), F.col("component_id").alias("ca"))
+        two = x.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("top").alias("tb"), F.col("component_id").alias("cb"), "main")
+        pairs = one.join(two, "key").filter("ca <> cb and (main or a < b)").filter(self.fits(F.least("ta", "tb"), F.col("na"), F.col("nb")))
+        return ordered(pairs, "a", "b")
+
+
+def ordered(pairs: DataFrame, one: str, two: str) -> DataFrame:
+    """Distinct pairs (a, b) with a < b."""
+    return pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).filter("a < b").distinct()
 
 
 def near_copies(plans: DataFrame, words: int = 5, percent: int = 80, plan_id: str = "route_id", plan_text: str = "plan_text") -> DataFrame:
@@ -116,49 +204,29 @@ def near_copies(plans: DataFrame, words: int = 5, percent: int = 80, plan_id: st
 
     Two texts are linked if ``100 * |intersection| >= percent * |union|`` of their sets of ``words``-word shingles. Texts with
     fewer words are one shingle; null texts and texts without words have none and link with nothing. ``kept`` marks the text
-    that names its component. Rows with a null id get component null and are kept. Rows that repeat an id are separate
-    texts. Equal sets are one class (found by key), so copies make no pairs. Other columns of ``plans`` are not used.
+    that names its component. Rows with a null id get component null and are kept. Rows that
+    repeat an id are linked if any of their texts are. Equal sets are one class (found by key), so copies make no pairs.
+    Other columns of ``plans`` are not used.
 
-    Links are lost only if two sets at the similarity differ in two or more symbols of all 14 chunks; at 80 percent that has a
-    probability below one in a million per link, and less above.
+    A link is lost only if two sets at the similarity differ in two or more symbols of all 12 chunks (at 80 percent less than
+    three in a million) or in more than ``FAR`` of all symbols (less than one in a million).
     """
     signed = cut(shingle_signatures(plans, words, plan_id, plan_text))
     classes = cut(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    fits = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")  # sizes that can reach the similarity
-    shared = _buckets(classes).groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = cut(_buckets(classes).join(shared.select("key", "lead"), "key"))
-    nodes = classes.select(F.col("id").alias("node_id"))
-    star = members.select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
-    pairs = cut(star.filter("a < b").filter(fits).select("a", "b").distinct())
-    tried, links = pairs, cut(_confirm(pairs, plans, words, percent, plan_id, plan_text))
-    for number in range(ROUNDS):
-        groups = cut(connected_components(nodes, links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        live = members.select("key", "id", "n").join(groups.withColumnRenamed("node_id", "id"), "id")
-        mixed = live.groupBy("key", "component_id").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        live = cut(live.join(mixed.select("key"), "key", "left_semi"))
-        todo = mixed.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-        if not todo[0]:
-            return _labelled(plans, signed, classes, groups, plan_id)
-        whole = number == ROUNDS - 1 or todo[0] <= 4 * todo[1] + 100_000
-        if whole:  # all that is left between components
-            one = live.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component_id").alias("ca"))
-            two = live.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component_id").alias("cb"))
-            pairs = one.join(two, "key").filter("a < b and ca <> cb")
-        else:  # another leader in every bucket
-            lead = live.groupBy("key").agg(F.min_by(F.struct("id", "n", "component_id"), F.xxhash64("id", F.lit(number))).alias("lead"))
-            pairs = live.join(lead, "key").filter("component_id <> lead.component_id")
-            pairs = pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
-        pairs = cut(pairs.filter(fits).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        links = cut(links.unionByName(_confirm(pairs, plans, words, percent, plan_id, plan_text)))
-        tried = tried.unionByName(pairs)
-        if whole:
-            break
-    groups = connected_components(nodes, links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return _labelled(plans, signed, classes, groups, plan_id)
+    search = _Search(plans, classes, words, percent, plan_id, plan_text)
+    shared = cut(_keys(classes).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    members = cut(_keys(classes).join(_small(shared.filter("m > 2").select("key", "lo"), BROADCAST_KEYS), "key"))
+    pairs = shared.filter("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(members.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
+    search.confirm(ordered(pairs, "a", "b"))
+    members = members.select("key", "id")
+    for number in range(LEADER_ROUNDS):
+        search.confirm(search.to_leaders(search.open(members), number))
+    search.confirm(search.rest(search.open(members)))
+    return _labelled(plans, signed, classes, search.groups, plan_id)
 
 
 def _labelled(plans: DataFrame, signed: DataFrame, classes: DataFrame, groups: DataFrame, plan_id: str) -> DataFrame:
-    named = classes.select("set_key", F.col("id").alias("node_id")).join(groups, "node_id").select("set_key", "component_id")
+    named = classes.select("set_key", "id").join(groups, "id").select("set_key", "component_id")
     x = signed.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
     x = x.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     x = x.withColumn("kept", F.col("id") == F.col("component_id"))
