@@ -5,9 +5,9 @@ principle two signatures with at most ``chunks * (errors + 1) - 1`` differing sy
 differing ones. Every chunk is therefore indexed once for each choice of ``errors`` symbols left out, and all pairs within
 that distance share a key. Pairs that share a key are confirmed on their full shingle sets.
 
-Of a bucket not all pairs are tried: each member is first compared with one leader, then those outside the largest component
-with a few members of it, and at last all pairs of different components that can be links by the shingles they alone hold.
-A group of thousands of near copies costs about its size, and no link between different components is lost.
+Pairs within a group are not emitted: each member of a bucket is first compared with one leader, which joins nearly all of a
+group of near copies. What shares a bucket but no component after that is compared in bounded tiles, so that no link between
+different components is lost.
 
 Records: the engine stores no free remarks, so the operator runs on any (id, text) table; its defaults are those of
 passage plans (``route_id``, ``plan_text``).
@@ -33,8 +33,7 @@ SYMBOL = np.uint16
 BROADCAST_IDS = 1_000_000  # ids of candidate texts that are broadcast; more are joined by shuffle
 BROADCAST_KEYS = 2_000_000  # keys of larger buckets that are broadcast; more are joined by shuffle
 BROADCAST_SHINGLES = 4_000_000  # shingles of candidate sets (32 MB) that are broadcast; more are joined by shuffle
-LEADERS, LEADER_ROUNDS = 4, 2
-FEW = 8  # members of a bucket whose pairs are simply all compared
+TILE = 200_000  # shingles on each side of a tile of strays and family, about
 _SEEDS = mix(np.arange(1, CHUNKS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
@@ -150,7 +149,10 @@ class _Search:
         sets = cut(self.sets(ids.select("id")))
         sets = F.broadcast(sets) if total <= BROADCAST_SHINGLES else sets
         x = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
-        links = x.filter(self.fits(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b")
+        self.join(x.filter(self.fits(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b"))
+
+    def join(self, links: DataFrame) -> None:
+        """Join the components of linked classes; the graph that is walked is that of components, not of texts."""
         g = self.groups
         ends = links.join(g.withColumnsRenamed({"id": "a", "component_id": "src"}), "a").join(g.withColumnsRenamed({"id": "b", "component_id": "dst"}), "b")
         ends = cut(ends.filter("src <> dst").select("src", "dst").distinct())
@@ -158,40 +160,68 @@ class _Search:
         named = connected_components(nodes, ends).select(F.col("component_id").alias("new"), F.col("node_id").alias("component_id"))
         self.groups = cut(g.join(named, "component_id", "left").select("id", F.coalesce("new", "component_id").alias("component_id")))
 
-    def open(self, members: DataFrame) -> DataFrame:
-        """The rows of buckets that still hold several components, with ``main``: whether the row is of the bucket's largest one."""
-        x = members.join(self.groups, "id")
-        size = x.groupBy("key", "component_id").agg(F.count(F.lit(1)).alias("c"))
-        size = size.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component_id")).alias("top"), F.sum("c").alias("m")).filter("parts > 1")
-        return cut(x.join(size.select("key", "m", F.col("top.component_id").alias("top")), "key").withColumn("main", F.col("component_id") == F.col("top")).drop("top"))
-
-    def to_leaders(self, live: DataFrame, number: int) -> DataFrame:
-        """Every row outside the main component of its bucket paired with a few members of it, the same few in many buckets."""
-        lead = live.filter("main").groupBy("key").agg(*[F.min_by("id", F.xxhash64("id", F.lit(number * LEADERS + i))).alias(f"l{i}") for i in range(LEADERS)])
-        lead = lead.select("key", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("lead"))
-        return ordered(live.filter("not main").select("key", "id").join(lead, "key"), "id", "lead")
-
-    def rest(self, live: DataFrame) -> DataFrame:
-        """All pairs of different components that share a bucket and can be links.
-
-        A shingle that only one component has cannot be common with another one. With ``u`` such shingles, a text shares at most
-        ``n - u`` with any text outside, which rules out nearly all members of a large bucket that no longer belong to its
-        main component; what remains is compared in full.
+    def rest(self, members: DataFrame) -> DataFrame:
+        """Links between texts that share a bucket but not yet a component; every such pair is compared on full sets.
+
+        A text outside the largest component of its bucket is a stray of that component, its family. The strays of a family are
+        compared with each other and with the family's members, in tiles of about ``TILE`` shingles a side: a tile counts common
+        shingles as a matrix product and hands on only links, one for each stray and component. A family of any size is many tiles.
         """
-        ids = live.filter(f"m > {FEW}").select("id").distinct()
-        own = self.sets(ids).join(self.groups, "id").select("id", "component_id", F.explode("s").alias("g"))
-        held = own.groupBy("g").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).filter("lo = hi").select("g")
-        # texts of one component that hold a shingle of that component alone: counted where the shingle is
-        again = self.sets(ids).select("id", F.explode("s").alias("g"))
-        private = again.join(held, "g").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-        n = self.classes.select("id", "n")
-        x = live.join(n, "id").join(private, "id", "left").withColumn("top", F.col("n") - F.coalesce("u", F.lit(0)))
-        low = x.groupBy("key").agg(F.min("n").alias("least"))
-        x = cut(x.join(low, "key").filter(self.fits(F.col("top"), F.col("n"), F.greatest(F.col("least"), F.col("top")))))
-        one = x.filter("not main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("top").alias("ta"), F.col("component_id").alias("ca"))
-        two = x.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("top").alias("tb"), F.col("component_id").alias("cb"), "main")
-        pairs = one.join(two, "key").filter("ca <> cb and (main or a < b)").filter(self.fits(F.least("ta", "tb"), F.col("na"), F.col("nb")))
-        return ordered(pairs, "a", "b")
+        x = members.join(self.groups, "id").select("key", "id", "component_id")
+        size = x.groupBy("key", "component_id").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component_id")).alias("top"))
+        tops = size.filter("parts > 1").select("key", F.col("top.component_id").alias("family"))
+        strays = cut(x.join(tops, "key").filter("component_id <> family").select("family", "id", "component_id").distinct())
+        own = self.groups.join(strays.select(F.col("family").alias("component_id")).distinct(), "component_id").select(F.col("component_id").alias("family"), "id", "component_id")
+        rows = strays.withColumn("stray", F.lit(True)).unionByName(own.withColumn("stray", F.lit(False)))
+        rows = cut(rows.join(self.classes.groupBy("id").agg(F.max("n").alias("n")), "id"))
+        blocks = lambda flag: F.ceil(F.sum(F.when(F.col("stray") == flag, F.col("n")).otherwise(0)) / float(TILE)).cast("int")
+        rows = rows.join(rows.groupBy("family").agg(blocks(True).alias("bs"), blocks(False).alias("bm")), "family")
+        rows = rows.join(self.sets(rows.select("id").distinct()), "id")
+        block = F.pmod(F.xxhash64("id"), F.when(F.col("stray"), F.col("bs")).otherwise(F.col("bm"))).cast("int")
+        count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        tile = lambda kind, left, right, on_left: F.struct(F.lit(kind).alias("kind"), left.alias("l"), right.alias("r"), on_left.alias("on_left"))
+        b = F.col("_b")
+        among = F.transform(count("bs"), lambda i: tile(0, F.least(b, i), F.greatest(b, i), b <= i))
+        across = F.transform(count("bm"), lambda i: tile(1, b, i, F.lit(True)))
+        against = F.transform(count("bs"), lambda i: tile(1, i, b, F.lit(False)))
+        rows = rows.withColumn("_b", block).select("family", "id", "component_id", "s", F.explode(F.when(F.col("stray"), F.concat(among, across)).otherwise(against)).alias("t"))
+        rows = rows.select("family", "t.*", "id", "component_id", "s")
+        percent = self.percent
+
+        def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+            alone = pdf["kind"].iloc[0] == 0 and pdf["l"].iloc[0] == pdf["r"].iloc[0]
+            one, two = pdf[pdf["on_left"]], pdf if alone else pdf[~pdf["on_left"]]
+            found = []
+            for i in range(0, len(one), 256):
+                for j in range(0, len(two), 256):
+                    found += _tile(one[i : i + 256], two[j : j + 256], percent)
+            return pd.DataFrame(found, columns=["a", "b"]) if found else pdf[:0].rename(columns={"id": "a"})[["a"]].assign(b=pdf["id"][:0])
+
+        return rows.groupBy("family", "kind", "l", "r").applyInPandas(linked, f"a {self.kind}, b {self.kind}")
+
+
+def _tile(one: pd.DataFrame, two: pd.DataFrame, percent: int) -> list[tuple]:
+    """Links between two lists of texts of different components: for each text of the first, one per component of the second."""
+    if not len(one) or not len(two):
+        return []
+    sets = [np.concatenate(list(x["s"])) for x in (one, two)]
+    both = np.intersect1d(*sets)  # only shingles that both sides hold can be common
+    if not len(both):
+        return []
+    held = []
+    for x, flat in zip((one, two), sets, strict=True):
+        n = x["s"].map(len).to_numpy()
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        inside = both[at] == flat
+        m = np.zeros((len(x), len(both)), np.float32)
+        m[np.repeat(np.arange(len(x)), n)[inside], at[inside]] = 1
+        held.append((m, n))
+    common = np.rint(held[0][0] @ held[1][0].T).astype(np.int64)
+    union = held[0][1][:, None] + held[1][1][None, :] - common
+    ca, cb = one["component_id"].to_numpy(), two["component_id"].to_numpy()
+    i, j = np.nonzero((100 * common >= percent * union) & (ca[:, None] != cb[None, :]))
+    got = {(int(a), cb[b]): (one["id"].iloc[a], two["id"].iloc[b]) for a, b in zip(i, j, strict=True)}
+    return list(got.values())
 
 
 def ordered(pairs: DataFrame, one: str, two: str) -> DataFrame:
@@ -218,10 +248,7 @@ def near_copies(plans: DataFrame, words: int = 5, percent: int = 80, plan_id: st
     members = cut(_keys(classes).join(_small(shared.filter("m > 2").select("key", "lo"), BROADCAST_KEYS), "key"))
     pairs = shared.filter("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(members.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
     search.confirm(ordered(pairs, "a", "b"))
-    members = members.select("key", "id")
-    for number in range(LEADER_ROUNDS):
-        search.confirm(search.to_leaders(search.open(members), number))
-    search.confirm(search.rest(search.open(members)))
+    search.join(search.rest(members.select("key", "id")))
     return _labelled(plans, signed, classes, search.groups, plan_id)
 
 
