@@ -11,7 +11,6 @@ passage plans (``route_id``, ``plan_text``).
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -23,13 +22,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from seaway.llm.shingles import mix
 from seaway.llm.texts import code_points
-from seaway.llm.wordcache import WordCache, encoded_texts
+from seaway.llm.wordcache import WordCache, with_blanks
 
 BLANK = "▁"  # stands for a space inside pieces
 NONE = np.iinfo(np.int64).max
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
-_RUNS = re.compile(" +[^ \n]*|\n[^ \n]*")
 
 
 @dataclass(frozen=True)
@@ -97,7 +95,9 @@ class PieceCoder:
         self.tied: set[str] = set()
         if model.merges:
             self._ranks(text)
-        self.cache = WordCache(self.encode_words)
+        self.apart = self.words_apart and self.lines_apart
+        segments = with_blanks if self.apart else lambda buffer, docs: (docs[:-1][docs[:-1] < docs[1:]], docs[1:][docs[:-1] < docs[1:]])
+        self.cache = WordCache(self.encode_words, segments, b" " if model.dummy_prefix else b"", b"")
 
     @staticmethod
     def _raw(text: str) -> int:
@@ -165,8 +165,8 @@ class PieceCoder:
     # encoding
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words as ``split`` gives them, words of equal length together."""
-        texts = [self._literal(w) for w in words]
+        """Ids of words, words of equal length together."""
+        texts = [w.replace(" ", BLANK) for w in words]
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
         by: dict[int, list[int]] = {}
         for i, t in enumerate(texts):
@@ -248,32 +248,9 @@ class PieceCoder:
                 ids.append(self.unknown)
         return np.array(ids, np.int32)
 
-    @staticmethod
-    def _literal(word: str) -> str:
-        """The escaped text of a word: one that starts with neither space nor line feed follows a single space."""
-        return word.replace(" ", BLANK) if word[:1] in (" ", "\n", "\r") else BLANK + word
-
-    def split(self, text: str) -> list[str]:
-        """Words no piece reaches across: a run of spaces with what follows, and a line feed with what follows.
-
-        The usual word behind one space is written without it; ``_literal`` undoes that. A word led by ``\\r`` marks text without a space in front.
-        """
-        if not text:
-            return []
-        t = text.replace(BLANK, " ")
-        t = " " + t if self.model.dummy_prefix else t
-        if not (self.words_apart and self.lines_apart):
-            return [" " + t[1:] if t[0] == " " else "\r" + t]
-        if "  " not in t and " \n" not in t and t[-1] != " " and t[0] == " ":
-            return t[1:].replace("\n", " \n").split(" ") if not re.search(r"(?:^| )\r", t) else self._runs(t)
-        return self._runs(t)
-
-    def _runs(self, t: str) -> list[str]:
-        runs = _RUNS.findall(t)
-        return [r[1:] if len(r) > 1 and r[0] == " " and r[1] not in " \n\r" else r for r in runs]
-
     def encode(self, texts) -> list[np.ndarray]:
-        return list(encoded_texts((t or "" for t in texts), self.split, self.cache))
+        """Ids of texts. Where no piece reaches across words they are encoded word by word, else each text is one word."""
+        return list(self.cache.encode_texts((t or "").replace(BLANK, " ") for t in texts))
 
     # decoding
 

@@ -10,21 +10,25 @@ passage plans (``route_id``, ``plan_text``).
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seaway.llm.wavelet import WaveletMatrix
-from seaway.llm.wordcache import WordCache, encoded_texts
+from seaway.llm.wordcache import WordCache
 
 SHARD_TOKENS = 1 << 18
+PARTS = 300_000  # parts of words remembered with their ids in a worker
 BROADCAST_SHARDS = 500_000  # offsets of more shards are joined by shuffle
 
 
@@ -33,20 +37,63 @@ def _cache(tokenizer_file: str) -> WordCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_file)
-    return WordCache(lambda words: [np.array(e.ids, np.int32) for e in t.encode_batch_fast(words, add_special_tokens=False)])
+    return WordCache(word_encoder(Tokenizer.from_file(tokenizer_file)))
 
 
-def split_blanks(text: str) -> list[str]:
-    """The pieces between spaces and line feeds. A tokenizer that drops white space encodes them one by one as it encodes the whole."""
-    return text.replace("\n", " ").split(" ")
+def word_encoder(t):
+    """A function from words without blanks to their ids.
+
+    A tokenizer of the usual form (NFC, lower case, one splitting pattern, byte letters) is taken apart: words are normalised
+    and split here by its own pattern, and each distinct part goes to its model once. Other tokenizers, and words that hold the
+    text of an added token, are given whole words.
+    """
+    whole = lambda words: [np.array(e.ids, np.int32) for e in t.encode_batch_fast(words, add_special_tokens=False)]
+    spec = json.loads(t.to_str())
+    norms = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    usual = norms == ["NFC", "Replace", "Lowercase"] and [p.get("type") for p in parts] == ["Split", "ByteLevel"]
+    usual = usual and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+    if not usual:
+        return whole
+    pattern = regex.compile(parts[0]["pattern"]["Regex"])
+    added = [a["content"] for a in spec["added_tokens"]]
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
+    letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(kept))}
+    model, memory = t.model, {}
+
+    def part_ids(part: str) -> list[int]:
+        if len(memory) > PARTS:
+            memory.clear()
+        form = part if part.isascii() and part.isprintable() else part.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
+        ids = memory[part] = [x.id for x in model.tokenize(form)]
+        return ids
+
+    def encode(words: list[str]) -> list[np.ndarray]:
+        out = []
+        for w in words:
+            if any(a in w for a in added) or not (w.isascii() or _plain(w)):
+                out.append(whole([w])[0])
+                continue
+            text = w if w.isascii() else unicodedata.normalize("NFC", w)
+            ids: list[int] = []
+            for p in pattern.findall(text.lower()):
+                ids += memory.get(p) or part_ids(p)
+            out.append(np.array(ids, np.int32))
+        return out
+
+    return encode
+
+
+def _plain(word: str) -> bool:
+    """Whether lower case and categories are beyond doubt: letters of the Latin, Greek and Cyrillic blocks, no final sigma."""
+    return all(c < "\u0530" and c != "\u03a3" and c != "\u0130" for c in word)
 
 
 def write_token_files(plans: DataFrame, path: str, tokenizer_file: str, end_id: int, plan_id: str = "route_id", plan_text: str = "plan_text", shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode every text, append ``end_id``, and write shards of about ``shard_tokens`` ids to ``path``.
 
-    Null counts as empty; rows that repeat an id are ordered by text, null ids come first. The tokenizer must drop white space
-    (see ``split_blanks``). Columns: ``part`` and ``shard`` (their order is the order of texts), ``n_tokens``, ``ids`` (the ids of
+    Null counts as empty; rows that repeat an id are ordered by text, null ids come first. The tokenizer must drop white space,
+    so that words between blanks can be encoded by themselves. Columns: ``part`` and ``shard`` (their order is the order of texts), ``n_tokens``, ``ids`` (the ids of
     the texts), ``lengths``, ``matrix``. One shuffle, into ranges of ids; the writer's commit survives lost executors.
     """
     kind = plans.schema[plan_id].dataType.simpleString()
@@ -62,7 +109,7 @@ def write_token_files(plans: DataFrame, path: str, tokenizer_file: str, end_id:
             return pd.DataFrame({"part": [part], "shard": [number], "n_tokens": [total], "ids": [list(ids)], "lengths": [[len(p) for p in parts]], "matrix": [m.to_bytes()]})
 
         for pdf in batches:
-            for i, tokens in zip(pdf["id"].astype(object), encoded_texts(pdf["text"], split_blanks, cache), strict=True):
+            for i, tokens in zip(pdf["id"].astype(object), cache.encode_texts(pdf["text"]), strict=True):
                 ids.append(None if pd.isna(i) else i)
                 parts.append(np.append(tokens, np.int32(end_id)))
                 total += len(parts[-1])

@@ -1,89 +1,147 @@
-"""Tokens of texts by way of their distinct words: a word is encoded once while it stays in a bounded cache."""
+"""Tokens of texts by way of their distinct words: words are found and hashed as arrays, and each is encoded once while it stays in a bounded cache."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 
-CHARS = 1 << 21  # characters of text split into words at a time
+from seaway.llm.shingles import mix
+
+BYTES = 1 << 20  # text bytes hashed at a time
+_STEP, _BACK = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+_RANDOM = np.random.default_rng(5).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(BYTES + 1, np.uint64(_STEP)), np.full(BYTES + 1, np.uint64(_BACK))
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def between_blanks(buffer: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of bytes other than spaces and line feeds. Texts in the buffer are parted by line feeds."""
+    word = np.concatenate([[False], (buffer != 32) & (buffer != 10), [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[0::2], edge[1::2]
+
+
+def with_blanks(buffer: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A new word at every run of spaces, line feed and text start, so that the words tile the buffer."""
+    space = buffer == 32
+    start = space.copy()
+    start[1:] &= ~space[:-1]
+    start |= buffer == 10
+    start[docs[docs < len(buffer)]] = True
+    at = np.flatnonzero(start)
+    return at, np.append(at[1:], len(buffer))
 
 
 class WordCache:
-    """Word to ids, in two generations of at most ``size`` words each: when the young one is full it becomes the old one.
+    """Word to ids for words given as byte ranges, at most ``size`` words at a time.
 
-    ``encode`` maps a list of words to a list of id arrays. Memory stays bounded whatever the texts hold; no word is ever
-    left out, at worst it is encoded again.
+    A word is known by two independent 64-bit hashes. When the cache is full, words that were not met again are dropped; no
+    word is ever left out of a result, at worst it is encoded again. ``encode``: list of words to list of id arrays.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], size: int = 150_000):
-        self.encode, self.size = encode, size
-        self.young: dict[str, int] = {}
-        self.old: dict[str, int] = {}
-        self.ids, self.starts, self.fill = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64), 0
-        self.old_ids, self.old_starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def _add(self, words: list[str], encoded: list[np.ndarray]) -> None:
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.concatenate([np.asarray(e, np.int32) for e in encoded]) if encoded else np.zeros(0, np.int32)
-        while self.fill + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
-        self.ids[self.fill : self.fill + len(flat)] = flat
-        base = len(self.starts) - 1
-        self.starts = np.concatenate([self.starts, self.fill + np.cumsum(lengths)])
-        self.fill += len(flat)
-        self.young.update(zip(words, range(base, base + len(words)), strict=True))
-
-    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in order, number of ids of each word)."""
-        at = np.fromiter(map(self.young.get, words, [-1] * len(words)), np.int64, len(words))
-        if (at < 0).any():
-            new = list(dict.fromkeys(words[i] for i in np.flatnonzero(at < 0)))
-            if len(self.young) + len(new) > self.size:
-                self.old, self.old_ids, self.old_starts = self.young, self.ids, self.starts
-                self.young, self.ids, self.starts, self.fill = {}, np.zeros(1 << 16, np.int32), np.zeros(1, np.int64), 0
-                new = list(dict.fromkeys(words))
-            known = [w for w in new if w in self.old]
-            if known:
-                j = [self.old[w] for w in known]
-                self._add(known, [self.old_ids[self.old_starts[i] : self.old_starts[i + 1]] for i in j])
-            fresh = [w for w in new if w not in self.old]
-            for i in range(0, len(fresh), 20_000):
-                self._add(fresh[i : i + 20_000], self.encode(fresh[i : i + 20_000]))
-            at = np.fromiter(map(self.young.get, words), np.int64, len(words))
-        start = self.starts[at]
-        n = self.starts[at + 1] - start
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], segments=between_blanks, lead: bytes = b"", part: bytes = b"\n", size: int = 1 << 20):
+        self.encode, self.segments, self.lead, self.part, self.size = encode, segments, lead, part, size
+        self._reset(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
+
+    def _reset(self, keys: np.ndarray, checks: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> None:
+        """``keys`` ascending; entry i holds ``ids[starts[i] : ends[i]]``."""
+        self.keys, self.checks, self.starts, self.ends, self.ids = keys, checks, starts[:-1], starts[1:], ids
+        self.met = np.zeros(len(keys), bool)
+
+    def _hashes(self, buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        up, down = _powers()
+        base, out, length = int(start[0]), [], (end - start).astype(np.uint64)
+        part = buffer[base : int(end[-1])]
+        for table in _RANDOM:
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(table[part] * up[: len(part)], out=total[1:])
+            out.append(mix((total[end - base] - total[start - base]) * down[start - base] + length))
+        return out[0], out[1]
+
+    def _add(self, keys: np.ndarray, checks: np.ndarray, encoded: list[np.ndarray]) -> None:
+        if len(self.keys) + len(keys) > self.size:
+            keep = np.flatnonzero(self.met)
+            keep = keep if len(keep) <= self.size // 2 else keep[:0]
+            n = self.ends[keep] - self.starts[keep]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            take = np.arange(ends[-1]) + np.repeat(self.starts[keep] - ends[:-1], n)
+            self._reset(self.keys[keep], self.checks[keep], ends, self.ids[take])
+        n = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ends = len(self.ids) + np.cumsum(n)
+        self.ids = np.concatenate([self.ids, *encoded]).astype(np.int32, copy=False)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.starts, self.ends = np.insert(self.starts, at, ends - n), np.insert(self.ends, at, ends)
+        self.met = np.insert(self.met, at, False)
+
+    def _some(self, buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in order, number of ids of each word) for words within ``BYTES`` of each other."""
+        words = lambda at: [buffer[s:e].tobytes().decode("utf-8", "surrogatepass") for s, e in zip(start[at], end[at], strict=True)]
+        if end[-1] - start[0] > BYTES:  # one very long word
+            ids = self.encode(words(np.zeros(1, np.int64)))[0]
+            return ids, np.array([len(ids)])
+        key, check = self._hashes(buffer, start, end)
+        uniq, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, uniq), max(0, len(self.keys) - 1))
+        known = (self.keys[at] == uniq) if len(self.keys) else np.zeros(len(uniq), bool)
+        self.met[at[known]] = True
+        new = np.flatnonzero(~known)
+        if len(new):
+            self._add(uniq[new], check[first[new]], self.encode(words(first[new])))
+            at = np.minimum(np.searchsorted(self.keys, uniq), len(self.keys) - 1)
+            gone = np.flatnonzero(self.keys[at] != uniq)  # dropped just now to make room
+            if len(gone):
+                self._add(uniq[gone], check[first[gone]], self.encode(words(first[gone])))
+                at = np.searchsorted(self.keys, uniq)
+        entry = at[inverse]
+        n = self.ends[entry] - self.starts[entry]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        take = np.arange(total) + np.repeat(start - (ends - n), n)
-        return self.ids[take], n
-
-
-def encoded_texts(texts: Iterable[str], split: Callable[[str], list[str]], cache: WordCache, chars: int = CHARS) -> Iterator[np.ndarray]:
-    """The ids of each text, in order. Texts are taken together up to ``chars`` characters; the words of a longer one are looked up in parts."""
-    words: list[str] = []
-    counts: list[int] = []
-    size = 0
-
-    def flush() -> Iterator[np.ndarray]:
-        parts, lengths = [], []
-        for i in range(0, len(words), 1 << 19):
-            ids, n = cache.lookup(words[i : i + (1 << 19)])
-            parts.append(ids)
-            lengths.append(n)
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]) if lengths else np.zeros(1, np.int64)
-        at = 0
-        for c in counts:
-            yield ids[ends[at] : ends[at + c]]
-            at += c
-
-    for t in texts:
-        w = split(t)
-        words += w
-        counts.append(len(w))
-        size += len(t)
-        if size >= chars:
-            yield from flush()
-            words, counts, size = [], [], 0
-    yield from flush()
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[entry] - (ends - n), n)]
+        odd = np.flatnonzero(self.checks[entry] != check)
+        if not len(odd):
+            return ids, n
+        parts = np.split(ids, ends[:-1])  # another word has the same first hash: encode these by themselves
+        for i, x in zip(odd, self.encode(words(odd)), strict=True):
+            parts[i], n[i] = x, len(x)
+        return np.concatenate(parts), n
+
+    def encode_texts(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order. Short texts share a buffer; long ones are worked on in parts between words."""
+        held: list[bytes] = []
+        size = 0
+        for t in texts:
+            held.append((self.lead + t.encode("utf-8", "surrogatepass") if t else b"") + self.part)
+            size += len(held[-1])
+            if size >= BYTES:
+                yield from self._flush(held)
+                held, size = [], 0
+        if held:
+            yield from self._flush(held)
+
+    def _flush(self, held: list[bytes]) -> Iterator[np.ndarray]:
+        buffer = np.frombuffer(b"".join(held), np.uint8)
+        docs = np.concatenate([[0], np.cumsum([len(h) for h in held])])
+        start, end = self.segments(buffer, docs)
+        if not len(start):
+            yield from (np.zeros(0, np.int32) for _ in held)
+            return
+        ids, counts, at = [], [], 0
+        while at < len(start):
+            stop = max(at + 1, int(np.searchsorted(end, start[at] + BYTES, side="right")))
+            x, n = self._some(buffer, start[at:stop], end[at:stop])
+            ids.append(x)
+            counts.append(n)
+            at = stop
+        flat = np.concatenate(ids)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        word = ends[np.searchsorted(start, docs)]
+        for i in range(len(held)):
+            yield flat[word[i] : word[i + 1]]
