@@ -26,6 +26,8 @@ from seaway.llm.wordcache import WordCache, with_blanks
 
 BLANK = "▁"  # stands for a space inside pieces
 NONE = np.iinfo(np.int64).max
+SIEVE = np.uint64(44)
+PAIRS = 2_000_000  # pairs of pieces whose border is remembered
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
 
@@ -82,6 +84,9 @@ class PieceCoder:
         keys = mix(self.raw + self.length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
+        self.maybe = np.zeros(1 << (64 - int(SIEVE)), bool)  # a first look: whether any piece has these leading hash bits
+        self.maybe[(keys >> SIEVE).astype(np.int64)] = True
+        self.known, self.kept = np.zeros(0, np.int64), np.zeros(0, bool)
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
         self.power = np.array([pow(_STEP, n, 1 << 64) for n in range(self.longest + 2)], np.uint64)
@@ -106,9 +111,11 @@ class PieceCoder:
             h = (h + (cp + 1) * pow(_STEP, j, 1 << 64)) % (1 << 64)
         return h
 
-    def _find(self, raw: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    def _find(self, raw: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Index of the piece with that hash and length, -1 if none."""
-        k = mix(raw + np.asarray(length, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return self._probe(mix(raw + np.asarray(length, np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+    def _probe(self, k: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
         return np.where(self.keys[at] == k, self.order[at], -1)
 
@@ -121,6 +128,8 @@ class PieceCoder:
         self.rank = np.where(many, np.searchsorted(distinct, -self.score), -1)
         common = {s for s, n in zip(*np.unique(self.score[many], return_counts=True), strict=True) if n > 1}
         self.tied = {t for t, m, s in zip(text, many, self.score, strict=True) if m and s in common}
+        self.tie = min(self.tied, key=len, default="")[:2]
+        self.tie = self.tie if all(self.tie in t for t in self.tied) else ""
         self.left, self.right = np.arange(len(text)), np.arange(len(text))
         self.reached = ~many
         for i, t in enumerate(text):
@@ -162,6 +171,20 @@ class PieceCoder:
             live = live[~ended]
         return good
 
+    def _borders(self, pairs: np.ndarray) -> np.ndarray:
+        """``keeps_border`` of pairs given as ``first * pieces + second``, each pair looked into once."""
+        uniq, inverse = np.unique(pairs, return_inverse=True)
+        at = np.searchsorted(self.known, uniq)
+        new = uniq[(self.known[np.minimum(at, len(self.known) - 1)] != uniq)] if len(self.known) else uniq
+        if len(new):
+            if len(self.known) > PAIRS:
+                self.known, self.kept, new = np.zeros(0, np.int64), np.zeros(0, bool), uniq
+            found = self.keeps_border(new // len(self.ids), new % len(self.ids))
+            at = np.searchsorted(self.known, new)
+            self.known, self.kept = np.insert(self.known, at, new), np.insert(self.kept, at, found)
+            at = np.searchsorted(self.known, uniq)
+        return self.kept[at][inverse]
+
     # encoding
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
@@ -170,7 +193,7 @@ class PieceCoder:
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
         by: dict[int, list[int]] = {}
         for i, t in enumerate(texts):
-            if self.tied and any(p in t for p in self.tied):
+            if self.tied and self.tie in t and any(p in t for p in self.tied):
                 out[i] = self._emit([(self.ids[self.index[p]] if p in self.index else -1, p) for p in self.merged(t)])
             elif t:
                 by.setdefault(len(t), []).append(i)
@@ -192,27 +215,46 @@ class PieceCoder:
         rows = np.arange(len(texts))
         best = np.full((len(texts), n + 1), -np.inf)
         best[:, 0] = 0
-        back = np.ones((len(texts), n + 1), np.int16 if self.longest < 30_000 else np.int32)
+        back = np.ones((len(texts), n + 1), np.int32)
         last = np.full((len(texts), n + 1), -1)  # piece that ends at each position; -1: an unknown character
+        ways: list[list[tuple]] = [[] for _ in range(n + 1)]  # (rows, start, pieces) by end
+        single = np.zeros((len(texts), n), bool)
+        for size in range(1, min(self.longest, n) + 1):
+            h = mix((total[:, size:] - total[:, :-size]) * down[: n - size + 1] + np.uint64(size * 0x9E3779B97F4A7C15 % (1 << 64)))
+            end, row = np.nonzero(self.maybe[(h >> SIEVE).astype(np.int64)].T)
+            piece = self._probe(h[row, end])
+            real = piece >= 0
+            if self.model.merges:
+                real &= self.reached[piece]
+            end, row, piece = end[real], row[real], piece[real]
+            if size == 1:
+                single[row, end] = True
+            cuts = np.searchsorted(end, np.arange(n - size + 2))
+            for s in range(n - size + 1):
+                if cuts[s] < cuts[s + 1]:
+                    ways[s + size].append((row[cuts[s] : cuts[s + 1]], s, piece[cuts[s] : cuts[s + 1]]))
         floor = float(self.score.min(initial=0.0)) - 10.0
         for e in range(1, n + 1):
-            for size in range(1, min(self.longest, e) + 1):
-                s = e - size
-                piece = self._find((total[:, e] - total[:, s]) * down[s], size)
-                if self.model.merges:
-                    ok = (piece >= 0) & np.isfinite(best[:, s])
-                    ok &= np.where(piece >= 0, self.reached[piece], False)
-                    check = np.flatnonzero(ok & (last[:, s] >= 0)) if s else np.zeros(0, np.int64)
-                    if len(check):
-                        pair, inverse = np.unique(last[check, s] * len(self.ids) + piece[check], return_inverse=True)
-                        ok[check] = self.keeps_border(pair // len(self.ids), pair % len(self.ids))[inverse]
-                    value = np.where(ok, float(size), -np.inf)  # at most one way is open
-                else:
-                    value = np.where(piece >= 0, best[:, s] + self.score[piece], -np.inf)
-                if size == 1:
-                    value = np.where(piece < 0, 0.0 if self.model.merges else best[:, s] + floor, value)
-                better = value > best[:, e]
-                best[better, e], back[better, e], last[better, e] = value[better], size, piece[better]
+            lone = np.flatnonzero(~single[:, e - 1])  # an unknown character is a way of its own
+            best[lone, e] = 0.0 if self.model.merges else best[lone, e - 1] + floor
+            if not ways[e]:
+                continue
+            row = np.concatenate([w[0] for w in ways[e]])
+            start = np.concatenate([np.full(len(w[0]), w[1]) for w in ways[e]])
+            piece = np.concatenate([w[2] for w in ways[e]])
+            value = best[row, start]
+            if self.model.merges:
+                before = last[row, start]
+                open_ = np.isfinite(value)
+                check = np.flatnonzero(open_ & (before >= 0))
+                open_[check] = self._borders(before[check] * len(self.ids) + piece[check])
+                row, start, piece, value = row[open_], start[open_], piece[open_], np.zeros(int(open_.sum()))
+            else:
+                value = value + self.score[piece]
+            np.maximum.at(best[:, e], row, value)
+            won = value >= best[row, e]
+            row, start, piece = row[won], start[won], piece[won]
+            back[row, e], last[row, e] = e - start, piece
         if self.model.merges and not np.isfinite(best[:, n]).all():
             raise RuntimeError("a word has no way through the pieces")
         at, found = np.full(len(texts), n), []

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaway.llm import fingerprints, language, mixing, near_copies, private, quality, token_files, toxicity
+from seaway.llm import fingerprints, language, mixing, near_copies, pieces, private, quality, token_files, toxicity
 from seaway.llm.texts import remainder
 from seaway.session import cut, ensure_checkpoint_dir
 
@@ -72,6 +72,16 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumnRenamed("route_id", "doc_id")
 
 
+@query
+def op5_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    x = pieces.decode_pieces(pieces.encode_pieces(plans_of(table(spark, sf_dir, "documents")), model), model)
+    exact = F.col("decoded_text") == F.coalesce("plan_text", F.lit(""))
+    return x.select(F.col("route_id").alias("doc_id"), F.size("piece_ids").cast("long").alias("n_pieces"), exact.alias("exact"), "piece_ids")
+
+
 @query
 def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = plans_of(table(spark, sf_dir, "documents"))
