@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaway.llm import fingerprints, language, mixing, near_copies, pieces, private, quality, token_files, toxicity
+from seaway.llm import fingerprints, language, mixing, near_copies, neighbours, pieces, private, quality, token_files, toxicity
 from seaway.llm.texts import remainder
 from seaway.session import cut, ensure_checkpoint_dir
 
+RELAX = 1.2  # of the searches: see the README for recall
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -90,6 +91,13 @@ def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("route_id").alias("doc_id"), (remainder("route_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), F.col("is_toxic").cast("int").alias("predicted"))
 
 
+@query
+def op7_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("position"))
+    x = neighbours.nearest(nodes, nodes.filter(F.pmod("node_id", F.lit(20)) == 0), k=20, relax=RELAX)
+    return x.select("query_id", "rank", F.col("node_id").alias("vec_id"), "score")
+
+
 @query
 def op8_private_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = private.pseudonymise(plans_of(table(spark, sf_dir, "documents")))

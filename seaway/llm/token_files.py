@@ -28,7 +28,7 @@ from seaway.llm.wavelet import WaveletMatrix
 from seaway.llm.wordcache import WordCache
 
 SHARD_TOKENS = 1 << 18
-PARTS = 300_000  # parts of words remembered with their ids in a worker
+PARTS = 100_000  # parts of words remembered with their ids in a worker
 BROADCAST_SHARDS = 500_000  # offsets of more shards are joined by shuffle
 
 

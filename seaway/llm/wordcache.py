@@ -47,7 +47,7 @@ class WordCache:
     word is ever left out of a result, at worst it is encoded again. ``encode``: list of words to list of id arrays.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], segments=between_blanks, lead: bytes = b"", part: bytes = b"\n", size: int = 1 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], segments=between_blanks, lead: bytes = b"", part: bytes = b"\n", size: int = 1 << 19):
         self.encode, self.segments, self.lead, self.part, self.size = encode, segments, lead, part, size
         self._reset(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
 
