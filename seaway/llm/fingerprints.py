@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from seaway.llm.shingles import mix
-from seaway.llm.texts import code_points
+from seaway.llm.texts import code_points, small_batches
 from seaway.session import cut
 
 PLACE = np.uint64(24)  # bits for positions in the packed sort; longer texts take a plain stable sort
@@ -104,7 +104,7 @@ def fingerprints(plans: DataFrame, plan_text: str = "plan_text", k: int = 6, pic
     def made(texts: pd.Series) -> pd.Series:
         return pd.Series([omh.fingerprint(t) for t in texts], dtype=object)
 
-    return plans.withColumn("fingerprint", F.pandas_udf(made, StringType())(F.col(plan_text)))
+    return small_batches(plans).withColumn("fingerprint", F.pandas_udf(made, StringType())(F.col(plan_text)))
 
 
 def fingerprint_likeness(a: Column | str, b: Column | str) -> Column:
@@ -141,7 +141,7 @@ def edited_fingerprints(plans: DataFrame, plan_id: str = "route_id", plan_text:
     """
     omh = OrderMinHash(k, picks, sketches)
     kind = plans.schema[plan_id].dataType.simpleString()
-    x = plans.select(F.col(plan_id).alias("id"), F.coalesce(F.col(plan_text), F.lit("")).alias("text"))
+    x = small_batches(plans).select(F.col(plan_id).alias("id"), F.coalesce(F.col(plan_text), F.lit("")).alias("text"))
     x = x.repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def stream(batches):

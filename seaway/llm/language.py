@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaway.llm.texts import code_points, letter_table
+from seaway.llm.texts import code_points, letter_table, small_batches
 from seaway.session import cut
 
 BITS = 13  # n-grams are hashed into 2**BITS slots
@@ -119,7 +119,7 @@ def fit_language(plans: DataFrame, plan_id: str = "route_id", plan_text: str = "
     of a language come from about ``per_lang`` of its plans, chosen by a hash of their id (the documented bound); each
     language is clustered in a task of its own. ``tail`` is the share of the sample that a centroid's floor may reject.
     """
-    x = plans.filter(F.col(lang).isNotNull() & F.col(plan_text).isNotNull()).select(F.col(plan_id).alias("_id"), F.col(plan_text).alias("_t"), F.col(lang).cast("string").alias("_l"))
+    x = small_batches(plans).filter(F.col(lang).isNotNull() & F.col(plan_text).isNotNull()).select(F.col(plan_id).alias("_id"), F.col(plan_text).alias("_t"), F.col(lang).cast("string").alias("_l"))
 
     def frequencies(batches):
         df, n = np.zeros(SLOTS, np.int64), 0
@@ -173,5 +173,5 @@ def predict_language(plans: DataFrame, model: LanguageModel, plan_text: str = "p
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(list(model.predict(texts)), columns=["lang", "score", "rejected"]).astype({"lang": object, "score": "float64", "rejected": bool})
 
-    x = plans.withColumn("_seaway_guess", guess(F.col(plan_text)))
+    x = small_batches(plans).withColumn("_seaway_guess", guess(F.col(plan_text)))
     return x.withColumns({"lang_pred": F.col("_seaway_guess.lang"), "lang_score": F.col("_seaway_guess.score"), "lang_rejected": F.col("_seaway_guess.rejected")}).drop("_seaway_guess")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seaway.llm.shingles import mix, shingle_set
+from seaway.llm.texts import small_batches
 from seaway.operators.graph import connected_components
 from seaway.session import cut
 
@@ -74,7 +75,7 @@ def shingle_signatures(plans: DataFrame, words: int, plan_id: str = "route_id",
                 rows.append((i, len(s), key, signature(s).tobytes() if len(s) else None))
             yield pd.DataFrame(rows, columns=["id", "n_shingles", "set_key", "signature"])
 
-    x = plans.select(F.col(plan_id).alias("id"), F.col(plan_text).alias("text"))
+    x = small_batches(plans).select(F.col(plan_id).alias("id"), F.col(plan_text).alias("text"))
     x = x.filter("id is not null")
     return x.mapInPandas(made, f"id {kind}, n_shingles long, set_key binary, signature binary")
 

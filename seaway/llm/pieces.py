@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from seaway.llm.shingles import mix
-from seaway.llm.texts import code_points
+from seaway.llm.texts import code_points, small_batches
 from seaway.llm.wordcache import WordCache, with_blanks
 
 BLANK = "▁"  # stands for a space inside pieces
@@ -102,7 +102,7 @@ class PieceCoder:
             self._ranks(text)
         self.apart = self.words_apart and self.lines_apart
         segments = with_blanks if self.apart else lambda buffer, docs: (docs[:-1][docs[:-1] < docs[1:]], docs[1:][docs[:-1] < docs[1:]])
-        self.cache = WordCache(self.encode_words, segments, b" " if model.dummy_prefix else b"", b"")
+        self.cache = WordCache(self.words_together, segments, b" " if model.dummy_prefix else b"", b"")
 
     @staticmethod
     def _raw(text: str) -> int:
@@ -187,6 +187,10 @@ class PieceCoder:
 
     # encoding
 
+    def words_together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.encode_words(words)
+        return np.concatenate(ids).astype(np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of words, words of equal length together."""
         texts = [w.replace(" ", BLANK) for w in words]
@@ -320,7 +324,7 @@ def encode_pieces(plans: DataFrame, model: PieceModel, plan_text: str = "plan_te
     def made(texts: pd.Series) -> pd.Series:
         return pd.Series(model.coder.encode(texts), dtype=object)
 
-    return plans.withColumn("piece_ids", F.pandas_udf(made, ArrayType(IntegerType()))(F.col(plan_text)))
+    return small_batches(plans).withColumn("piece_ids", F.pandas_udf(made, ArrayType(IntegerType()))(F.col(plan_text)))
 
 
 def decode_pieces(plans: DataFrame, model: PieceModel, out: str = "decoded_text") -> DataFrame:
@@ -329,4 +333,4 @@ def decode_pieces(plans: DataFrame, model: PieceModel, out: str = "decoded_text"
     def made(ids: pd.Series) -> pd.Series:
         return pd.Series([model.coder.decode(x) for x in ids], dtype=object)
 
-    return plans.withColumn(out, F.pandas_udf(made, StringType())(F.col("piece_ids")))
+    return small_batches(plans).withColumn(out, F.pandas_udf(made, StringType())(F.col("piece_ids")))

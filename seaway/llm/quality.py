@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seaway.llm.texts import code_points, graded_sample, logistic_1d, sigmoid
+from seaway.llm.texts import code_points, graded_sample, logistic_1d, sigmoid, small_batches
 from seaway.session import cut
 
 BITS = 18  # indicators are hashed into 2**BITS slots
@@ -142,7 +142,7 @@ def fit_quality(plans: DataFrame, grades: DataFrame, plan_id: str = "route_id",
     The fit reads at most ``per_class`` plans of each class, chosen by a hash of their id (the documented bound); features
     are made on the executors, and only the sample's slot lists reach the driver. Without both classes every score is 0.5.
     """
-    sample = cut(graded_sample(plans, grades, grade, per_class, plan_id, plan_text))
+    sample = cut(graded_sample(small_batches(plans), grades, grade, per_class, plan_id, plan_text))
 
     def made(batches):
         scratch = np.zeros(1 << BITS, np.int32)
@@ -185,5 +185,5 @@ def score_quality(plans: DataFrame, model: QualityModel, plan_text: str = "plan_
     def quality(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(texts))
 
-    x = plans.withColumn("quality_score", quality(F.col(plan_text)))
+    x = small_batches(plans).withColumn("quality_score", quality(F.col(plan_text)))
     return x.withColumn("is_good", F.col("quality_score") >= threshold)

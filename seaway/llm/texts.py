@@ -6,6 +6,7 @@ operator takes the two column names as parameters, so any table with an id and a
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -21,6 +22,22 @@ LOOKALIKES = {
 }
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(plans: DataFrame) -> DataFrame:
+    """``plans``, after limiting the bytes that its session hands to Python at once, so that long texts stay within a worker's memory.
+
+    A smaller setting of the session is kept.
+    """
+    conf, name = plans.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([a-z]*)", conf.get(name).lower())
+    scale = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    if not now or now[2] not in scale or int(now[1]) * scale[now[2]] > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return plans
+
+
 def code_points(text: str) -> np.ndarray:
     """The code points of a text (a read-only view of its UTF-32 form)."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)

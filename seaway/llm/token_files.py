@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seaway.llm.texts import small_batches
 from seaway.llm.wavelet import WaveletMatrix
 from seaway.llm.wordcache import WordCache
 
 SHARD_TOKENS = 1 << 18
-PARTS = 100_000  # parts of words remembered with their ids in a worker
+PARTS = 200_000  # parts of words remembered with their ids in a worker
 BROADCAST_SHARDS = 500_000  # offsets of more shards are joined by shuffle
 
 
@@ -47,7 +48,16 @@ def word_encoder(t):
     and split here by its own pattern, and each distinct part goes to its model once. Other tokenizers, and words that hold the
     text of an added token, are given whole words.
     """
-    whole = lambda words: [np.array(e.ids, np.int32) for e in t.encode_batch_fast(words, add_special_tokens=False)]
+
+    def packed(ids: list[int]) -> bytes:
+        return np.array(ids, "<i4").tobytes()
+
+    def together(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(blobs), "<i4"), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+
+    def whole(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return together([packed(e.ids) for e in t.encode_batch_fast(words, add_special_tokens=False)])
+
     spec = json.loads(t.to_str())
     norms = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
     parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -56,37 +66,39 @@ def word_encoder(t):
     if not usual:
         return whole
     pattern = regex.compile(parts[0]["pattern"]["Regex"])
-    added = [a["content"] for a in spec["added_tokens"]]
+    mark = os.path.commonprefix([a["content"] for a in spec["added_tokens"]]) or ("" if spec["added_tokens"] else "\n")  # no word holds a line feed
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
     letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(kept))}
     model, memory = t.model, {}
 
-    def part_ids(part: str) -> list[int]:
+    def ids_of(part: str) -> bytes:
         if len(memory) > PARTS:
             memory.clear()
         form = part if part.isascii() and part.isprintable() else part.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
-        ids = memory[part] = [x.id for x in model.tokenize(form)]
-        return ids
+        memory[part] = packed([x.id for x in model.tokenize(form)])
+        return memory[part]
 
-    def encode(words: list[str]) -> list[np.ndarray]:
-        out = []
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        blobs = []
         for w in words:
-            if any(a in w for a in added) or not (w.isascii() or _plain(w)):
-                out.append(whole([w])[0])
-                continue
-            text = w if w.isascii() else unicodedata.normalize("NFC", w)
-            ids: list[int] = []
-            for p in pattern.findall(text.lower()):
-                ids += memory.get(p) or part_ids(p)
-            out.append(np.array(ids, np.int32))
-        return out
+            if w.isascii():
+                text = w
+            elif _plain(w):
+                text = unicodedata.normalize("NFC", w)
+            else:
+                text = None
+            if text is None or mark in w:
+                blobs.append(whole([w])[0].tobytes())
+            else:
+                blobs.append(b"".join([memory.get(p) or ids_of(p) for p in pattern.findall(text.lower())]))
+        return together(blobs)
 
     return encode
 
 
 def _plain(word: str) -> bool:
     """Whether lower case and categories are beyond doubt: letters of the Latin, Greek and Cyrillic blocks, no final sigma."""
-    return all(c < "\u0530" and c != "\u03a3" and c != "\u0130" for c in word)
+    return max(word) < "\u0530" and "\u03a3" not in word and "\u0130" not in word
 
 
 def write_token_files(plans: DataFrame, path: str, tokenizer_file: str, end_id: int, plan_id: str = "route_id", plan_text: str = "plan_text", shard_tokens: int = SHARD_TOKENS) -> None:
@@ -97,7 +109,7 @@ def write_token_files(plans: DataFrame, path: str, tokenizer_file: str, end_id:
     the texts), ``lengths``, ``matrix``. One shuffle, into ranges of ids; the writer's commit survives lost executors.
     """
     kind = plans.schema[plan_id].dataType.simpleString()
-    x = plans.select(F.col(plan_id).alias("id"), F.coalesce(F.col(plan_text), F.lit("")).alias("text"))
+    x = small_batches(plans).select(F.col(plan_id).alias("id"), F.coalesce(F.col(plan_text), F.lit("")).alias("text"))
     x = x.repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def shards(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from seaway.llm.texts import as_text, code_points, graded_sample, letter_table, logistic_1d, sigmoid
+from seaway.llm.texts import as_text, code_points, graded_sample, letter_table, logistic_1d, sigmoid, small_batches
 from seaway.session import cut
 
 STEM = range(4, 9)  # lengths of word beginnings that may become lexicon entries
@@ -154,7 +154,7 @@ def fit_toxicity(plans: DataFrame, grades: DataFrame, plan_id: str = "route_id",
     word becomes an exception if at least ``support`` clean plans and no toxic plan hold it. Without toxic or clean
     examples the model has no entries and scores every text alike, below one half.
     """
-    sample = graded_sample(plans, grades, grade, per_class, plan_id, plan_text).withColumn("family", _family("plan_text"))
+    sample = graded_sample(small_batches(plans), grades, grade, per_class, plan_id, plan_text).withColumn("family", _family("plan_text"))
     sample = cut(sample.groupBy("grade", "family").agg(F.min("plan_text").alias("plan_text")).select("plan_text", "grade"))
     sizes = {r[0]: r[1] for r in sample.groupBy("grade").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -201,5 +201,5 @@ def score_toxicity(plans: DataFrame, model: ToxicityModel, plan_text: str = "pla
     def toxicity(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([model.density(t) for t in texts], dtype=np.float64)))
 
-    x = plans.withColumn("toxicity", toxicity(F.col(plan_text)))
+    x = small_batches(plans).withColumn("toxicity", toxicity(F.col(plan_text)))
     return x.withColumn("is_toxic", F.col("toxicity") >= threshold)

@@ -44,17 +44,19 @@ class WordCache:
     """Word to ids for words given as byte ranges, at most ``size`` words at a time.
 
     A word is known by two independent 64-bit hashes. When the cache is full, words that were not met again are dropped; no
-    word is ever left out of a result, at worst it is encoded again. ``encode``: list of words to list of id arrays.
+    word is ever left out of a result, at worst it is encoded again. ``encode``: a list of words to (ids one after the other,
+    number of ids of each word).
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], segments=between_blanks, lead: bytes = b"", part: bytes = b"\n", size: int = 1 << 19):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], segments=between_blanks, lead: bytes = b"", part: bytes = b"\n", size: int = 1 << 20):
         self.encode, self.segments, self.lead, self.part, self.size = encode, segments, lead, part, size
-        self._reset(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
+        self._clear()
 
-    def _reset(self, keys: np.ndarray, checks: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> None:
-        """``keys`` ascending; entry i holds ``ids[starts[i] : ends[i]]``."""
-        self.keys, self.checks, self.starts, self.ends, self.ids = keys, checks, starts[:-1], starts[1:], ids
-        self.met = np.zeros(len(keys), bool)
+    def _clear(self) -> None:
+        """``keys`` ascending, ``slot`` their entries; entry i has ``check[i]``, whether it was ``met`` again, and ``ids[start[i] : start[i + 1]]``."""
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.check, self.met = np.zeros(self.size, np.uint64), np.zeros(self.size, bool)
+        self.start, self.count, self.ids = np.zeros(self.size + 1, np.int64), 0, np.zeros(1 << 16, np.int32)
 
     def _hashes(self, buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         up, down = _powers()
@@ -66,51 +68,57 @@ class WordCache:
             out.append(mix((total[end - base] - total[start - base]) * down[start - base] + length))
         return out[0], out[1]
 
-    def _add(self, keys: np.ndarray, checks: np.ndarray, encoded: list[np.ndarray]) -> None:
-        if len(self.keys) + len(keys) > self.size:
-            keep = np.flatnonzero(self.met)
+    def _add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        if self.count + len(keys) > self.size:
+            keep = np.flatnonzero(self.met[self.slot])
             keep = keep if len(keep) <= self.size // 2 else keep[:0]
-            n = self.ends[keep] - self.starts[keep]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            take = np.arange(ends[-1]) + np.repeat(self.starts[keep] - ends[:-1], n)
-            self._reset(self.keys[keep], self.checks[keep], ends, self.ids[take])
-        n = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ends = len(self.ids) + np.cumsum(n)
-        self.ids = np.concatenate([self.ids, *encoded]).astype(np.int32, copy=False)
+            old_keys, old, start, check, held = self.keys[keep], self.slot[keep], self.start, self.check, self.ids
+            self._clear()
+            lengths = start[old + 1] - start[old]
+            ends = np.cumsum(lengths)
+            take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[old] - (ends - lengths), lengths)
+            self._add(old_keys, check[old], held[take], lengths)
+        first, stop, used = self.count, self.count + len(keys), int(self.start[self.count])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.zeros(max(len(self.ids), len(ids)), np.int32)])
+        self.ids[used : used + len(ids)] = ids
+        self.start[first + 1 : stop + 1] = used + np.cumsum(n)
+        self.check[first:stop], self.count = checks, stop
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.checks = np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
-        self.starts, self.ends = np.insert(self.starts, at, ends - n), np.insert(self.ends, at, ends)
-        self.met = np.insert(self.met, at, False)
+        self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, np.arange(first, stop, dtype=np.int32))
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, found or not) of ascending keys."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.slot[at], self.keys[at] == keys
 
     def _some(self, buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids in order, number of ids of each word) for words within ``BYTES`` of each other."""
         words = lambda at: [buffer[s:e].tobytes().decode("utf-8", "surrogatepass") for s, e in zip(start[at], end[at], strict=True)]
         if end[-1] - start[0] > BYTES:  # one very long word
-            ids = self.encode(words(np.zeros(1, np.int64)))[0]
-            return ids, np.array([len(ids)])
+            return self.encode(words(np.zeros(1, np.int64)))
         key, check = self._hashes(buffer, start, end)
         uniq, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, uniq), max(0, len(self.keys) - 1))
-        known = (self.keys[at] == uniq) if len(self.keys) else np.zeros(len(uniq), bool)
-        self.met[at[known]] = True
-        new = np.flatnonzero(~known)
-        if len(new):
-            self._add(uniq[new], check[first[new]], self.encode(words(first[new])))
-            at = np.minimum(np.searchsorted(self.keys, uniq), len(self.keys) - 1)
-            gone = np.flatnonzero(self.keys[at] != uniq)  # dropped just now to make room
-            if len(gone):
-                self._add(uniq[gone], check[first[gone]], self.encode(words(first[gone])))
-                at = np.searchsorted(self.keys, uniq)
-        entry = at[inverse]
-        n = self.ends[entry] - self.starts[entry]
+        entry, known = self._find(uniq)
+        self.met[entry[known]] = True
+        while not known.all():  # a second time only if the first made room by dropping some
+            new = np.flatnonzero(~known)[: self.size // 2]
+            self._add(uniq[new], check[first[new]], *self.encode(words(first[new])))
+            entry, known = self._find(uniq)
+            self.met[entry[known]] |= len(new) == self.size // 2
+        entry = entry[inverse]
+        n = self.start[entry + 1] - self.start[entry]
         ends = np.cumsum(n)
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.starts[entry] - (ends - n), n)]
-        odd = np.flatnonzero(self.checks[entry] != check)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.start[entry] - (ends - n), n)]
+        odd = np.flatnonzero(self.check[entry] != check)
         if not len(odd):
             return ids, n
         parts = np.split(ids, ends[:-1])  # another word has the same first hash: encode these by themselves
-        for i, x in zip(odd, self.encode(words(odd)), strict=True):
-            parts[i], n[i] = x, len(x)
+        for i in odd:
+            parts[i], _ = self.encode(words(np.array([i])))
+            n[i] = len(parts[i])
         return np.concatenate(parts), n
 
     def encode_texts(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
