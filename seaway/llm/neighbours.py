@@ -25,7 +25,7 @@ from seaway.session import cut
 
 SHARD = 4096  # distinct vectors of a shard, about
 CELLS = 1024  # cells at most; larger cells have more shards
-LEAF = 48
+LEAF = 128
 SPARE = 8  # entries kept beyond k, so that neither the query itself nor rounding at the end of the list costs a neighbour
 QUERIES = 256  # queries that search a shard together
 
@@ -64,8 +64,8 @@ class VantageTree:
             part = self.nodes[node]
             if part[0] is None:
                 found = part[1]
-                d = np.sqrt(np.maximum(((queries[who, None, :] - self.points[None, found, :]) ** 2).sum(axis=2), 0))
-                d[d > radius[who, None]] = np.inf
+                d = _distances(queries[who], self.points[found])
+                d[d > radius[who, None] + 1e-7] = np.inf
                 all_d = np.concatenate([dist[who], d], axis=1)
                 all_r = np.concatenate([rows[who], np.broadcast_to(found, d.shape)], axis=1)
                 best = np.argsort(all_d, axis=1, kind="stable")[:, :k]
@@ -79,7 +79,7 @@ class VantageTree:
             first_in = gap_in <= gap_out
             for near, far, gap_n, gap_f, some in ((inner, outer, gap_in, gap_out, first_in), (outer, inner, gap_out, gap_in, ~first_in)):
                 for child, gap in ((near, gap_n), (far, gap_f)):
-                    go = who[some & (gap * relax <= bound[who] * (1 + 1e-9) + 1e-12)]
+                    go = who[some & (gap * relax <= bound[who] * (1 + 1e-9) + 1e-7)]
                     if len(go):
                         visit(child, go)
 
@@ -189,6 +189,7 @@ def nearest(nodes: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.
     asked = valid_vectors(queries, node_id, position)
     asked = asked.filter(F.size("v") == frame["pivots"].shape[1] - 1)
     asks = cut(asked.groupBy("v").agg(F.min("id").alias("q")))
+    salts = max(1, -(-asks.count() // 65_536))  # so many queries of a shard, about, are numbered in one task
     pivots, radii, shards = frame["pivots"], frame["radii"], frame["shards"]
     full = np.flatnonzero(shards > 0)
 
@@ -201,7 +202,7 @@ def nearest(nodes: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.
                 near = np.argsort(d, axis=1, kind="stable")[:, :first_cells]
                 home = np.zeros(d.shape, bool)
                 np.put_along_axis(home, near, True, 1)
-                go = home if first else ~home & ((d - radii[full]) * relax <= pdf["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12)
+                go = home if first else ~home & ((d - radii[full]) * relax <= pdf["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-7)
                 rows, cells = np.nonzero(go)
                 cells = full[cells]
                 each = shards[cells]
@@ -233,7 +234,7 @@ def nearest(nodes: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.
     def search(visits: DataFrame) -> DataFrame:
         """Queries of a shard in groups of bounded size, each group with the shard's tree."""
         block = F.floor((F.row_number().over(Window.partitionBy("cell", "shard", "_salt").orderBy("q")) - 1) / QUERIES)
-        x = visits.withColumn("_salt", F.pmod(F.xxhash64("q"), F.lit(64))).withColumn("_b", block)
+        x = visits.withColumn("_salt", F.pmod(F.xxhash64("q"), F.lit(salts))).withColumn("_b", block)
         x = x.groupBy("cell", "shard", "_salt", "_b").agg(F.collect_list(F.struct("q", "v", "bound")).alias("qs"))
         return x.join(index, ["cell", "shard"]).select("tree", "ids", "qs").mapInPandas(searched, f"q {kind}, dist double, score double, ids array<{kind}>")
 

@@ -12,7 +12,7 @@ from seaway.llm import fingerprints, language, mixing, near_copies, neighbours,
 from seaway.llm.texts import remainder
 from seaway.session import cut, ensure_checkpoint_dir
 
-RELAX = 1.2  # of the searches: see the README for recall
+RELAX = 1.4  # of the searches: see the README for recall
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
