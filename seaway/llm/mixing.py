@@ -44,6 +44,7 @@ def _uniform(key: Column, seed: str) -> Column:
 def measure(plans: DataFrame, plan_id: str = "route_id", plan_text: str = "plan_text", weight: str | None = None, seed: str = "mix") -> DataFrame:
     """``plans`` with ``size`` (words), and the sampling key ``mix_key``. ``weight`` names a column of positive quality weights; others count as 0.05."""
     w = quality_weight(F.col(plan_text)) if weight is None else F.when(F.col(weight) > 0, F.col(weight).cast("double")).otherwise(0.05)
+    plans = plans.drop(*{"size", "source_size", "target", "taken", "mix_key"} - {plan_id, plan_text, weight})
     return plans.withColumn("size", word_count(F.col(plan_text))).withColumn("mix_key", -F.log(_uniform(F.col(plan_id), seed)) / w)
 
 

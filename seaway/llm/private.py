@@ -32,7 +32,8 @@ KEY = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|token|secre
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SHIP = r"(?:IMO|MMSI)[ :]{0,2}[0-9]{7,9}(?![0-9])"
-DATE = r"[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9])|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}(?![0-9])"
+_MIDDLE = r"(?:-[0-9]{2}-|/[0-9]{2}/|\.[0-9]{2}\.)"
+DATE = rf"[0-9]{{4}}{_MIDDLE}[0-9]{{2}}(?![0-9])|[0-9]{{2}}{_MIDDLE}[0-9]{{4}}(?![0-9])"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"\+[0-9]{1,3}[ -]?\(?[0-9]{1,4}\)?(?:[ -]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9])"

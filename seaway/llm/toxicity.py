@@ -10,6 +10,7 @@ passage plans (``route_id``, ``plan_text``).
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
@@ -161,6 +162,7 @@ def fit_toxicity(plans: DataFrame, grades: DataFrame, plan_id: str = "route_id",
     if not n0 or not n1:
         return ToxicityModel(exceptions=tuple(exceptions))
     support = max(support, round(share * n1))
+    least_weight = min(least_weight, 0.75 * math.log(2 * (n0 + 1)))  # what few clean plans can show at all
     terms = sample.mapInPandas(_terms, "term string, stem boolean, clean long, toxic long").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
     rows = terms.filter(F.col("toxic") >= support).withColumn("weight", odds).filter(F.col("weight") >= least_weight)
