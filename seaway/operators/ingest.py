@@ -99,3 +99,8 @@ def drift_stats(points: DataFrame) -> DataFrame:
         F.min("y0").alias("min_lat"), F.max("y1").alias("max_lat"), F.min("x0").alias("min_lon"), F.max("x1").alias("max_lon"),
         F.sum("n60").alias("north_60"), F.sum("n55").alias("north_55"), F.sum("n50").alias("north_50"),
         F.count_if(F.col("y1") > -60.0).alias("tracks_north_60"), F.count_if(F.col("y1") > -55.0).alias("tracks_north_55"))
+
+
+def southern(rows: DataFrame, limit: float = 0.0, lat: str = "lat") -> DataFrame:
+    """Rows at or south of a latitude; rows without one are left out."""
+    return rows.filter(F.col(lat) <= limit)

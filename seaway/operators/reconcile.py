@@ -10,12 +10,6 @@ from seaway.operators import spatial as sp
 
 # names of the four sources in a match list
 SOURCES = ("BASELINE", "PREVIOUS", "TRACKS", "GROUNDED")
-# fixed values: tracks with a known reason to be absent from the baseline
-FRAGMENT_IDS = ("A74A", "A77", "A80A", "A82", "B15AB", "B22G", "B22I", "B29", "C29", "C33", "C35", "D30B", "D36", "UK324")
-ABSENT_REASONS = [
-    (("A23A",), "Drifted north into warm water and disintegrating below the tracking criteria"),
-    (FRAGMENT_IDS, "Fragmented below the tracking threshold or merged into fast ice"),
-]
 
 
 def attach_attributes(polygons: DataFrame, attributes: DataFrame, key: str, column: str, default: str) -> DataFrame:
@@ -39,14 +33,22 @@ def attach_last_fix(base: DataFrame, fixes: DataFrame) -> DataFrame:
     return x.withColumn("track_km", geo.haversine_km("lon", "lat", "last.lon", "last.lat"))
 
 
-def missing_from_baseline(fixes: DataFrame, base: DataFrame, since_year: int = 2024) -> DataFrame:
-    """Tracks with a last fix since ``since_year`` that the baseline does not hold, with the reason on record."""
+def missing_from_baseline(fixes: DataFrame, base: DataFrame, since_year: int = 2024, reasons: DataFrame | None = None) -> DataFrame:
+    """Tracks with a last fix since ``since_year`` that the baseline does not hold, with what is on record about them.
+
+    ``reasons(berg_id, why_absent, relevance, disposition, action)`` is the caller's table of known cases; its row with a null
+    ``berg_id`` holds for all others. Without the table the four columns are null.
+    """
     last = fixes.groupBy(F.col("track_id").alias("berg_id")).agg(F.count(F.lit(1)).alias("fix_count"), F.max_by(F.struct("lon", "lat", "ts"), "seq").alias("last"))
     x = last.filter(F.year("last.ts") >= since_year).join(base.select("berg_id"), "berg_id", "left_anti")
-    why = F.lit("Historical track; inactive in current bulletins")
-    for ids, text in reversed(ABSENT_REASONS):
-        why = F.when(F.upper(F.col("berg_id").cast("string")).isin(*ids), text).otherwise(why)
-    return x.select("berg_id", "fix_count", F.col("last.lon").alias("lon"), F.col("last.lat").alias("lat"), F.col("last.ts").alias("last_ts"), why.alias("why_absent"))
+    x = x.select("berg_id", "fix_count", F.col("last.lon").alias("lon"), F.col("last.lat").alias("lat"), F.col("last.ts").alias("last_ts"))
+    text = ("why_absent", "relevance", "disposition", "action")
+    if reasons is None:
+        return x.withColumns({c: F.lit(None).cast("string") for c in text})
+    known = reasons.filter("berg_id is not null").select(F.upper(F.col("berg_id").cast("string")).alias("_k"), F.struct(*text).alias("_r"))
+    rest = reasons.filter("berg_id is null").select(F.struct(*text).alias("_d")).limit(1)
+    x = x.withColumn("_k", F.upper(F.col("berg_id").cast("string"))).join(known, "_k", "left").join(rest, how="left")
+    return x.select("berg_id", "fix_count", "lon", "lat", "last_ts", F.coalesce("_r", "_d").alias("_t")).select("*", "_t.*").drop("_t")
 
 
 def reconcile(base: DataFrame, prev: DataFrame, fixes: DataFrame, grounded: DataFrame, ring: int = 2) -> DataFrame:

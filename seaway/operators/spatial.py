@@ -284,9 +284,9 @@ def clearance_violations(segs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def land_distance_km(points: DataFrame, edges: DataFrame, cap_km: float = 500.0, reach_deg: float = 3.0,
-                     radii: Sequence[float] = (60.0, 500.0)) -> DataFrame:
-    """Distance to the nearest of every fourth ring vertex, rings within ``reach_deg`` of the point, capped."""
-    v = edges.filter("edge_idx % 4 = 0").join(ring_boxes(edges), "ring_id").select(
+                     radii: Sequence[float] = (60.0, 500.0), every: int = 1) -> DataFrame:
+    """Distance to the nearest ring vertex, rings within ``reach_deg`` of the point, capped. ``every=4`` looks at every fourth vertex, as coarse scripts do."""
+    v = edges.filter(F.pmod("edge_idx", F.lit(every)) == 0).join(ring_boxes(edges), "ring_id").select(
         F.struct("ring_id", "edge_idx").alias("tid"), F.col("x1").alias("tlon"), F.col("y1").alias("tlat"), "bx0", "by0", "bx1", "by1")
     near = (F.col("lon").between(F.col("bx0") - reach_deg, F.col("bx1") + reach_deg)
             & F.col("lat").between(F.col("by0") - reach_deg, F.col("by1") + reach_deg))

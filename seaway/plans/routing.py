@@ -81,13 +81,17 @@ def hybrid_distance(parts: DataFrame) -> DataFrame:
 def assemble_polyline(parts: DataFrame, max_gap_km: float = 200.0) -> DataFrame:
     """One polyline per route from ordered parts ``(route_id, part_no, seq, lon, lat)``.
 
-    Points under 1 m from the last kept one are dropped; routes with an unexplained gap between parts are left out.
+    A route with a bad coordinate is left out, as is one with a part that starts more than ``max_gap_km`` from the end of the part
+    before it. Seams are tested on the parts as given: where the first point repeats the seam, the next one is an
+    ordinary leg of any length. Then points under 1 m from the last kept one are dropped.
     """
-    p = number_parts(parts)
+    p = cut(number_parts(parts))
+    bad = p.groupBy("route_id").agg(F.bool_or(~geo.valid_coord("lon", "lat")).alias("_bad")).filter("_bad").select("route_id")
+    broken = tracks.seam_gaps(p, max_gap_km).filter("broken").select("route_id")
+    p = p.join(bad.unionByName(broken).distinct(), "route_id", "left_anti")
     kept = renumber(dedupe_consecutive(p), ["seq"])
-    broken = tracks.seam_gaps(kept, max_gap_km).filter("broken").select("route_id")
     n = kept.groupBy("route_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select("route_id")
-    return kept.join(broken, "route_id", "left_anti").join(n, "route_id", "left_semi")
+    return kept.join(n, "route_id", "left_semi")
 
 
 def number_parts(parts: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def polar_routes(requests: DataFrame, nodes: DataFrame, graph: DataFrame, snaps:
     parts = (_one(rr, 0, "a_lon", "a_lat").unionByName(_one(rr.filter("a_proj"), 1, "a_wx", "a_wy")).unionByName(mid)
              .unionByName(_one(rr.filter("b_proj"), 3, "b_wx", "b_wy")).unionByName(_one(rr, 4, "b_lon", "b_lat")))
     # berth legs may be long: only joins between graph parts are seams, so all parts count as one here
-    line = cut(assemble_polyline(parts.withColumn("part_no", F.col("part_no")), max_gap_km=1e9))
+    line = cut(assemble_polyline(parts))
     pts, rep = finish(line, _ends(rr, dep_projected=F.col("a_proj"), dest_projected=F.col("b_proj")), edges)
     pts = cut(pts)
     return pts, rep.join(_metrics(pts), "route_id").withColumn("gap_km", F.lit(0.0))
@@ -242,7 +246,7 @@ def gateway_routes(requests: DataFrame, nodes: DataFrame, graph: DataFrame, snap
     far, line = _approach(line, c, "b", edges, False)
     parts = (_one(c, 0, "a_lon", "a_lat").unionByName(_one(c.filter("a_proj"), 1, "a_wx", "a_wy")).unionByName(wpart)
              .unionByName(line.select("route_id", F.lit(3).alias("part_no"), "seq", "lon", "lat")).unionByName(_approach_parts(far, 4, True)))
-    poly = cut(assemble_polyline(parts.join(c.select("route_id"), "route_id", "left_semi"), max_gap_km=1e9))
+    poly = cut(assemble_polyline(parts.join(c.select("route_id"), "route_id", "left_semi")))
     rr = c.join(far.select("route_id", F.size("pts").cast("bigint").alias("_tp")), "route_id")
     pts, rep = finish(poly, _ends(rr, dep_projected=F.col("a_proj"), dest_approach_points=F.col("_tp")), edges)
     pts = cut(pts)

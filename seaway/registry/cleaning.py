@@ -147,9 +147,9 @@ def slim_tracks(spark, sf):
     return ingest.track_summary(view(spark, sf, "v_track_points")).select(F.col("track_id").alias("id"), F.col("n").alias("points"), "open_ocean")
 
 
-@register("hemisphere_filter", "SELECT port_id, lat FROM v_ports WHERE lat <= -60")
+@register("hemisphere_filter", "SELECT port_id, lat + 60 AS lat FROM v_ports WHERE lat + 60 <= 0")
 def hemisphere_filter(spark, sf):
-    return view(spark, sf, "v_ports").filter("lat <= -60").select("port_id", "lat")
+    return ingest.southern(view(spark, sf, "v_ports").select("port_id", (F.col("lat") + 60).alias("lat")))
 
 
 _LAYERS = "(SELECT 'PORT' AS kind, port_id AS id, lon, lat FROM v_ports UNION ALL SELECT source, berg_id, lon, lat FROM v_bergs)"

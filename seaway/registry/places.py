@@ -41,7 +41,7 @@ def _sight(rel):
 
 def _land_km(rel, pid):
     return f"""(SELECT {pid} AS pid, min({S.hav_km('p.lon', 'p.lat', 'x1', 'y1')}) AS km FROM {rel} p JOIN rb ON p.lon BETWEEN bx0 - 3 AND bx1 + 3 AND p.lat BETWEEN by0 - 3 AND by1 + 3
-  JOIN v_ring_edges e ON e.ring_id = rb.ring_id AND edge_idx % 4 = 0 GROUP BY 1)"""
+  JOIN v_ring_edges e ON e.ring_id = rb.ring_id GROUP BY 1)"""
 
 
 _RB = "rb AS (SELECT ring_id, min(x1) AS bx0, max(x1) AS bx1, min(y1) AS by0, max(y1) AS by1 FROM v_ring_edges GROUP BY 1)"
@@ -264,11 +264,10 @@ def attach_attributes(spark, sf):
     return rc.attach_attributes(base, attrs, "berg_id", "last_update", "08/27/2026").select("berg_id", "last_update")
 
 
-@register("missing_from_baseline", f"WITH {REC} SELECT track_id AS berg_id, fix_count, fl AS lon, ft AS last_ts, 'Historical track; inactive in current bulletins' AS why_absent FROM fx WHERE track_id NOT IN (SELECT berg_id FROM v_bergs WHERE size_nm < 20) AND year(ft) >= 2024")
+@register("missing_from_baseline", f"WITH {REC} SELECT track_id AS berg_id, fix_count, fl AS lon, ft AS last_ts, CAST(NULL AS VARCHAR) AS why_absent FROM fx WHERE track_id NOT IN (SELECT berg_id FROM v_bergs_prev) AND year(ft) >= 2024")
 def missing_from_baseline(spark, sf):
-    base, _, fixes, _ = registry_inputs(spark, sf)
-    small = view(spark, sf, "v_bergs").filter("size_nm < 20")
-    return rc.missing_from_baseline(fixes, small).select("berg_id", "fix_count", "lon", "last_ts", "why_absent")
+    _, prev, fixes, _ = registry_inputs(spark, sf)
+    return rc.missing_from_baseline(fixes, prev).select("berg_id", "fix_count", "lon", "last_ts", "why_absent")
 
 
 @register("reconcile", f"""WITH {REC} SELECT berg_id, match_count, CASE WHEN match_count >= 2 THEN 'CONFIRMED_MATCH' ELSE 'SOURCE_EXCLUSIVE' END AS identity_status, {_PC} AS physical_class,

@@ -111,10 +111,15 @@ def passage_plan(spark, sf):
 
 
 @register("assemble_polyline", """SELECT route_id, CAST(ROW_NUMBER() OVER (PARTITION BY route_id ORDER BY part_no, seq) AS BIGINT) AS seq, lon, lat FROM (SELECT track_id AS route_id, seq // 9 AS part_no, seq, lon, lat FROM v_track_points
-   WHERE track_id NOT IN (SELECT track_id FROM (SELECT track_id, seq, lon, lat, lag(lon) OVER w AS x, lag(lat) OVER w AS y FROM v_track_points WINDOW w AS (PARTITION BY track_id ORDER BY seq))
-    WHERE seq % 9 = 0 AND NOT (abs(abs(x) - 180) <= 1 AND abs(abs(lon) - 180) <= 1 AND abs(y - lat) <= 5) AND """ + S.hav_km("x", "y", "lon", "lat") + """ > 80))""")
+   WHERE (track_id % 2 = 0 OR track_id NOT IN (SELECT track_id FROM (SELECT track_id, seq, lon, lat, lag(lon) OVER w AS x, lag(lat) OVER w AS y FROM v_track_points WINDOW w AS (PARTITION BY track_id ORDER BY seq))
+    WHERE seq % 9 = 0 AND NOT (abs(abs(x) - 180) <= 1 AND abs(abs(lon) - 180) <= 1 AND abs(y - lat) <= 5) AND """ + S.hav_km("x", "y", "lon", "lat") + """ > 80)) AND track_id % 7 <> 3)""")
 def assemble_polyline(spark, sf):
-    t = view(spark, sf, "v_track_points").select(F.col("track_id").alias("route_id"), F.floor(F.col("seq") / 9).alias("part_no"), "seq", "lon", "lat")
+    """Parts of nine points. Even tracks repeat the seam point at the start of the next part; tracks 3, 10, 17, ... hold a latitude of -95."""
+    t = view(spark, sf, "v_track_points").select(F.col("track_id").alias("route_id"), F.floor(F.col("seq") / 9).alias("part_no"), (F.col("seq") * 2).alias("seq"), "lon", "lat")
+    part, last = F.col("part_no"), (F.col("route_id") % 2 == 0) & (F.col("seq") % 18 == 16)
+    copies = F.array_compact(F.array(F.struct(part.alias("p"), F.col("seq").alias("s")), F.when(last, F.struct((part + 1).alias("p"), (F.col("seq") + 1).alias("s")))))
+    t = t.withColumn("c", F.explode(copies)).select("route_id", F.col("c.p").alias("part_no"), F.col("c.s").alias("seq"), "lon", "lat")
+    t = t.withColumn("lat", F.when((F.col("route_id") % 7 == 3) & (F.col("seq") == 4), -95.0).otherwise(F.col("lat")))
     return rt.assemble_polyline(t, 80.0).select("route_id", "seq", "lon", "lat")
 
 
@@ -132,7 +137,7 @@ def string_pull(spark, sf):
 
 @register("corner_cut")
 def corner_cut(spark, sf):
-    return sm.corner_cut(_routes(spark, sf), ring_edges(spark, sf), passes=1)
+    return sm.corner_cut(_routes(spark, sf), ring_edges(spark, sf), )
 
 
 @register("fillet")

@@ -138,7 +138,7 @@ def clearance_violations(spark, sf):
 
 _LAND = f"""(WITH b AS (SELECT ring_id, min(x1) AS bx0, max(x1) AS bx1, min(y1) AS by0, max(y1) AS by1 FROM v_ring_edges GROUP BY 1)
   SELECT port_id AS pid, min({S.hav_km('p.lon', 'p.lat', 'x1', 'y1')}) AS km FROM v_ports p JOIN b ON p.lon BETWEEN bx0 - 3 AND bx1 + 3 AND p.lat BETWEEN by0 - 3 AND by1 + 3
-  JOIN v_ring_edges e ON e.ring_id = b.ring_id AND edge_idx % 4 = 0 GROUP BY 1)"""
+  JOIN v_ring_edges e ON e.ring_id = b.ring_id GROUP BY 1)"""
 
 
 @register("land_distance", f"SELECT port_id AS pid, round(least(coalesce(km, 500), 500), 5) AS land_km FROM v_ports LEFT JOIN {_LAND} ON pid = port_id")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from seaway.functions import clean
 from seaway.functions.geo import valid_coord
+from seaway.session import cut
 
 # fixed values: input header -> output column of the port table
 PORT_COLUMNS = {
@@ -86,7 +87,7 @@ def _track_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select(
         F.upper(name).alias("track_id"), F.trim("value").alias("line"),
         F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("pos"))
-    raw = raw.filter("line != ''")
+    raw = cut(raw.filter("line != ''"))  # positions are numbered in one scan that both sides below read
     head = raw.groupBy("track_id").agg(F.min_by("line", "pos").alias("header"), F.min("pos").alias("hpos"))
     return raw.join(head, "track_id").filter("pos != hpos").select(
         "track_id", "pos", F.transform(F.split("line", ","), lambda v: F.trim(v)).alias("parts"), F.split("header", ",").alias("header"))
@@ -150,7 +151,7 @@ def read_polygons(spark: SparkSession, path: str, multiline: bool = False) -> Da
     else:
         f = spark.read.schema(_FEATURE).json(path)
     f = f.filter("geometry is not null").select(F.monotonically_increasing_id().alias("fid"), "geometry.type", "geometry.coordinates")
-    return rings_from_features(f)
+    return rings_from_features(cut(f))  # numbered once, so that every later use sees the same ids
 
 
 def ring_edges(points: DataFrame) -> DataFrame:
@@ -164,7 +165,7 @@ def read_rings(spark: SparkSession, path: str) -> DataFrame:
     """Ring points of rows ``{"bbox": [...], "ring": [[lon, lat], ...]}``."""
     sch = T.StructType([T.StructField("bbox", T.ArrayType(T.DoubleType())), T.StructField("ring", T.ArrayType(T.ArrayType(T.DoubleType())))])
     r = spark.read.schema(sch).json(path).select(F.monotonically_increasing_id().alias("ring_id"), "ring")
-    r = r.select("ring_id", F.posexplode("ring").alias("idx", "pt"))
+    r = cut(r).select("ring_id", F.posexplode("ring").alias("idx", "pt"))
     return r.select("ring_id", F.col("idx").cast("bigint").alias("idx"), F.get("pt", F.lit(0)).alias("lon"), F.get("pt", F.lit(1)).alias("lat"))
 
 
