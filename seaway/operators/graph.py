@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seaway.functions import geo
 from seaway.operators import spatial as sp
-from seaway.session import cut
+from seaway.session import cut, settle
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -147,46 +147,60 @@ def _relax(frontier: DataFrame, both: DataFrame, max_km: float | None) -> DataFr
     return x.groupBy("source", "node_id").agg(F.min("dist_km").alias("dist_km"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_km: float | None = None, hops: int = 3, max_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_km: float | None = None, hops: int = 3, max_rounds: int = 10_000, targets: DataFrame | None = None) -> DataFrame:
     """Exact distances from many sources at once: (source, node_id, dist_km, pred).
 
     Each round relaxes the improved nodes ``hops`` edges further for all sources together and keeps only
-    improvements; it ends when there is none. ``pred`` is the lowest neighbour id on a shortest path.
+    improvements; it ends when there is none. ``pred`` is the lowest neighbour id on a shortest path. With
+    ``targets(source, node_id)`` a source stops growing past its farthest target once all of them are reached, and nodes beyond
+    that distance are left out.
     """
-    both = cut(mirrored(edges).groupBy("src", "dst").agg(F.min("weight_km").alias("weight_km")))
+    both = settle(mirrored(edges).groupBy("src", "dst").agg(F.min("weight_km").alias("weight_km")))
     zero = both.schema["weight_km"].dataType
-    best = cut(sources.select("source", F.col("source").alias("node_id"), F.lit(0).cast(zero).alias("dist_km")).distinct())
+    best = settle(sources.select("source", F.col("source").alias("node_id"), F.lit(0).cast(zero).alias("dist_km")).distinct())
     frontier = best
+    wanted = None if targets is None else settle(targets.select("source", "node_id").distinct())
     for _ in range(max_rounds):
         step, seen = frontier, None
         for _ in range(hops):
             step = _relax(step, both, max_km)
             seen = step if seen is None else seen.unionByName(step)
         cand = seen.groupBy("source", "node_id").agg(F.min("dist_km").alias("new_km"))
-        merged = cut(best.join(cand, ["source", "node_id"], "full_outer").select(
+        merged = settle(best.join(cand, ["source", "node_id"], "full_outer").select(
             "source", "node_id", F.least("dist_km", "new_km").alias("dist_km"),
             F.coalesce(F.col("new_km") < F.col("dist_km"), F.col("dist_km").isNull()).alias("moved")))
         best, frontier = merged.drop("moved"), merged.filter("moved").drop("moved")
+        if wanted is not None:
+            limit = settle(_limits(best, wanted))
+            frontier = frontier.join(limit, "source", "left").filter(F.col("_limit").isNull() | (F.col("dist_km") < F.col("_limit"))).drop("_limit")
         if frontier.isEmpty():
             break
     else:
         raise RuntimeError("distances did not settle")
+    if wanted is not None:
+        best = best.join(_limits(best, wanted), "source", "left").filter(F.col("_limit").isNull() | (F.col("dist_km") <= F.col("_limit"))).drop("_limit")
     back = best.select("source", F.col("node_id").alias("src"), F.col("dist_km").alias("_d"))
     via = best.join(both.withColumnRenamed("dst", "node_id"), "node_id").join(back, ["source", "src"])
     pred = via.filter(F.col("_d") + F.col("weight_km") == F.col("dist_km")).groupBy("source", "node_id").agg(F.min("src").alias("pred"))
     return best.join(pred, ["source", "node_id"], "left")
 
 
+def _limits(best: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Distance of the farthest target of each source whose targets are all reached."""
+    x = wanted.join(best, ["source", "node_id"], "left").groupBy("source").agg(F.max("dist_km").alias("_limit"), F.bool_or(F.col("dist_km").isNull()).alias("_open"))
+    return x.filter("not _open").select("source", "_limit")
+
+
 def path_points(paths: DataFrame, pairs: DataFrame) -> DataFrame:
     """Ordered nodes of the shortest path of each pair ``(source, target)``: (source, target, hop, node_id).
 
     Predecessor pointers are doubled, so a path of n nodes takes log2(n) joins instead of n.
     """
-    jump = cut(paths.filter("pred is not null").select("source", "node_id", F.col("pred").alias("up"), F.lit(1).cast("bigint").alias("steps")))
+    jump = settle(paths.filter("pred is not null").select("source", "node_id", F.col("pred").alias("up"), F.lit(1).cast("bigint").alias("steps")))
     levels = [jump]
     while True:
         nxt = jump.select("source", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("s2"))
-        jump = cut(jump.join(nxt, ["source", "up"]).select("source", "node_id", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps")))
+        jump = settle(jump.join(nxt, ["source", "up"]).select("source", "node_id", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps")))
         if jump.isEmpty():
             break
         levels.append(jump)
@@ -196,7 +210,7 @@ def path_points(paths: DataFrame, pairs: DataFrame) -> DataFrame:
     for lv in reversed(levels):
         hop = walk.join(lv, ["source", "node_id"]).select("source", "target", F.col("up").alias("node_id"), (F.col("back") + F.col("steps")).alias("back"))
         walk = walk.unionByName(hop)
-    walk = cut(walk)
+    walk = settle(walk)
     total = walk.groupBy("source", "target").agg(F.max("back").alias("_n"))
     return walk.join(total, ["source", "target"]).select("source", "target", (F.col("_n") - F.col("back")).alias("hop"), "node_id")
 

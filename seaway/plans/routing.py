@@ -149,15 +149,15 @@ def _snap_side(snaps: DataFrame, p: str) -> DataFrame:
 def polar_routes(requests: DataFrame, nodes: DataFrame, graph: DataFrame, snaps: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Routes over the water graph between two snapped ports: (points, report with metrics)."""
     r = cut(requests.join(_snap_side(snaps, "a"), "a_id").join(_snap_side(snaps, "b"), "b_id").withColumn("route_id", F.col("pair_id")))
-    paths = cut(g.shortest_paths(graph, r.select(F.col("a_node").alias("source")).distinct()))
     od = r.select("route_id", F.col("a_node").alias("source"), F.col("b_node").alias("target"))
+    paths = cut(g.shortest_paths(graph, od.select("source").distinct(), targets=od.select("source", F.col("target").alias("node_id"))))
     mid = _path_parts(paths, od, nodes, 2)
     ok = mid.select("route_id").distinct()
     rr = r.join(ok, "route_id", "left_semi")
     parts = (_one(rr, 0, "a_lon", "a_lat").unionByName(_one(rr.filter("a_proj"), 1, "a_wx", "a_wy")).unionByName(mid)
              .unionByName(_one(rr.filter("b_proj"), 3, "b_wx", "b_wy")).unionByName(_one(rr, 4, "b_lon", "b_lat")))
-    # berth legs may be long: only joins between graph parts are seams, so all parts count as one here
-    line = cut(assemble_polyline(parts))
+    # berth legs may be long and are no seams: the whole route counts as one part
+    line = cut(assemble_polyline(number_parts(parts).withColumn("part_no", F.lit(2))))
     pts, rep = finish(line, _ends(rr, dep_projected=F.col("a_proj"), dest_projected=F.col("b_proj")), edges)
     pts = cut(pts)
     return pts, rep.join(_metrics(pts), "route_id").withColumn("gap_km", F.lit(0.0))
@@ -246,7 +246,8 @@ def gateway_routes(requests: DataFrame, nodes: DataFrame, graph: DataFrame, snap
     far, line = _approach(line, c, "b", edges, False)
     parts = (_one(c, 0, "a_lon", "a_lat").unionByName(_one(c.filter("a_proj"), 1, "a_wx", "a_wy")).unionByName(wpart)
              .unionByName(line.select("route_id", F.lit(3).alias("part_no"), "seq", "lon", "lat")).unionByName(_approach_parts(far, 4, True)))
-    poly = cut(assemble_polyline(parts.join(c.select("route_id"), "route_id", "left_semi")))
+    parts = number_parts(parts.join(c.select("route_id"), "route_id", "left_semi"))
+    poly = cut(assemble_polyline(parts.withColumn("part_no", F.greatest("part_no", F.lit(2)))))  # berth, projection and water path are one part
     rr = c.join(far.select("route_id", F.size("pts").cast("bigint").alias("_tp")), "route_id")
     pts, rep = finish(poly, _ends(rr, dep_projected=F.col("a_proj"), dest_approach_points=F.col("_tp")), edges)
     pts = cut(pts)
@@ -294,19 +295,38 @@ def plan_routes(requests: DataFrame, nodes: DataFrame, graph: DataFrame, snaps:
     live = req.filter("guard is null")
     comps = cut(g.connected_components(nodes, graph))
     case = cut(classify_pairs(live, snaps, comps))
-    out = {}
-    out["POLAR"] = polar_routes(live, nodes, graph, snaps, edges)
-    out["NETWORK"] = network_routes(live.filter("a_lat > -60 or b_lat > -60"), lane_nodes, lanes, edges)
+    # each strategy works on what the ones before it left open; lanes and gateways are compared, so they share a stage
+    done: list[tuple[str, tuple[DataFrame, DataFrame]]] = []
+
+    def left(requests: DataFrame) -> DataFrame:
+        for _, (_, r) in done:
+            requests = requests.join(r.filter("result = 'PASS'").select(F.col("route_id").alias("pair_id")), "pair_id", "left_anti")
+        return cut(requests)
+
+    def stage(name: str, requests: DataFrame, build) -> None:
+        if not requests.isEmpty():
+            points, report = build(requests)
+            done.append((name, (points, cut(report))))
+
+    stage("POLAR", live, lambda r: polar_routes(r, nodes, graph, snaps, edges))
+    todo = left(live)
+    lanes_of = lambda r: network_routes(r, lane_nodes, lanes, edges)
     mixed = case.filter("topology in (3, 4)").withColumn("polar", F.when(F.col("topology") == 4, "a").otherwise("b"))
-    out["GATEWAY"] = gateway_routes(mixed, nodes, graph, snaps, gateways, lane_nodes, lanes, edges)[:2]
-    out["DIRECT"] = direct_lines(live, edges)
+    stage("NETWORK", todo.filter("a_lat > -60 and b_lat > -60"), lanes_of)
+    stage("GATEWAY", mixed.join(todo.select("pair_id"), "pair_id", "left_semi"), lambda r: gateway_routes(r, nodes, graph, snaps, gateways, lane_nodes, lanes, edges)[:2])
+    todo = left(todo)
+    stage("NETWORK", todo.filter("(a_lat > -60) <> (b_lat > -60)"), lanes_of)
+    stage("DIRECT", left(todo), lambda r: direct_lines(r, edges))
     cols = ["route_id", "result", "length_km", "tortuosity", "first_reason"]
     rep, pts = None, None
-    for name, (p, r) in out.items():
+    for name, (p, r) in done:
         r = r.select(*cols).withColumn("strategy", F.lit(name))
         p = p.select("route_id", "seq", "lon", "lat").withColumn("strategy", F.lit(name))
         rep = r if rep is None else rep.unionByName(r)
         pts = p if pts is None else pts.unionByName(p)
+    if rep is None:
+        rep = live.sparkSession.createDataFrame([], f"route_id {req.schema['pair_id'].dataType.simpleString()}, result string, length_km double, tortuosity double, first_reason string, strategy string")
+        pts = live.sparkSession.createDataFrame([], f"route_id {req.schema['pair_id'].dataType.simpleString()}, seq long, lon double, lat double, strategy string")
     rep = cut(rep.withColumnRenamed("route_id", "pair_id"))
     pick = cut(choose_strategy(rep, req))
     why = rep.filter("first_reason is not null").groupBy("pair_id").agg(F.min("first_reason").alias("reason"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ def build_session(app: str = "seaway", master: str | None = None, shuffle: int |
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # long expressions are built much faster
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -52,3 +54,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the plan restarts from files that survive the loss of an executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The frame written to the checkpoint folder as Parquet and read again; for loops.
+
+    A checkpointed frame keeps the size that was estimated for it, and estimates of joins are products. In a loop that joins a
+    frame with itself they double their digits every round until planning takes longer than the work. Files have a size of their own.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
