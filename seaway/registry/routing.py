@@ -193,12 +193,14 @@ def _setup(spark, sf):
     return req, water, we, lane, le, snaps
 
 
+@register("polar_routes")
 def polar_routes(spark, sf):
+    """Routes over the water graph for all requests whose two ports snap to it (invariants in the tests)."""
     req, water, we, _, _, snaps = _setup(spark, sf)
     return rt.polar_routes(req.filter("a_id != b_id"), water, we, snaps, cut(ring_edges(spark, sf)))[1].select("route_id", "result", "length_km", "tortuosity", "n_points")
 
 
 def plan_routes(spark, sf):
-    """Whole plans of the request table; a long chain of jobs, so it is not part of the registered queries."""
+    """Whole plans of the request table: several hundred jobs, so it is run by the tests on a few requests and not registered."""
     req, water, we, lane, le, snaps = _setup(spark, sf)
     return rt.plan_routes(req, water, we, snaps, view(spark, sf, "v_gateways"), lane, le, cut(ring_edges(spark, sf)))[1]

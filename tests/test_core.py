@@ -232,3 +232,40 @@ def test_corrections_have_old_and_new(spark):
     c = {(r.berg_id, r.attribute): r for r in reconcile.corrections(x).collect()}
     assert set(c) == {(1, "COORDINATES_AND_OBSERVATION_DATE"), (1, "AREA_AND_DIMENSIONS")}
     assert c[(1, "AREA_AND_DIMENSIONS")].old.area_km2 == 9.0
+
+
+def test_seams_are_tested_on_the_parts_as_given(spark):
+    from seaway.plans import routing as rt
+
+    rows = [(1, 1, 1, 0.0, -60.0), (1, 1, 2, 1.0, -60.0), (1, 2, 1, 1.0, -60.0), (1, 2, 2, 10.0, -60.0), (1, 2, 3, 11.0, -60.0)]
+    rows += [(2, 1, 1, 0.0, -60.0), (2, 2, 1, 9.0, -60.0)]  # a part that starts 500 km away
+    rows += [(3, 1, 1, 0.0, -60.0), (3, 1, 2, 0.5, -95.0)]  # a bad coordinate
+    got = rt.assemble_polyline(spark.createDataFrame(rows, "route_id long, part_no int, seq long, lon double, lat double"))
+    assert sorted((r.route_id, r.seq, r.lon) for r in got.collect()) == [(1, 1, 0.0), (1, 2, 1.0), (1, 3, 10.0), (1, 4, 11.0)]
+
+
+def test_shortest_paths_stop_behind_the_farthest_target(spark):
+    from seaway.operators import graph as g
+
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(60)] + [(0, 5, 2.0)], "src long, dst long, weight_km double")
+    src = spark.createDataFrame([(0,), (50,)], "source long")
+    want = {(r.source, r.node_id): r.dist_km for r in g.shortest_paths(edges, src).collect()}
+    targets = spark.createDataFrame([(0, 9), (0, 3), (50, 48)], "source long, node_id long")
+    got = {(r.source, r.node_id): r.dist_km for r in g.shortest_paths(edges, src, targets=targets).collect()}
+    assert got == {k: d for k, d in want.items() if d <= (6.0 if k[0] == 0 else 2.0)}
+    none = spark.createDataFrame([(0, 99)], "source long, node_id long")
+    assert g.shortest_paths(edges, src, targets=none).count() == len(want)
+
+
+def test_absent_targets_with_reasons(spark):
+    import datetime
+
+    from seaway.operators import reconcile as rc
+
+    day = datetime.datetime(2025, 1, 1)
+    fixes = spark.createDataFrame([("a1", 1, day, 0.0, -60.0), ("b2", 1, day, 1.0, -61.0), ("c3", 1, day, 2.0, -62.0)], "track_id string, seq long, ts timestamp, lon double, lat double")
+    base = spark.createDataFrame([("c3",)], "berg_id string")
+    reasons = spark.createDataFrame([("A1", "melted", "high", "KEPT", "none"), (None, "unknown", "low", "KEPT", "none")], "berg_id string, why_absent string, relevance string, disposition string, action string")
+    got = {r.berg_id: r.why_absent for r in rc.missing_from_baseline(fixes, base, reasons=reasons).collect()}
+    assert got == {"a1": "melted", "b2": "unknown"}
+    assert {r.why_absent for r in rc.missing_from_baseline(fixes, base).collect()} == {None}
