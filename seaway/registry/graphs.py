@@ -134,9 +134,13 @@ def shortest_paths(spark, sf):
     return gateway_paths(spark, sf).select("source", "node_id", F.col("dist_km").cast("bigint").alias("dist_km"), "pred")
 
 
-@register("path_points")
+@register("path_points", f"""WITH {_SP}, pr AS (SELECT b.s AS source, b.n AS node_id, MIN(p.n) AS pred FROM b LEFT JOIN (SELECT b.s, b.n, b.d, sy.dst, sy.weight_km FROM b JOIN sy ON sy.src = b.n) p
+  ON p.s = b.s AND p.dst = b.n AND p.d + p.weight_km = b.d GROUP BY 1, 2, b.d),
+ walk(source, target, node_id, back, pred) AS (SELECT source, node_id, node_id, CAST(0 AS BIGINT), pred FROM pr
+  UNION ALL SELECT w.source, w.target, w.pred, w.back + 1, p.pred FROM walk w JOIN pr p ON p.source = w.source AND p.node_id = w.pred)
+ SELECT source, target, CAST(max(back) OVER (PARTITION BY source, target) - back AS BIGINT) AS hop, node_id FROM walk""")
 def path_points(spark, sf):
-    """Paths from every gateway node to every node it reaches; checked in the tests."""
+    """Paths from every gateway node to every node it reaches."""
     p = gateway_paths(spark, sf)
     return g.path_points(p, p.select("source", F.col("node_id").alias("target")))
 
