@@ -13,12 +13,18 @@ def ring_edges(spark, sf):
 
 
 def route_segs(spark, sf):
-    return view(spark, sf, "v_legs").filter("abs(lon1 - lon2) <= 180").select(
-        (F.col("route_id") * 64 + F.col("seq")).alias("sid"), F.col("lon1").alias("x1"), F.col("lat1").alias("y1"),
-        F.col("lon2").alias("x2"), F.col("lat2").alias("y2"))
-
-
-SEGS = "(SELECT route_id * 64 + seq AS sid, lon1 AS sx1, lat1 AS sy1, lon2 AS sx2, lat2 AS sy2 FROM v_legs WHERE abs(lon1 - lon2) <= 180)"
+    """All legs as planar segments: a leg over the antimeridian is two of them. ``sid`` is even for the first part of a leg, odd for the second."""
+    x = view(spark, sf, "v_legs").select(((F.col("route_id") * 1_000_000 + F.col("seq")) * 2).alias("sid"), F.col("lon1").alias("x1"), F.col("lat1").alias("y1"),
+                                         F.col("lon2").alias("x2"), F.col("lat2").alias("y2"), F.col("lon1").alias("_x"))
+    x = sp.split_antimeridian(x)
+    return x.withColumn("sid", F.col("sid") + F.when(F.col("x1") == F.col("_x"), 0).otherwise(1)).drop("_x")
+
+
+_OVER = "FROM v_legs WHERE abs(lon1 - lon2) > 180"
+_SIDE = "CASE WHEN lon1 < 0 THEN -180e0 ELSE 180e0 END"
+SEGS = f"""(SELECT (route_id * 1000000 + seq) * 2 AS sid, lon1 AS sx1, lat1 AS sy1, lon2 AS sx2, lat2 AS sy2 FROM v_legs WHERE abs(lon1 - lon2) <= 180
+  UNION ALL SELECT (route_id * 1000000 + seq) * 2, lon1, lat1, {_SIDE}, (lat1 + lat2) / 2e0 {_OVER}
+  UNION ALL SELECT (route_id * 1000000 + seq) * 2 + 1, -({_SIDE}), (lat1 + lat2) / 2e0, lon2, lat2 {_OVER})"""
 
 
 def ports_as_points(spark, sf):

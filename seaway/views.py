@@ -62,7 +62,7 @@ FROM (SELECT user_id, event_id, ts, event_type, value,
 # M9: one route per order
 VIEWS["v_routes"] = """
 SELECT l_orderkey AS route_id, seq,
-       (((l_orderkey * 5087) % 33000 + seq * 150 + l_partkey % 41) % 36000) / 100e0 - 180e0 AS lon,
+       (((l_orderkey * 5087) % 36000 + seq * 150 + l_partkey % 41) % 36000) / 100e0 - 180e0 AS lon,
        ((l_orderkey * 1999) % 2400 + (l_suppkey * 29) % 120) / 100e0 - 76e0 AS lat
 FROM (SELECT l_orderkey, l_partkey, l_suppkey,
              CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey
@@ -159,7 +159,7 @@ def _routes(spark, sf_dir):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     li = number_rows(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
                      F.struct("l_linenumber", F.floor(F.col("l_partkey") / 65536)))
-    lon = ((F.col("l_orderkey") * 5087) % 33000 + F.col("seq") * 150 + F.col("l_partkey") % 41) % 36000
+    lon = ((F.col("l_orderkey") * 5087) % 36000 + F.col("seq") * 150 + F.col("l_partkey") % 41) % 36000
     lat = (F.col("l_orderkey") * 1999) % 2400 + (F.col("l_suppkey") * 29) % 120
     return li.select(F.col("l_orderkey").alias("route_id"), "seq",
                      (lon / 100.0 - 180.0).alias("lon"), (lat / 100.0 - 76.0).alias("lat"))
