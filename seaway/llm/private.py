@@ -1,6 +1,8 @@
 """Private values replaced by format-preserving pseudonyms (operator 8), DataFrame functions only.
 
-Values are found by one pattern and validated (check digits, calendar, ranges). The free positions of a valid value are
+Every place where a value may start is looked at. The forms it may have there (an account number has the length of its country,
+a longer run of groups may end before its last ones) are validated in turn (check digits, calendar, ranges); the first valid one
+is taken, and the search goes on behind it. The free positions of a valid value are
 permuted by a keyed Feistel network over their own alphabets, and check digits are computed anew, so the pseudonym is a
 valid value of the same format and length, equal values keep equal pseudonyms in all texts and whatever their
 separators, and different values stay different. What fails its validation stays as it is.
@@ -38,7 +40,21 @@ IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 PHONE = r"\+[0-9]{1,3}[ -]?\(?[0-9]{1,4}\)?(?:[ -]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9])"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = r"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+(-])(?:" + "|".join((KEY, EMAIL, IBAN, SHIP, DATE, IP, SSN, CARD, PHONE)) + ")"
+PHONE_ONLY = r"[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9]|-[0-9])"  # no card is grouped like this
+CARD_USUAL = r"[0-9]{13,19}(?![0-9])|[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])"  # tried before others, whose check one in ten fulfils by chance
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK ST TN VG", 25: "LY PT", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_FIXED = "(?:" + "|".join(
+    f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+# digits of whole numbers of countries with one length, or a narrow range of lengths; all others may have 7 to 17
+PHONE_FIXED = r"^(?:[17][0-9]{10}|(?:20|98)[0-9]{10}|(?:27|3[01349]|4[0158]|5[168]|6[146]|84|90)[0-9]{9,10}|(?:32|36|45|47|65)[0-9]{8,9}|(?:44|5[257]|6[03]|9[1-4])[0-9]{9,10}|(?:35[1-9]|42[01]|97[0-7])[0-9]{8,9}|86[0-9]{10,11}|81[0-9]{9,10}|49[0-9]{10,11})$"
+WINDOW = 48  # characters in which every value but a key or an e-mail address ends
+_NUMBER = "|".join((IBAN, SHIP, DATE, IP, SSN, CARD, PHONE))
+START = rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+(-])(?=({KEY}|{EMAIL}|(?={_NUMBER})[\s\S]{{1,{WINDOW}}}))"
+BLOCK = 256  # pieces that are joined at a time
 DAYS = (17, 4297)  # 17 * 4297 = 73,049 days from 1900-01-01 to 2099-12-31
 
 
@@ -80,14 +96,6 @@ def mod97(text: Column) -> Column:
     return F.aggregate(_chars(text), F.lit(0), lambda a, c: ((a * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97).cast("int"))
 
 
-def _kind(m: Column) -> Column:
-    kind = F.lit(None).cast("string")
-    for name, pattern in reversed(KINDS):
-        kind = F.when(m.rlike("^(?:" + pattern + ")$"), name).otherwise(kind)
-    return kind
-
-
-KINDS = (("key", KEY), ("email", EMAIL), ("iban", IBAN), ("ship", SHIP), ("date", DATE), ("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE))
 KEY_HEAD = r'^(AKIA|ASIA|[A-Za-z_]+\s*[=:]\s*"?)'
 
 
@@ -166,6 +174,67 @@ def _refilled(text: Column, new: Column) -> Column:
     return F.aggregate(_chars(text), start, step)["s"]
 
 
+def _forms(w: Column) -> Column:
+    """The values that a text may begin with, (m, kind), the likeliest first."""
+    at = lambda pattern: F.regexp_extract(w, f"^(?:{pattern})", 0)
+    form = lambda m, kind: F.struct(m.alias("m"), F.lit(kind).alias("kind"))
+
+    def shorter(pattern: str, ending: str, times: int, least: str) -> list[Column]:
+        """The longest match, then without its last groups; only the longest may have ``least`` unfulfilled."""
+        found = [at(pattern)]
+        for _ in range(times):
+            found.append(F.regexp_replace(found[-1], ending, ""))
+        return found[:1] + [F.when(m.rlike(least), m).otherwise("") for m in found[1:]]
+
+    def listed(pairs: list[tuple[Column, str]]) -> Column:
+        return F.filter(F.array(*[form(m, kind) for m, kind in pairs]), lambda f: f["m"] != "")
+
+    phones = F.array_distinct(F.array(*shorter(PHONE, "[ -][0-9]+$", 3, f"^(?:{PHONE})$")))
+    plain = lambda m: F.regexp_replace(m, "[^0-9]", "")
+    phones = F.concat(F.filter(phones, lambda m: plain(m).rlike(PHONE_FIXED)), phones)
+    phones = F.transform(F.filter(phones, lambda m: m != ""), lambda m: form(m, "phone"))
+    fixed = at(IBAN_FIXED)
+    ibans = [fixed, *[F.when(fixed == "", m).otherwise("") for m in shorter(IBAN, " [A-Z0-9]+$", 8, "^[A-Z0-9 ]{14,}$")]]
+    # a shorter card has groups of three digits at least, so that rows of small numbers are not searched for chance hits
+    cards = [at(CARD_USUAL), *shorter(CARD, "[ -][0-9]+$", 6, "^(?=(?:[ -]?[0-9]){13})[0-9]{3,}(?:[ -][0-9]{3,})*$")]
+    digits = listed([(at(DATE), "date"), (at(IP), "ip"), (at(SSN), "ssn"), (at(PHONE_ONLY), "phone"), *[(m, "card") for m in cards]])
+    words = [(at(KEY), "key"), (at(EMAIL), "email")]
+    return F.when(at(EMAIL) != "", listed(words)).when(w.rlike("^[0-9]"), F.concat(digits, phones)).when(w.rlike("^[+(]"), phones).otherwise(listed([*words, *[(m, "iban") for m in ibans], (at(SHIP), "ship")]))
+
+
+def _annotated(form: Column) -> Column:
+    """A form with what tells whether it is valid: ``body`` or ``numbers``."""
+    kind, m = form["kind"], form["m"]
+    plain = F.regexp_replace(m, "[^A-Z0-9]", "")
+    plain = F.when(kind.isin("card", "ship"), F.regexp_replace(plain, "[A-Z]", "")).otherwise(plain)
+    x = F.array(F.struct(m.alias("m"), kind.alias("kind"), plain.alias("plain"), F.when(kind == "date", _calendar(m)).alias("day")))
+    return F.get(_add(_add(x, head=_head), body=_body, numbers=_numbers), F.lit(0))
+
+
+def _first_valid(w: Column) -> Column:
+    """The first valid form of what may start at ``w``, annotated; null without one."""
+    return F.get(F.filter(F.transform(_forms(w), _annotated), lambda x: x["body"].isNotNull() | x["numbers"].isNotNull()), F.lit(0))
+
+
+def _walked(pieces: Column) -> Column:
+    """Texts and kinds of pieces ``(p, t, kind, n)`` from left to right: a value ``t`` stands for ``n`` characters, over the next pieces too; values that start inside it are left out."""
+    part = "struct<text:string,kind:string>"
+    empty = lambda skip: F.struct(skip.alias("skip"), F.array().cast(f"array<{part}>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        take = (a["skip"] == 0) & x["t"].isNotNull()
+        skip = F.when(take, x["n"]).otherwise(a["skip"])
+        rest = F.substr(x["p"], skip + 1, F.length(x["p"]))
+        one = F.struct(F.when(take, F.concat(x["t"], rest)).otherwise(rest).alias("text"), F.when(take, x["kind"]).alias("kind"))
+        return F.struct(F.greatest(F.lit(0), skip - F.length(x["p"])).alias("skip"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    def block(a: Column, b: Column) -> Column:
+        done = F.aggregate(F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)), empty(a["skip"]), step)
+        return F.get(F.transform(F.array(done), lambda d: F.struct(d["skip"].alias("skip"), F.concat(a["out"], d["out"]).alias("out"))), F.lit(0))
+
+    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), empty(F.lit(0)), block)["out"]
+
+
 def _new_text(x: Column) -> Column:
     """The pseudonym as it stands in the text."""
     kind, m, made, head, v = x["kind"], x["m"], x["made"], x["head"], x["values"]
@@ -199,11 +268,8 @@ def _add(rows: Column, **fields) -> Column:
 
 
 def pseudonyms(found: Column, secret: str) -> Column:
-    """For an array of found values: structs with ``kind`` (null if not valid) and ``text``, the value to write."""
-    x = F.transform(found, lambda m: F.struct(m.alias("m"), _kind(m).alias("kind"), F.regexp_replace(m, "[^A-Z0-9]", "").alias("plain")))
-    x = F.transform(x, lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), F.when(e["kind"].isin("card", "ship"), F.regexp_replace(e["plain"], "[A-Z]", "")).otherwise(e["plain"]).alias("plain"), F.when(e["kind"] == "date", _calendar(e["m"])).alias("day")))
-    x = _add(x, head=_head)
-    x = _add(x, body=_body, numbers=_numbers)
+    """For an array of texts that a value may start: structs with ``kind``, ``text``, the value to write, and ``n``, the characters it stands for; null if none is valid."""
+    x = F.transform(found, _first_valid)
     x = _add(x, cs=lambda e: F.filter(_chars(F.coalesce(e["body"], F.lit(""))), lambda c: _radix(c) > 1), hex=lambda e: (e["kind"] == "key") & e["body"].rlike("^[0-9a-f]+$"))
     hexa = lambda c: F.conv(c, 16, 10).cast("int")
     x = _add(x, values=lambda e: F.when(e["numbers"].isNotNull(), e["numbers"]).when(e["hex"], F.transform(e["cs"], hexa)).otherwise(F.transform(e["cs"], lambda c: (F.ascii(c) - _base(c)).cast("int"))),
@@ -212,8 +278,7 @@ def pseudonyms(found: Column, secret: str) -> Column:
         x = _add(x, values=lambda e, n=number: _turn(e, n, secret))
     back = lambda e: F.zip_with(e["values"], e["cs"], lambda v, c: F.when(e["hex"], F.lower(F.hex(v))).otherwise(F.char(v + _base(c))))
     x = _add(x, made=lambda e: F.when(e["body"].isNotNull(), F.array_join(back(e), "")))
-    valid = lambda e: e["body"].isNotNull() | e["numbers"].isNotNull()
-    return F.transform(x, lambda e: F.struct(F.when(valid(e), e["kind"]).alias("kind"), F.when(valid(e), _new_text(e)).otherwise(e["m"]).alias("text")))
+    return F.transform(x, lambda e: F.when(e.isNotNull(), F.struct(e["kind"].alias("kind"), _new_text(e).alias("text"), F.length(e["m"]).alias("n"))))
 
 
 def pseudonymise(plans: DataFrame, plan_text: str = "plan_text", secret: str = "seaway") -> DataFrame:
@@ -224,10 +289,13 @@ def pseudonymise(plans: DataFrame, plan_text: str = "plan_text", secret: str = "
     permutation, and who has it can undo it.
     """
     text = F.col(plan_text)
-    x = plans.withColumn("_seaway_found", F.when(text.rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))))
+    x = plans.withColumn("_seaway_found", F.when(text.rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(START), F.lit(1))))
     x = x.withColumn("_seaway_new", F.when(F.size("_seaway_found") > 0, pseudonyms(F.col("_seaway_found"), secret)))
-    some = F.exists("_seaway_new", lambda n: n["kind"].isNotNull())
-    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("_seaway_new"), lambda p, n: F.concat(p, F.coalesce(n["text"], F.lit("")))), "")
-    kinds = F.transform(F.filter("_seaway_new", lambda n: n["kind"].isNotNull()), lambda n: n["kind"])
-    x = x.withColumn(plan_text, F.when(some, joined).otherwise(text)).withColumn("private_kinds", F.coalesce(kinds, F.array().cast("array<string>")))
-    return x.drop("_seaway_found", "_seaway_new")
+    some = F.exists("_seaway_new", lambda n: n.isNotNull())
+    # a line end in front: a split leaves out an empty first piece, and borders do not see it
+    pieces = F.zip_with(F.split(F.concat(F.lit("\n"), text), START, -1), F.concat(F.array(F.lit(None)), F.col("_seaway_new")), lambda p, n: F.struct(p.alias("p"), n["text"].alias("t"), n["kind"].alias("kind"), n["n"].alias("n")))
+    x = x.withColumn("_seaway_out", F.when(some, _walked(pieces)))
+    joined = F.substr(F.array_join(F.transform("_seaway_out", lambda o: o["text"]), ""), F.lit(2))
+    kinds = F.transform(F.filter("_seaway_out", lambda o: o["kind"].isNotNull()), lambda o: o["kind"])
+    x = x.withColumn(plan_text, F.coalesce(joined, text)).withColumn("private_kinds", F.coalesce(kinds, F.array().cast("array<string>")))
+    return x.drop("_seaway_found", "_seaway_new", "_seaway_out")

@@ -213,3 +213,22 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, str(tmp_path))
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("tail", ["", " 123", " 12/27", " 42", " 2024", " BIC", " EUR", " 123 Main"])
+def test_values_before_numbers_and_upper_case_words(spark, tail):
+    values = {**VALUES, "phone": "+1 (017) 555-7713"}
+    more = [("phone", "555-123-4567"), ("card", "4111 1111 1111 1111"), ("card", "4111111111111111"), ("iban", "AT611904300234573201"), ("iban", "BE68 5390 0754 7034")]
+    pairs = [*values.items(), *more]
+    alone, _ = replaced(spark, [v for _, v in pairs])
+    got, kinds = replaced(spark, [v + tail for _, v in pairs])
+    assert kinds == [[k] for k, _ in pairs]
+    assert got == [a + tail for a in alone]
+
+
+def test_search_goes_on_behind_a_shorter_form(spark):
+    alone, _ = replaced(spark, ["4111 1111 1111 1111", "555-123-4567"])
+    got, kinds = replaced(spark, ["4111 1111 1111 1111 555-123-4567", "12 4111 1111 1111 1111", "555-123-4567 555-123-4567 " * 400])
+    assert got[0] == " ".join(alone) and kinds[0] == ["card", "phone"]
+    assert got[1] == "12 " + alone[0]
+    assert got[2] == f"{alone[1]} {alone[1]} " * 400 and len(kinds[2]) == 800
