@@ -20,7 +20,7 @@ the names of passage plans (``route_id``, ``plan_text``) as defaults.
 | ip | four octets up to 255 | octets | dots |
 | phone | +country and 7-14 digits, or (ddd) ddd-dddd, ddd-ddd-dddd | digits after the country code | country code, separators |
 | email | local part, dotted domain | letters and digits of the local part | domain |
-| key | long values after password, token, secret, api key; cloud access keys | letters and digits | prefix |
+| key | values of eight characters or more after password, token, secret, api key, also with a prefix, to their end; cloud access keys | letters and digits | prefix |
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
-KEY = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_+/-]{8,128}"
+_NAMED = r"(?i:password|passwd|token|secret(?:[_-]?access)?(?:[_-]?key)?|api[_-]?key)\\?[\"']?\s{0,3}[=:]\s{0,3}\\?[\"']?"
+# at least eight characters, single dots not counted; further signs belong to the value where it goes on behind them
+KEY = rf"(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])|{_NAMED}(?=[A-Za-z0-9_+/-](?:\.?[A-Za-z0-9_+/-]){{7}})[A-Za-z0-9_+/.~!@#$%^*-]+(?<=[A-Za-z0-9_+/-])"
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SHIP = r"(?:IMO|MMSI)[ :]{0,2}[0-9]{7,9}(?![0-9])"
@@ -52,8 +54,11 @@ IBAN_FIXED = "(?:" + "|".join(
 # digits of whole numbers of countries with one length, or a narrow range of lengths; all others may have 7 to 17
 PHONE_FIXED = r"^(?:[17][0-9]{10}|(?:20|98)[0-9]{10}|(?:27|3[01349]|4[0158]|5[168]|6[146]|84|90)[0-9]{9,10}|(?:32|36|45|47|65)[0-9]{8,9}|(?:44|5[257]|6[03]|9[1-4])[0-9]{9,10}|(?:35[1-9]|42[01]|97[0-7])[0-9]{8,9}|86[0-9]{10,11}|81[0-9]{9,10}|49[0-9]{10,11})$"
 WINDOW = 48  # characters in which every value but a key or an e-mail address ends
-_NUMBER = "|".join((IBAN, SHIP, DATE, IP, SSN, CARD, PHONE))
-START = rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+(-])(?=({KEY}|{EMAIL}|(?={_NUMBER})[\s\S]{{1,{WINDOW}}}))"
+# left borders: names may follow "_", "-" and ".", numbers all but a digit, a decimal point, or letters inside a mixed code
+_WORD, _FREE, _LOOSE = r"(?<![A-Za-z0-9])", r"(?<![0-9])(?<![0-9][.])", r"(?<![0-9][A-Za-z]{1,8})"
+_NUMBER = rf"{_WORD}(?:{IBAN}|{SHIP}|{DATE}|{IP})|{_LOOSE}(?:(?<![0-9]-)(?:{SSN})|{CARD}|{PHONE})"
+START = rf"(?=[A-Za-z0-9._%+(-])(?=({_WORD}(?:{KEY})|(?<![A-Za-z0-9._%+-]){EMAIL}|{_FREE}(?={_NUMBER})[\s\S]{{1,{WINDOW}}}))"
+LONG = 64  # positions of half a value that are hashed as they are; more are hashed once for all
 BLOCK = 256  # pieces that are joined at a time
 DAYS = (17, 4297)  # 17 * 4297 = 73,049 days from 1900-01-01 to 2099-12-31
 
@@ -96,7 +101,7 @@ def mod97(text: Column) -> Column:
     return F.aggregate(_chars(text), F.lit(0), lambda a, c: ((a * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97).cast("int"))
 
 
-KEY_HEAD = r'^(AKIA|ASIA|[A-Za-z_]+\s*[=:]\s*"?)'
+KEY_HEAD = f"^(?:AKIA|ASIA|{_NAMED})"
 
 
 def _head(x: Column) -> Column:
@@ -112,8 +117,8 @@ def _head(x: Column) -> Column:
 def _body(x: Column) -> Column:
     """The text whose letters and digits are permuted; null for kinds made of numbers, and for values that are not valid."""
     kind, m, plain, start = x["kind"], x["m"], x["plain"], F.length(x["head"]) + 1
-    n = F.length(plain)
-    rest = F.substr(m, start, F.lit(256))
+    n, n_all = F.length(plain), F.length(m)
+    rest = F.substr(m, start, n_all)
     imo = m.startswith("IMO")
     return (
         F.when(kind == "key", rest).when(kind == "email", F.substring_index(m, "@", 1))
@@ -158,20 +163,23 @@ def _turn(x: Column, number: int, secret: str) -> Column:
     values, half = x["values"], F.floor(F.size(x["values"]) / 2).cast("int")
     left = number % 2 == 0
     source = F.slice(values, half + 1, F.size(values) - half) if left else F.slice(values, F.lit(1), half)
-    base = F.concat(F.lit(f"{secret}|{number}|"), x["kind"], F.lit("|"), F.array_join(source.cast("array<string>"), ","), F.lit("|"))
+    joined = F.array_join(source.cast("array<string>"), ",")
+    joined = F.when(F.size(source) > LONG, F.sha2(joined.cast("binary"), 256)).otherwise(joined)  # each position hashes it
+    base = F.concat(F.lit(f"{secret}|{number}|"), x["kind"], F.lit("|"), joined, F.lit("|"))
 
-    def moved(value: Column, i: Column) -> Column:
+    def moved(value: Column, i: Column, base: Column) -> Column:
         drawn = F.conv(F.substring(F.sha2(F.concat(base, i.cast("string")).cast("binary"), 256), 1, 12), 16, 10).cast("long")
         return F.when((i < half) if left else (i >= half), ((value + drawn) % F.get(x["radices"], i)).cast("int")).otherwise(value)
 
-    return F.transform(values, moved)
+    return F.get(F.transform(F.array(base), lambda b: F.transform(values, lambda v, i: moved(v, i, b))), F.lit(0))
 
 
 def _refilled(text: Column, new: Column) -> Column:
     """``text`` with its letters and digits replaced in order by the characters of ``new``."""
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
-    step = lambda a, c: F.when(_radix(c) > 1, F.struct(F.concat(a["s"], F.substr(new, a["i"], F.lit(1))).alias("s"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["i"].alias("i")))
-    return F.aggregate(_chars(text), start, step)["s"]
+    runs = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0))
+    step = lambda a, r: F.when(r.rlike("^[A-Za-z0-9]"), F.struct(F.concat(a["s"], F.substr(new, a["i"], F.length(r))).alias("s"), (a["i"] + F.length(r)).alias("i"))).otherwise(F.struct(F.concat(a["s"], r).alias("s"), a["i"].alias("i")))
+    return F.aggregate(runs, start, step)["s"]
 
 
 def _forms(w: Column) -> Column:
@@ -245,7 +253,7 @@ def _new_text(x: Column) -> Column:
     sep, order = F.regexp_extract(m, "([-/.])", 1), x["day"]["order"]
     written = F.when(order == "ymd", F.date_format(day, "yyyy-MM-dd")).when(order == "mdy", F.date_format(day, "MM-dd-yyyy")).otherwise(F.date_format(day, "dd-MM-yyyy"))
     return (
-        F.when(kind == "email", F.concat(_refilled(x["body"], made), F.substr(m, F.length(x["body"]) + 1, F.lit(512))))
+        F.when(kind == "email", F.concat(_refilled(x["body"], made), F.substr(m, F.length(x["body"]) + 1, F.length(m))))
         .when(kind.isin("key", "phone"), F.concat(head, _refilled(x["body"], made)))
         .when(kind == "card", _refilled(m, F.concat(head, made, luhn(F.concat(head, made)))))
         .when(kind == "iban", _refilled(m, F.concat(F.substring(head, 1, 2), checked, made)))

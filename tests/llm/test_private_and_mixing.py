@@ -232,3 +232,32 @@ def test_search_goes_on_behind_a_shorter_form(spark):
     assert got[0] == " ".join(alone) and kinds[0] == ["card", "phone"]
     assert got[1] == "12 " + alone[0]
     assert got[2] == f"{alone[1]} {alone[1]} " * 400 and len(kinds[2]) == 800
+
+
+def test_keys_to_their_end_and_with_prefixes(spark):
+    long, jwt = "aB3dE6gH" * 25, "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSMeKKF2QT4"
+    secret = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    heads = ["access_token=", "aws_secret_access_key = ", "db_password=", "--password=", '{"password": "', "{'api-key': '", "my.token: ", "SECRET_KEY="]
+    rows = [h + v for h in heads for v in (long, jwt, secret)]
+    got, kinds = replaced(spark, [f"{r}, end" for r in rows] + ["token=" + "x1" * 20_000])
+    assert kinds == [["key"]] * (len(rows) + 1)
+    for r, g in zip(rows, got, strict=False):
+        h = next(h for h in heads if r.startswith(h))
+        new = g[len(h) : -len(", end")]
+        assert g.startswith(h) and g.endswith(", end") and len(g) == len(r) + 5
+        for a, b in zip(re.findall("[A-Za-z0-9]+", r[len(h) :]), re.findall("[A-Za-z0-9]+", new), strict=True):
+            assert a != b and (len(a) < 16 or a[-8:] != b[-8:])
+    assert got[-1][-8:] != "x1" * 4 and len(got[-1]) == 40_006
+    dotted, _ = replaced(spark, ["token=0641917ea4e9feb9cda83477b57ac265.", "token=0641917ea4e9feb9cda83477b57ac265"])
+    assert dotted[0] == dotted[1] + "."
+
+
+def test_numbers_behind_signs_and_letters(spark):
+    alone, _ = replaced(spark, ["4111111111111111", "123-45-6789", "10.1.2.3", "2019-02-28", "DE89370400440532013000"])
+    heads = ["no.", "card-", "x_", "id="]
+    got, kinds = replaced(spark, [h + v for h in heads for v in ("4111111111111111", "123-45-6789", "10.1.2.3", "2019-02-28", "DE89370400440532013000")])
+    assert kinds == [["card"], ["ssn"], ["ip"], ["date"], ["iban"]] * 4
+    assert got == [h + a for h in heads for a in alone]
+    rows = ["0.4111111111111111", "1.2.3.4.5", "v1.2.3.4", "3fa4111111111111111b", "12-123-45-6789-1"]
+    assert replaced(spark, rows) == (rows, [[]] * len(rows))
+    assert replaced(spark, ["card4111111111111111"])[0] == ["card" + alone[0]]
