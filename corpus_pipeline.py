@@ -11,11 +11,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from seaway.llm import mixing, near_copies, pieces, private, toxicity
 from seaway.llm.queries import learnable, plans_of
-from seaway.session import ensure_checkpoint_dir
+from seaway.session import cut, ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST_IDS = 1_000_000  # ids that are broadcast to drop rows; more are joined by shuffle
@@ -35,17 +34,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Texts stay where they are; only ids move, but for rows that repeat an id, of which one stays.
+    Texts stay where they are; only ids move, but for rows that repeat an id. Those are compared row by row, so that each text
+    under an id stays unless it is a near copy; rows that are equal in all columns are one.
     """
     docs = docs.select(*COLUMNS)
-    found = near_copies.near_copies(plans_of(docs), words=5, percent=80)
-    x = docs.join(_small(found.filter("not kept").select(F.col("route_id").alias("doc_id")).distinct()), "doc_id", "left_anti")
     again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
-        return x
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_first() for c in COLUMNS[1:]])
-    one = x.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return x.join(_small(again), "doc_id", "left_anti").unionByName(one.select(*COLUMNS))
+        found = near_copies.near_copies(plans_of(docs), words=5, percent=80)
+        return docs.join(_small(found.filter("not kept").select(F.col("route_id").alias("doc_id")).distinct()), "doc_id", "left_anti")
+    again = _small(cut(again))
+    key = lambda kind, number: F.concat(F.lit(kind), number.cast("string"))
+    rows = docs.join(again, "doc_id", "left_semi").select(*COLUMNS).distinct()
+    rows = cut(rows.withColumn("_key", key("r", F.monotonically_increasing_id())).withColumn("_order", F.xxhash64(*COLUMNS)))
+    others = docs.join(again, "doc_id", "left_anti").withColumn("_key", key("d", F.col("doc_id"))).withColumn("_order", F.lit(0).cast("long"))
+    keyed = others.unionByName(rows)
+    found = near_copies.near_copies(keyed.select(F.col("_key").alias("route_id"), F.col("text").alias("plan_text")), words=5, percent=80)
+    found = cut(found.filter("route_id is not null").select(F.col("route_id").alias("_key"), "component_id"))
+    first = found.join(keyed.select("_key", "doc_id", "_order"), "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_order", "_key")).alias("k"))
+    gone = cut(found.select("_key").join(first.select("k._key"), "_key", "left_anti"))
+    return keyed.join(_small(gone), "_key", "left_anti").select(*COLUMNS)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

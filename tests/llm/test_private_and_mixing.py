@@ -261,3 +261,15 @@ def test_numbers_behind_signs_and_letters(spark):
     rows = ["0.4111111111111111", "1.2.3.4.5", "v1.2.3.4", "3fa4111111111111111b", "12-123-45-6789-1"]
     assert replaced(spark, rows) == (rows, [[]] * len(rows))
     assert replaced(spark, ["card4111111111111111"])[0] == ["card" + alone[0]]
+
+
+def test_near_copies_of_repeated_ids_go_row_by_row(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    a, b, c = (" ".join(f"{k}{j}" for j in range(40)) for k in "abc")
+    rows = [(5, a, "en", "s", 1), (7, a, "en", "s", 2), (7, b, "en", "s", 3), (7, b, "en", "s", 3), (9, c, "en", "s", 4), (9, c + " more", "en", "s", 5), (3, c, "en", "s", 6),
+            (None, a, "en", "s", 7), (11, None, "en", "s", 8), (12, b + " more", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.drop_near_copies(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(r.n_chars for r in got.collect()) == [1, 3, 6, 7, 8]
