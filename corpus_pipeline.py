@@ -62,9 +62,9 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, one row per copy; the copy in which a source's budget ends holds its first words."""
+    """The documents that the mix takes, one row per copy; the one in which a source's budget ends is whole or left out, whichever comes nearer."""
     x = mixing.mix_sources(docs.select(*COLUMNS), plan_id="doc_id", plan_text="text", source="source")
-    return mixing.repeat_taken(x, plan_text="text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return mixing.repeat_taken(x, plan_text="text", whole=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,9 +121,17 @@ def mix_sources(plans: DataFrame, plan_id: str = "route_id", plan_text: str = "p
     return take(measured, quotas(narrow, plan_id, source, weights, share, cap), plan_id, source)
 
 
-def repeat_taken(mixed: DataFrame, plan_text: str = "plan_text") -> DataFrame:
-    """One row per copy that the mix takes; the last copy of a record at the cut keeps its first words, joined by single spaces."""
+def repeat_taken(mixed: DataFrame, plan_text: str = "plan_text", whole: bool = False) -> DataFrame:
+    """One row per copy that the mix takes; the last copy of a record at the cut keeps its first words as they stand in the text, with the space between them.
+
+    With ``whole`` that copy is taken whole if this comes nearer to the budget than leaving it out, so every copy is a whole text.
+    """
+    if whole:
+        x = mixed.filter("taken > 0").withColumn("_n", F.expr("taken div nullif(size, 0) + int(2 * (taken % nullif(size, 0)) >= size)").cast("int"))
+        x = x.filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+        # the text depends on the copy, or the optimiser moves Python functions of it into joins below, where they cannot run
+        return x.withColumn(plan_text, F.when(F.col("_n") > 0, F.col(plan_text))).drop("_n")
     x = mixed.filter("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size")).cast("int")
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(plan_text), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), left), " ")
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col(plan_text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), left), "")
     return x.withColumn(plan_text, F.when(left < F.col("size"), words).otherwise(F.col(plan_text))).drop("_copy")

@@ -273,3 +273,25 @@ def test_near_copies_of_repeated_ids_go_row_by_row(spark, tmp_path):
     got = cp.drop_near_copies(spark, docs, str(tmp_path))
     assert got.columns == docs.columns
     assert sorted(r.n_chars for r in got.collect()) == [1, 3, 6, 7, 8]
+
+
+def test_part_of_a_text_keeps_its_layout(spark):
+    text = "\t# one\n\n  two  three\r\n\tfour five\n"
+    mixed = spark.createDataFrame([(1, text, 6, 10), (2, text, 6, 6)], PLAN + ", size long, taken long")
+    got = sorted((r.route_id, r.plan_text) for r in mixing.repeat_taken(mixed).collect())
+    assert got == [(1, "\t# one\n\n  two  three"), (1, text), (2, text)]
+
+
+def test_pipeline_mixes_whole_documents(spark):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"#  doc {i}\n" + "\tw " * (i % 9 + 1), "en", "abc"[i % 3], 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = {r.doc_id: r for r in mixing.mix_sources(docs, plan_id="doc_id", plan_text="text").collect()}
+    assert any(r.taken % r.size for r in taken.values())
+    text, got = {r[0]: r[1] for r in rows}, cp.mix(spark, docs, "").collect()
+    assert all(r.text == text[r.doc_id] and r.n_chars == len(r.text) for r in got)
+    copies = {i: sum(r.doc_id == i for r in got) for i in text}
+    assert copies == {i: r.taken // r.size + (2 * (r.taken % r.size) >= r.size) for i, r in taken.items()}
+    one = mixing.repeat_taken(spark.createDataFrame([(1, "a b c", 3, 1)], PLAN + ", size long, taken long"), whole=True)
+    assert one.count() == 0
