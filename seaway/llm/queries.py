@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seaway.llm import fingerprints, language, mixing, near_copies, neighbours, pieces, private, quality, token_files, toxicity
+from seaway.llm import fingerprints, language, mixing, near_copies, neighbours, pieces, plan_repair, plan_trie, private, quality, repetition, token_files, toxicity
+from seaway.llm.digests import digest_ordered, digest_runs
 from seaway.llm.texts import remainder
 from seaway.session import cut, ensure_checkpoint_dir
 
@@ -156,3 +157,60 @@ p AS (SELECT k.doc_id, k.size, q.s AS source_size, q.target, q.e, CAST(round(q.t
       FROM k JOIN q ON k.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size, source_size, target, CAST(e * size + greatest(0, least(size, budget - before)) AS BIGINT) AS taken FROM p
 """)
+
+
+TURNS = plan_repair.Grammar(
+    steps={(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}, accept=frozenset({0, 3}),
+    names={"u": "user", "a": "assistant"}, adjacent=frozenset({"su", "ua", "au"}), closing=".!?")
+NOTHING = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of no bytes
+
+
+def turns_of(conversations: DataFrame) -> DataFrame:
+    """Conversations as plan lines."""
+    return conversations.select(F.col("conv_id").alias("route_id"), F.col("turn").alias("wp_index"), F.col("role").alias("name"), F.col("text").alias("line"))
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turns_of(table(spark, sf_dir, "conversations"))
+    routes = turns.filter("route_id is not null").select("route_id").distinct()
+    own_turns = F.crc32(F.col("route_id").cast("string").cast("binary")) % 9
+    grafts = routes.select("route_id", (F.col("route_id") - F.col("route_id") % 5).alias("donor_id"), own_turns.alias("n_steps"))
+    steps = plan_trie.graft_steps(cut(plan_trie.plan_steps(turns)), grafts)
+    trie = plan_trie.plan_trie(steps, routes)
+    ends = digest_ordered(trie.ends.select("node", "bucket", F.array_join(F.col("route_ids").cast("array<string>"), ",").alias("ids")), "node", ["bucket"], "ids", ",")
+    x = trie.nodes.join(ends, "node", "left")
+    return x.select(
+        F.col("route_id").alias("conv_id"), "depth", F.col("parent_route_id").alias("parent_conv_id"), F.col("n_routes").alias("n_convs"), "n_children", "n_leaves",
+        F.col("saved_bytes").alias("saved_tokens"), F.coalesce("sha256", F.lit(NOTHING)).alias("ends_sha256"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows of conversations after the faults that the contract of op12 prescribes."""
+    blank = F.lit(" ")
+    x = conversations.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    x = x.withColumn("_c", F.crc32(key.cast("binary")) % 20).filter("_c <> 0")
+    x = x.withColumns({
+        "text": F.when(F.col("_c") == 1, F.lit("")).when(F.col("_c") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")),
+        "role": F.when(F.col("_c") == 4, F.lit("user")).otherwise(F.col("role"))})
+    return x.withColumn("_copy", F.explode(F.when(F.col("_c") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_c", "_copy")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = plan_repair.repair_plans(turns_of(damaged(conversations)), TURNS, routes=conversations.select(F.col("conv_id").alias("route_id")))
+    texts = digest_runs(found.lines.select("route_id", F.concat("name", F.lit(":"), "line").alias("_t")), "route_id", "_t", "\n").withColumnRenamed("route_id", "_id")
+    x = found.reports.join(texts, F.col("route_id").eqNullSafe(F.col("_id")), "left")
+    return x.select(
+        F.col("route_id").alias("conv_id"), "gaps", "blank", F.col("repeated").alias("duplicate"), F.col("cut_short").alias("truncated"), "illegal", "cost", "audit",
+        F.coalesce("sha256", F.lit(NOTHING)).alias("repaired_sha256"))
+
+
+@query
+def op13_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = repetition.repetition(plans_of(table(spark, sf_dir, "documents")))
+    return x.select(
+        F.col("route_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "covered_chars", "longest_repeat", "n_repeats")
