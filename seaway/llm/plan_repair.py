@@ -1,8 +1,8 @@
 """Repair of plans whose lines do not follow each other as a plan must: weighted CYK parsing over spans of lines.
 
 Records are the lines of passage plans: ``route_id``, ``wp_index``, ``name`` and ``line``. The first letter of a name is what the grammar
-reads; ``VOYAGE`` is the order of navigational waypoints (berth, fairway, waypoints and convergences, fairway, berth), other
-orders are given as another ``Grammar``.
+reads; ``VOYAGE`` is the order of navigational waypoints (berth, fairway, waypoints and convergences, fairway, berth; short routes lack
+what lies between), other orders are given as another ``Grammar``.
 
 The repair grammar is in Chomsky normal form. Its nonterminals are pairs of states [p, r] of the order; rules are [p, r] -> [p, q] [q, r] for
 spans, and a line gives [p, q] when it is kept (or renamed) on a step from p to q, or [p, p] when it is deleted. Inserted lines give
@@ -71,8 +71,9 @@ class Grammar:
 
 
 VOYAGE = Grammar(
-    steps={(0, "B"): 1, (1, "F"): 2, (2, "W"): 2, (2, "C"): 2, (2, "F"): 3, (3, "B"): 4}, accept=frozenset({0, 4}),
-    names={"B": "BERTH", "F": "FAIRWAY"}, adjacent=frozenset({"BF", "FW", "FC", "FF", "WW", "WC", "CW", "CC", "WF", "CF", "FB"}))
+    steps={(0, "B"): 1, (1, "B"): 5, (1, "F"): 2, (2, "B"): 5, (2, "F"): 4, (2, "W"): 3, (2, "C"): 3, (3, "W"): 3, (3, "C"): 3, (3, "F"): 4, (4, "B"): 5},
+    accept=frozenset({0, 5}), names={"B": "BERTH", "F": "FAIRWAY"},
+    adjacent=frozenset({"BB", "BF", "FW", "FC", "FF", "WW", "WC", "CW", "CC", "WF", "CF", "FB"}))
 
 
 def _better(cell: dict, q: int, way: tuple[int, str, str]) -> None:

@@ -214,3 +214,73 @@ def op13_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(
         F.col("route_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "covered_chars", "longest_repeat", "n_repeats")
+
+
+CRC = """
+WITH RECURSIVE ct(i, k, c) AS (
+  SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i) r
+  UNION ALL SELECT i, k + 1, CASE WHEN (c & 1) = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END FROM ct WHERE k < 8),
+cb AS (SELECT i, c FROM ct WHERE k = 8),
+ck AS ({keys}),
+cr(s, k, c) AS (
+  SELECT s, 0, CAST(4294967295 AS BIGINT) FROM ck
+  UNION ALL SELECT s, k + 1, xor(cr.c >> 8, cb.c) FROM cr JOIN cb ON cb.i = (xor(cr.c, CAST(ascii(substr(s, k + 1, 1)) AS BIGINT)) & 255) WHERE k < length(s)),
+crc AS (SELECT s, xor(c, CAST(4294967295 AS BIGINT)) AS crc FROM cr WHERE k = length(s)),
+"""
+
+oracle("op11_conversation_trie", CRC.format(keys="SELECT DISTINCT CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL") + """
+own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS n,
+               md5(coalesce(role, '')) || md5(coalesce(text, '')) AS m, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+len AS (SELECT conv_id, max(n) AS c FROM own GROUP BY conv_id),
+h AS (SELECT len.conv_id, crc % 9 AS h, len.conv_id - len.conv_id % 5 AS base FROM len JOIN crc ON crc.s = CAST(len.conv_id AS VARCHAR)),
+reb AS (SELECT h.conv_id, o.n AS d, o.m, o.b FROM h JOIN own o ON o.conv_id = h.base AND o.n <= h.h
+        UNION ALL SELECT o.conv_id, o.n - h.h + least(h.h, coalesce(l.c, 0)), o.m, o.b FROM own o JOIN h ON o.conv_id = h.conv_id AND o.n > h.h LEFT JOIN len l ON l.conv_id = h.base),
+path AS (SELECT conv_id, d, b, md5(string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY d)) AS p FROM reb UNION ALL SELECT conv_id, 0, 0, '' FROM len),
+last AS (SELECT conv_id, max(d) AS d FROM path GROUP BY conv_id),
+node AS (SELECT p, min(conv_id) AS conv_id, min(d) AS d, count(*) AS n, min(b) AS b FROM path GROUP BY p),
+up AS (SELECT n.p, q.p AS pp FROM node n JOIN path q ON q.conv_id = n.conv_id AND q.d = n.d - 1),
+kids AS (SELECT pp AS p, count(*) AS k FROM up GROUP BY pp),
+below AS (SELECT a.p, sum((x.n - 1) * x.b) AS saved, sum(CASE WHEN k.k IS NULL THEN 1 ELSE 0 END) AS leaves
+          FROM node x JOIN path a ON a.conv_id = x.conv_id AND a.d <= x.d LEFT JOIN kids k ON k.p = x.p GROUP BY a.p),
+ends AS (SELECT p.p, sha256(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id)) AS e FROM path p JOIN last l ON l.conv_id = p.conv_id AND l.d = p.d GROUP BY p.p)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(n.n AS BIGINT) AS n_convs, CAST(coalesce(k.k, 0) AS BIGINT) AS n_children,
+       CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, coalesce(e.e, sha256('')) AS ends_sha256
+FROM node n JOIN below b ON b.p = n.p LEFT JOIN kids k ON k.p = n.p LEFT JOIN up ON up.p = n.p LEFT JOIN node u ON u.p = up.pp LEFT JOIN ends e ON e.p = n.p
+""")
+
+WAY = lambda state, cost, edit: f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}'}}"
+LEAST = lambda *ways: f"list_min([{', '.join(ways)}])"
+KEEP = lambda state, letter: f"CASE WHEN live AND letter = '{letter}' THEN {WAY(state, 'late', 'K')} ELSE far END"
+RENAME = lambda state: f"CASE WHEN live THEN {WAY(state, '2 + late', 'R')} ELSE far END"
+
+oracle("op12_conversation_repair", CRC.format(keys="SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations") + f"""
+raw AS (SELECT conv_id, turn, crc % 20 AS k, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text
+        FROM conversations JOIN crc ON crc.s = coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')),
+dam AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM raw WHERE k <> 0),
+ord AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM dam),
+ft AS (SELECT *, CASE WHEN t = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+              WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'o' END AS f, left(role, 1) AS letter, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM ord),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+sums AS (SELECT ids.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+                count(*) FILTER (f = 't') AS truncated, count(*) FILTER (i > 1 AND (prev || letter) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+         FROM ids LEFT JOIN ft ON ft.conv_id IS NOT DISTINCT FROM ids.conv_id GROUP BY ids.conv_id),
+dp(conv_id, i, far, q0, q1, q2, q3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {{'c': CAST(1000000000 AS BIGINT), 'a': '~'}}, {{'c': CAST(0 AS BIGINT), 'a': ''}}, {{'c': CAST(1000000000 AS BIGINT), 'a': '~'}},
+         {{'c': CAST(2 AS BIGINT), 'a': 'I'}}, {{'c': CAST(4 AS BIGINT), 'a': 'II'}} FROM ids
+  UNION ALL
+  SELECT conv_id, i, far, n0, n1, m2, {LEAST('n3', WAY('m2', 2, 'I'))} FROM (
+    SELECT conv_id, i, far, n0, n1, n3, {LEAST('n2', WAY('n0', 2, 'I'), WAY('n1', 2, 'I'), WAY('n3', 2, 'I'))} AS m2 FROM (
+      SELECT conv_id, i, far, {WAY('q0', 3, 'D')} AS n0, {LEAST(WAY('q1', 3, 'D'), KEEP('q0', 's'))} AS n1,
+             {LEAST(WAY('q2', 3, 'D'), *(KEEP(q, 'u') for q in ('q0', 'q1', 'q3')), *(RENAME(q) for q in ('q0', 'q1', 'q3')))} AS n2,
+             {LEAST(WAY('q3', 3, 'D'), KEEP('q2', 'a'), RENAME('q2'))} AS n3
+      FROM (SELECT dp.*, dp.i + 1 AS i2, ft.letter, ft.f IN ('o', 't') AS live, CASE WHEN ft.f = 't' THEN 1 ELSE 0 END AS late
+            FROM dp JOIN ft ON ft.conv_id IS NOT DISTINCT FROM dp.conv_id AND ft.i = dp.i + 1) s0(conv_id, i0, far, q0, q1, q2, q3, i, letter, live, late)) s1) s2),
+best AS (SELECT s.*, least(dp.q0, dp.q3) AS b FROM sums s JOIN dp ON dp.conv_id IS NOT DISTINCT FROM s.conv_id AND dp.i = coalesce(s.n, 0)),
+ed AS (SELECT conv_id, k, substr(a, k, 1) AS e, length(replace(substr(a, 1, k), 'I', '')) AS i, length(replace(substr(a, 1, k), 'D', '')) AS j, length(replace(a, 'D', '')) % 2 AS odd
+       FROM (SELECT conv_id, b.a AS a, unnest(range(1, length(b.a) + 1)) AS k FROM best) z),
+txt AS (SELECT ed.conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (j - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS t
+        FROM ed LEFT JOIN ft ON ft.conv_id IS NOT DISTINCT FROM ed.conv_id AND ft.i = ed.i AND e <> 'I' WHERE e <> 'D' GROUP BY ed.conv_id)
+SELECT b.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(b.b.c AS BIGINT) AS cost, b.b.a AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM best b LEFT JOIN txt ON txt.conv_id IS NOT DISTINCT FROM b.conv_id
+""")
