@@ -6,6 +6,11 @@ Columns (lon, lat), so nothing is wrapped in structs until a caller asks for one
 
 from __future__ import annotations
 
+import re
+from collections import OrderedDict
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +21,44 @@ KM_PER_NM = 1.852
 Vec = tuple[Column, Column, Column]
 
 
+_REMEMBERED: OrderedDict[tuple, tuple] = OrderedDict()
+REMEMBER = 8192
+
+
+def remembered(fn):
+    """Keep the Columns a function gave for its arguments.
+
+    A Column is an unresolved expression, so it serves any frame with the same names; building it takes one call to the
+    JVM for every operation, which is most of the time of a plan of many small steps. Names and numbers are known by value, Columns
+    by identity (the cache holds them, so an identity is not used twice).
+    """
+
+    def mark(x):
+        if isinstance(x, tuple | list):
+            return tuple(mark(v) for v in x)
+        return id(x) if isinstance(x, Column) else (type(x), x)
+
+    @wraps(fn)
+    def call(*args, **kwargs):
+        key = (fn.__qualname__, fn.__module__, id(SparkContext._gateway), mark(args), mark(tuple(sorted(kwargs.items()))))
+        if key in _REMEMBERED:
+            _REMEMBERED.move_to_end(key)
+            return _REMEMBERED[key][1]
+        out = fn(*args, **kwargs)
+        _REMEMBERED[key] = ((args, kwargs), out)
+        if len(_REMEMBERED) > REMEMBER:
+            _REMEMBERED.popitem(last=False)
+        return out
+
+    return call
+
+
+@remembered
 def c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x))
+    """A column by name, an expression by its SQL text, a number as a literal."""
+    if isinstance(x, str):
+        return F.col(x) if re.fullmatch(r"[\w.]+", x) else F.expr(x)
+    return x if isinstance(x, Column) else F.lit(float(x))
 
 
 def let(df: DataFrame, **cols: Column) -> DataFrame:
@@ -48,6 +89,7 @@ def js_round(x, digits: int = 0) -> Column:
     return F.floor(c(x) * scale + 0.5) / scale
 
 
+@remembered
 def clamp(x: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
 
@@ -60,20 +102,31 @@ def _haversine(lon1, lat1, lon2, lat2, dlon) -> Column:
     return 2.0 * F.atan2(F.sqrt(a), F.sqrt(F.greatest(F.lit(0.0), 1.0 - a))) * EARTH_RADIUS_M
 
 
+@remembered
 def haversine_m(lon1, lat1, lon2, lat2) -> Column:
     return _haversine(lon1, lat1, lon2, lat2, c(lon2) - c(lon1))
 
 
+@remembered
 def haversine_km(lon1, lat1, lon2, lat2) -> Column:
     return haversine_m(lon1, lat1, lon2, lat2) / 1000.0
 
 
+def haversine_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    """``haversine_km`` of four columns as SQL text; the same operations in the same order."""
+    s, t = f"sin(radians({lat2} - {lat1}) / 2.0D)", f"sin(radians({lon2} - {lon1}) / 2.0D)"
+    a = f"({s} * {s} + cos(radians({lat1})) * cos(radians({lat2})) * {t} * {t})"
+    return f"(2.0D * atan2(sqrt({a}), sqrt(greatest(0.0D, 1.0D - {a}))) * {EARTH_RADIUS_M}D / 1000.0D)"
+
+
+@remembered
 def haversine_wrap_km(lon1, lat1, lon2, lat2) -> Column:
     """Haversine with the longitude gap folded to at most 180 first."""
     d = F.abs(c(lon2) - c(lon1))
     return _haversine(lon1, lat1, lon2, lat2, F.least(d, 360.0 - d)) / 1000.0
 
 
+@remembered
 def bearing_deg(lon1, lat1, lon2, lat2) -> Column:
     p1, p2 = F.radians(c(lat1)), F.radians(c(lat2))
     dl = F.radians(c(lon2) - c(lon1))
@@ -82,23 +135,28 @@ def bearing_deg(lon1, lat1, lon2, lat2) -> Column:
     return F.pmod(F.degrees(F.atan2(y, x)) + 360.0, F.lit(360.0))
 
 
+@remembered
 def fold_180(x: Column) -> Column:
     return F.when(x > 180.0, 360.0 - x).otherwise(x)
 
 
+@remembered
 def turn_deg(bearing_in, bearing_out) -> Column:
     return fold_180(F.abs(c(bearing_out) - c(bearing_in)))
 
 
+@remembered
 def course_change_deg(p1, p2, p3) -> Column:
     return turn_deg(bearing_deg(*p1, *p2), bearing_deg(*p2, *p3))
 
 
+@remembered
 def turn_direction(bearing_in, bearing_out) -> Column:
     d = F.pmod(c(bearing_out) - c(bearing_in) + 360.0, F.lit(360.0))
     return F.when((d < 1.0) | (d > 359.0), "STRAIGHT").when(d < 180.0, "STBD").otherwise("PORT")
 
 
+@remembered
 def destination_point(lon, lat, km, bearing) -> tuple[Column, Column]:
     """Point reached from (lon, lat); the longitude is not wrapped again."""
     d = c(km) * 1000.0 / EARTH_RADIUS_M
@@ -109,15 +167,18 @@ def destination_point(lon, lat, km, bearing) -> tuple[Column, Column]:
     return F.degrees(l2), F.degrees(p2)
 
 
+@remembered
 def unit_vector(lon, lat) -> Vec:
     p, l = F.radians(c(lat)), F.radians(c(lon))
     return F.cos(p) * F.cos(l), F.cos(p) * F.sin(l), F.sin(p)
 
 
+@remembered
 def dot(u: Vec, v: Vec) -> Column:
     return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
 
 
+@remembered
 def cross(u: Vec, v: Vec) -> Vec:
     return u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]
 
@@ -126,16 +187,19 @@ def add(u: Vec, v: Vec) -> Vec:
     return u[0] + v[0], u[1] + v[1], u[2] + v[2]
 
 
+@remembered
 def norm(u: Vec) -> Column:
     return F.sqrt(dot(u, u))
 
 
+@remembered
 def normalize(u: Vec) -> Vec:
     """Unit length; the zero vector stays zero."""
     n = norm(u)
     return tuple(F.when(n == 0.0, F.lit(0.0)).otherwise(x / F.when(n == 0.0, F.lit(1.0)).otherwise(n)) for x in u)
 
 
+@remembered
 def slerp(lon1, lat1, lon2, lat2, t) -> tuple[Column, Column]:
     """Point at fraction ``t`` of the great circle; ends outside (0, 1), start for arcs under 1e-6 rad."""
     a, b, t = unit_vector(lon1, lat1), unit_vector(lon2, lat2), c(t)
@@ -149,12 +213,14 @@ def slerp(lon1, lat1, lon2, lat2, t) -> tuple[Column, Column]:
     return lon, lat
 
 
+@remembered
 def chord_m(u: Vec, v: Vec) -> Column:
     """Great-circle distance of two unit vectors, from the chord between them."""
     d = tuple(u[i] - v[i] for i in range(3))
     return 2.0 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), norm(d) / 2.0))
 
 
+@remembered
 def segment_distance_m(vp: Vec, va: Vec, vb: Vec, n: Vec) -> Column:
     """Point-segment distance from unit vectors; ``n`` is cross(va, vb).
 
@@ -172,12 +238,14 @@ def segment_distance_m(vp: Vec, va: Vec, vb: Vec, n: Vec) -> Column:
             .when(inside, F.asin(F.least(F.lit(1.0), F.abs(off))) * EARTH_RADIUS_M).otherwise(to_end))
 
 
+@remembered
 def point_segment_m(plon, plat, alon, alat, blon, blat) -> Column:
     """Least great-circle distance from a point to a segment, in metres."""
     va, vb = unit_vector(alon, alat), unit_vector(blon, blat)
     return segment_distance_m(unit_vector(plon, plat), va, vb, cross(va, vb))
 
 
+@remembered
 def planar_segments_cross(p1, p2, p3, p4) -> Column:
     """Strict counter-clockwise test on plain degrees; each point is a (lon, lat) pair."""
 
@@ -187,6 +255,7 @@ def planar_segments_cross(p1, p2, p3, p4) -> Column:
     return (ccw(p1, p3, p4) != ccw(p2, p3, p4)) & (ccw(p1, p2, p3) != ccw(p1, p2, p4))
 
 
+@remembered
 def planar_cross_param(a1, a2, b1, b2) -> Column:
     """Parameter of the crossing along a1-a2, null when the segments do not meet."""
     dxa, dya = c(a2[0]) - c(a1[0]), c(a2[1]) - c(a1[1])
@@ -198,6 +267,7 @@ def planar_cross_param(a1, a2, b1, b2) -> Column:
     return F.when(t.between(0.0, 1.0) & u.between(0.0, 1.0), t)
 
 
+@remembered
 def _arc_sides(a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec):
     """Which of the two candidates +q, -q (q = n1 x n2) lies on both arcs.
 
@@ -213,11 +283,13 @@ def _arc_sides(a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec):
     return plus, minus, dot(a, b) * sa - sb, qlen
 
 
+@remembered
 def arcs_cross_vec(a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec) -> Column:
     plus, minus, *_ = _arc_sides(a, b, n1, e, d, n2)
     return plus | minus
 
 
+@remembered
 def arc_param_vec(a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec) -> Column:
     plus, minus, qa, qlen = _arc_sides(a, b, n1, e, d, n2)
     total = F.acos(clamp(dot(a, b), -1.0, 1.0))
@@ -226,12 +298,14 @@ def arc_param_vec(a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec) -> Column:
     return F.when(plus | minus, frac)
 
 
+@remembered
 def arcs_cross(p1, p2, p3, p4) -> Column:
     """Whether two great-circle arcs cross; coplanar arcs do not."""
     a, b, e, d = (unit_vector(*p) for p in (p1, p2, p3, p4))
     return arcs_cross_vec(a, b, cross(a, b), e, d, cross(e, d))
 
 
+@remembered
 def arc_cross_param(p1, p2, p3, p4) -> Column:
     """Fraction of the arc p1-p2 at which it crosses p3-p4, null without a crossing."""
     a, b, e, d = (unit_vector(*p) for p in (p1, p2, p3, p4))
@@ -243,10 +317,12 @@ def point_vec(prefix: str, lon, lat) -> list[Column]:
     return [v.alias(prefix + k) for v, k in zip(unit_vector(lon, lat), "xyz")]
 
 
+@remembered
 def vec(prefix: str) -> Vec:
-    return F.col(prefix + "x"), F.col(prefix + "y"), F.col(prefix + "z")
+    return c(prefix + "x"), c(prefix + "y"), c(prefix + "z")
 
 
+@remembered
 def ray_toggles(lon, lat, x1, y1, x2, y2, rule: str = "closed_right") -> Column:
     """Whether one ring edge flips the inside state of a point; an odd number of flips means inside.
 
@@ -262,6 +338,7 @@ def ray_toggles(lon, lat, x1, y1, x2, y2, rule: str = "closed_right") -> Column:
             & ((x1 == x2) | (x <= xi)))
 
 
+@remembered
 def cross_track_m(p1, p2, target) -> Column:
     """Signed distance of ``target`` from the great circle p1-p2, positive to the right."""
     d13 = haversine_m(*p1, *target) / EARTH_RADIUS_M
@@ -277,6 +354,7 @@ def format_duration(hours) -> Column:
     return F.when(h <= 0.0, "0h").when(days > 0, long).otherwise(short)
 
 
+@remembered
 def project_to_segment(lon, lat, x1, y1, x2, y2) -> tuple[Column, Column]:
     """Nearest point of a segment on plain degrees."""
     px, py, x1, y1, x2, y2 = (c(v) for v in (lon, lat, x1, y1, x2, y2))
@@ -301,6 +379,7 @@ def equirect_inverse(x, y, lon0, lat0, m_per_px, width, height) -> tuple[Column,
     return c(lon0) + F.degrees(dx / (EARTH_RADIUS_M * kx)), c(lat0) + F.degrees(dy / EARTH_RADIUS_M)
 
 
+@remembered
 def cell(x, size: float) -> Column:
     """Grid index of one coordinate."""
     return F.floor(c(x) / float(size))
@@ -315,6 +394,7 @@ def wrap_lon(lon) -> Column:
     return F.pmod(c(lon) + 180.0, F.lit(360.0)) - 180.0
 
 
+@remembered
 def valid_coord(lon, lat) -> Column:
     """Finite and in range."""
     lon, lat = c(lon), c(lat)

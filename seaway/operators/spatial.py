@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seaway.functions import geo
+from seaway.functions.geo import remembered
 
 CELL = 2.0
 BAND = 0.05
@@ -23,10 +24,9 @@ _KM_PER_DEG = geo.EARTH_RADIUS_M * math.pi / 180.0 / 1000.0
 
 def explode_cells(df: DataFrame, x0, y0, x1, y1, size: float = CELL) -> DataFrame:
     """One row per grid cell of the box; ``_cx0``, ``_cy0`` keep the first cell."""
-    lo = {"_cx0": geo.cell(x0, size), "_cy0": geo.cell(y0, size), "_cx1": geo.cell(x1, size), "_cy1": geo.cell(y1, size)}
-    x = df.withColumns(lo)
-    x = x.select("*", F.explode(F.sequence("_cx0", "_cx1")).alias("_cx")).drop("_cx1")
-    return x.select("*", F.explode(F.sequence("_cy0", "_cy1")).alias("_cy")).drop("_cy1")
+    x = df.withColumns({"_cx0": geo.cell(x0, size), "_cy0": geo.cell(y0, size), "_cx1": geo.cell(x1, size), "_cy1": geo.cell(y1, size)})
+    keep = [c for c in x.columns if c not in ("_cx1", "_cy1")]
+    return x.select(*keep, F.expr("inline(flatten(transform(sequence(_cx0, _cx1), a -> transform(sequence(_cy0, _cy1), b -> struct(a as _cx, b as _cy)))))"))
 
 
 def box_join(left: DataFrame, right: DataFrame, lbox: Sequence, rbox: Sequence, size: float = CELL) -> DataFrame:
@@ -40,6 +40,7 @@ def box_join(left: DataFrame, right: DataFrame, lbox: Sequence, rbox: Sequence,
 # --- radius search and nearest neighbours -------------------------------------------------------
 
 
+@remembered
 def _reach_lon(lat: Column, km: float) -> Column:
     """Longitude half-width that holds every point within ``km``; 180 where the circle holds a pole."""
     rad = km / _KM_PER_DEG
@@ -49,6 +50,7 @@ def _reach_lon(lat: Column, km: float) -> Column:
     return F.when(near_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), s / cos))) + 1e-6)
 
 
+@remembered
 def _ring_cells(x0: Column, x1: Column, size: float) -> Column:
     """Column indexes of a longitude range, wrapped, each at most once."""
     n = int(math.ceil(360.0 / size))
@@ -186,6 +188,7 @@ def split_antimeridian(segs: DataFrame) -> DataFrame:
     return x.select(*[c for c in segs.columns if c not in ("x1", "y1", "x2", "y2")], "_s.x1", "_s.y1", "_s.x2", "_s.y2")
 
 
+@remembered
 def _seg_box(margin) -> tuple[Column, Column, Column, Column]:
     m = geo.c(margin)
     return (F.least("x1", "x2") - m, F.least("y1", "y2") - m, F.greatest("x1", "x2") + m, F.greatest("y1", "y2") + m)
@@ -195,6 +198,7 @@ def _edges_as(edges: DataFrame) -> DataFrame:
     return edges.select("ring_id", "edge_idx", F.col("x1").alias("ex1"), F.col("y1").alias("ey1"), F.col("x2").alias("ex2"), F.col("y2").alias("ey2"))
 
 
+@remembered
 def _edge_box() -> tuple[Column, Column, Column, Column]:
     return F.least("ex1", "ex2"), F.least("ey1", "ey2"), F.greatest("ex1", "ex2"), F.greatest("ey1", "ey2")
 
@@ -234,6 +238,35 @@ def arc_crossings(segs: DataFrame, edges: DataFrame, margin=0.6, with_t: bool =
     return j.drop("_box", *[f"_{p}{q}{k}" for p in "se" for q in "abn" for k in "xyz"])
 
 
+def edges_near(segs: DataFrame, edges: DataFrame, margin: Column) -> DataFrame:
+    """Segments (within +/-180) with the ring edges of the cells of their box widened by ``margin`` degrees, both with their vectors."""
+    s = edge_vectors(segs.withColumn("_m", margin), "_s", "x1", "y1", "x2", "y2")
+    e = edge_vectors(_edges_as(edges), "_e", "ex1", "ey1", "ex2", "ey2")
+    return box_join(s, e, _seg_box("_m"), _edge_box())
+
+
+@remembered
+def crossing_param() -> Column:
+    """Where a pair of ``edges_near`` crosses, as a fraction of the segment; null without a crossing."""
+    return geo.arc_param_vec(*[geo.vec(p) for p in ("_sa", "_sb", "_sn", "_ea", "_eb", "_en")])
+
+
+@remembered
+def too_close() -> Column:
+    """Whether the edge start of a pair of ``edges_near`` lies closer to the segment than its ``clear_km``."""
+    deg = geo.c("clear_km * 1.1D / 111.0D")
+    sx0, sy0, sx1, sy1 = _seg_box(0.0)
+    touch = ((F.greatest("ex1", "ex2") >= sx0 - deg) & (F.least("ex1", "ex2") <= sx1 + deg)
+             & (F.greatest("ey1", "ey2") >= sy0 - deg) & (F.least("ey1", "ey2") <= sy1 + deg))
+    dx = F.greatest(F.lit(0.0), sx0 - F.col("ex1"), F.col("ex1") - sx1)
+    dy = F.greatest(F.lit(0.0), sy0 - F.col("ey1"), F.col("ey1") - sy1)
+    k = F.greatest(F.lit(0.1), F.cos(F.radians((F.col("y1") + F.col("y2")) / 2.0)))
+    low = F.sqrt(dx * k * dx * k + dy * dy) * 111.0
+    # the start of the edge is its first unit vector
+    km = geo.segment_distance_m(geo.vec("_ea"), geo.vec("_sa"), geo.vec("_sb"), geo.vec("_sn")) / 1000.0
+    return (F.col("clear_km") > 0.0) & touch & (low <= F.col("clear_km")) & (km < F.col("clear_km"))
+
+
 def near_land(segs: DataFrame, edges: DataFrame, margin=0.6) -> DataFrame:
     """Segments whose widened box shares a cell with an edge or a ring box (semi join)."""
     cells = explode_cells(_edges_as(edges), *_edge_box()).select("_cx", "_cy")

@@ -12,56 +12,58 @@ from seaway.operators.tracks import legs
 from seaway.session import cut
 
 
+_KM = geo.haversine_sql("x1", "y1", "x2", "y2")
+
+
+@geo.remembered
 def _outside_dock(x, y, tol) -> Column:
     """True unless the dock exists and (x, y) lies within the tolerance of it."""
     d = geo.haversine_km("dock_x", "dock_y", x, y)
     return F.coalesce(d > geo.c(tol), F.lit(True))
 
 
-def unsafe_segments(segs: DataFrame, edges: DataFrame) -> DataFrame:
+def unsafe_segments(segs: DataFrame, edges: DataFrame, points: DataFrame | None = None) -> DataFrame:
     """sids of segments that touch land.
 
     ``segs(sid, x1, y1, x2, y2, dock_x, dock_y, tol_km, clear_km)``; the dock may be null. Land within
-    ``tol_km`` of the dock is allowed; without a dock an edge start closer than ``clear_km`` is not.
+    ``tol_km`` of the dock is allowed; without a dock an edge start closer than ``clear_km`` is not. ``points(sid, lon, lat)`` must
+    not lie on land either. Crossings and clearance come from one join with the edges, all points from one with the rings.
     """
-    s = sp.split_antimeridian(segs)
-    s = cut(s.filter((F.abs(F.col("x1") - F.col("x2")) >= 1e-6) | (F.abs(F.col("y1") - F.col("y2")) >= 1e-6)))
-    margin = F.greatest(F.lit(0.6), F.greatest("tol_km", "clear_km") * 1.5 / 111.0)
-    cross = sp.arc_crossings(s, edges, margin, with_t=True)
+    s = sp.split_antimeridian(segs).filter("abs(x1 - x2) >= 1e-6 or abs(y1 - y2) >= 1e-6")
+    near = sp.edges_near(s, edges, F.greatest(F.lit(0.6), F.greatest("tol_km", "clear_km") * 1.5 / 111.0))
+    near = geo.let(near, t=sp.crossing_param())
     cx, cy = geo.slerp("x1", "y1", "x2", "y2", "t")
-    cross = geo.let(cross, cx=cx, cy=cy).filter(F.col("t").isNull() | _outside_dock("cx", "cy", "tol_km")).select("sid")
-    close = sp.clearance_violations(s.filter("dock_x is null"), edges).select("sid")
-    km = geo.haversine_km("x1", "y1", "x2", "y2")
-    ts = F.when(km > 15.0, F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75)])).otherwise(F.array(F.lit(0.5)))
-    p = s.select("*", F.explode(ts).alias("_t"))
+    near = geo.let(near, cx=cx, cy=cy)
+    cross = F.col("t").isNotNull() & _outside_dock("cx", "cy", "tol_km")
+    bad = near.filter(cross | (F.col("dock_x").isNull() & sp.too_close())).select("sid")
+    p = s.selectExpr("sid", "x1", "y1", "x2", "y2", "dock_x", "dock_y", "tol_km", f"explode(if({_KM} > 15.0, array(0.25D, 0.5D, 0.75D), array(0.5D))) as _t")
     sx, sy = geo.slerp("x1", "y1", "x2", "y2", "_t")
-    mid = F.col("_t") == 0.5
-    p = geo.let(p, lon=F.when(mid, (F.col("x1") + F.col("x2")) / 2.0).otherwise(sx),
-                lat=F.when(mid, (F.col("y1") + F.col("y2")) / 2.0).otherwise(sy))
-    p = p.filter(_outside_dock("lon", "lat", "tol_km")).select(F.struct("sid", "lon", "lat").alias("pid"), "lon", "lat")
-    inside = sp.points_in_rings(p, edges).select(F.col("pid.sid").alias("sid"))
-    return cross.unionByName(close).unionByName(inside).distinct()
+    p = geo.let(p, lon=F.when(F.col("_t") == 0.5, geo.c("(x1 + x2) / 2.0D")).otherwise(sx), lat=F.when(F.col("_t") == 0.5, geo.c("(y1 + y2) / 2.0D")).otherwise(sy))
+    p = p.filter(_outside_dock("lon", "lat", "tol_km")).select("sid", "lon", "lat")
+    if points is not None:
+        p = p.unionByName(points.select("sid", "lon", "lat"))
+    inside = sp.points_in_rings(p.selectExpr("struct(sid, lon, lat) as pid", "lon", "lat"), edges).selectExpr("pid.sid as sid")
+    return bad.unionByName(inside).distinct()
 
 
 def safe_segments(segs: DataFrame, edges: DataFrame) -> DataFrame:
     return segs.join(unsafe_segments(segs, edges), "sid", "left_anti")
 
 
-def unsafe_arcs(arcs: DataFrame, edges: DataFrame, step_km: float = 75.0) -> DataFrame:
-    """sids of great-circle arcs ``(sid, x1, y1, x2, y2, clear_km)`` that touch land or break the clearance."""
-    km = geo.haversine_km("x1", "y1", "x2", "y2")
-    a = cut(arcs.select("sid", "x1", "y1", "x2", "y2", "clear_km")).withColumn("_n", F.greatest(F.lit(1), F.ceil(km / step_km)).cast("int"))
-    long = a.filter(km > 80.0).select("*", F.explode(F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75)])).alias("_t"))
+def unsafe_arcs(arcs: DataFrame, edges: DataFrame, step_km: float = 75.0, points: DataFrame | None = None) -> DataFrame:
+    """sids of great-circle arcs ``(sid, x1, y1, x2, y2, clear_km)`` that touch land or break the clearance, and of ``points`` on land.
+
+    ``arcs`` is read several times and should be settled.
+    """
+    a = arcs.selectExpr("sid", "x1", "y1", "x2", "y2", "clear_km", f"{_KM} as _km").withColumn("_n", F.expr(f"int(greatest(1, ceil(_km / {step_km}D)))"))
+    long = a.filter("_km > 80").selectExpr("sid", "x1", "y1", "x2", "y2", "explode(array(0.25D, 0.5D, 0.75D)) as _t")
     lon, lat = geo.slerp("x1", "y1", "x2", "y2", "_t")
-    long = geo.let(long.withColumn("pid", F.struct("sid", "_t")), lon=lon, lat=lat).select("pid", "lon", "lat")
-    early = sp.points_in_rings(long, edges).select(F.col("pid.sid").alias("sid"))
-    sub = a.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k"))
-    p, q = geo.slerp("x1", "y1", "x2", "y2", (F.col("_k") - 1) / F.col("_n")), geo.slerp("x1", "y1", "x2", "y2", F.col("_k") / F.col("_n"))
-    none = F.lit(None).cast("double")
-    sub = geo.let(sub.select("sid", "x1", "y1", "x2", "y2", "clear_km", "_k", "_n"), a=p[0], b=p[1], c=q[0], d=q[1])
-    sub = sub.select("sid", F.col("a").alias("x1"), F.col("b").alias("y1"), F.col("c").alias("x2"), F.col("d").alias("y2"),
-                     none.alias("dock_x"), none.alias("dock_y"), F.lit(0.0).alias("tol_km"), "clear_km")
-    return unsafe_segments(sub, edges).unionByName(early).distinct()
+    long = geo.let(long, lon=lon, lat=lat).select("sid", "lon", "lat")
+    sub = a.selectExpr("sid", "x1", "y1", "x2", "y2", "clear_km", "_n", "explode(sequence(1, _n)) as _k")
+    p, q = geo.slerp("x1", "y1", "x2", "y2", "(_k - 1) / _n"), geo.slerp("x1", "y1", "x2", "y2", "_k / _n")
+    sub = geo.let(sub.selectExpr("sid", "x1", "y1", "x2", "y2", "clear_km", "_k", "_n"), a=p[0], b=p[1], c=q[0], d=q[1]).selectExpr(
+        "sid", "a as x1", "b as y1", "c as x2", "d as y2", "cast(null as double) as dock_x", "cast(null as double) as dock_y", "0.0D as tol_km", "clear_km")
+    return unsafe_segments(sub, edges, long if points is None else long.unionByName(points.select("sid", "lon", "lat")))
 
 
 def terminal_counts(routes: DataFrame) -> DataFrame:

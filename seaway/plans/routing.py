@@ -19,10 +19,11 @@ from seaway.operators import spatial as sp
 from seaway.operators import tracks
 from seaway.operators.folds import dedupe_consecutive
 from seaway.operators.gateways import sector_top
-from seaway.operators.ordered import ends
+from seaway.operators.ordered import ends, number_rows
+from seaway.operators.overlay import build_overlay, pair_paths
 from seaway.operators.smooth import renumber, smooth
 from seaway.operators.validate import terminal_counts, validate_routes
-from seaway.session import cut
+from seaway.session import settle as cut
 
 KMH = 27.78
 
@@ -95,8 +96,6 @@ def assemble_polyline(parts: DataFrame, max_gap_km: float = 200.0) -> DataFrame:
 
 
 def number_parts(parts: DataFrame) -> DataFrame:
-    from seaway.operators.ordered import number_rows
-
     x = parts.withColumnRenamed("seq", "_s")
     return number_rows(x, ["route_id"], ["part_no", "_s"], F.struct("part_no", F.floor(F.col("_s") / 16384))).drop("_s")
 
@@ -119,9 +118,8 @@ def _metrics(points: DataFrame) -> DataFrame:
     return tracks.quality_metrics(points).select("route_id", "length_km", "tortuosity", "mean_turn", "max_turn")
 
 
-def _path_parts(paths: DataFrame, od: DataFrame, nodes: DataFrame, part: int, reverse: bool = False) -> DataFrame:
-    """Points of the graph path of each route; ``od(route_id, source, target)``."""
-    pp = g.path_points(paths, od)
+def _path_parts(pp: DataFrame, od: DataFrame, nodes: DataFrame, part: int, reverse: bool = False) -> DataFrame:
+    """Points of the graph path of each route; ``od(route_id, source, target)``, ``pp(source, target, hop, node_id)``."""
     x = od.join(pp, ["source", "target"]).join(nodes.select("node_id", "lon", "lat"), "node_id")
     seq = -F.col("hop") if reverse else F.col("hop")
     if reverse:
@@ -150,8 +148,8 @@ def polar_routes(requests: DataFrame, nodes: DataFrame, graph: DataFrame, snaps:
     """Routes over the water graph between two snapped ports: (points, report with metrics)."""
     r = cut(requests.join(_snap_side(snaps, "a"), "a_id").join(_snap_side(snaps, "b"), "b_id").withColumn("route_id", F.col("pair_id")))
     od = r.select("route_id", F.col("a_node").alias("source"), F.col("b_node").alias("target"))
-    paths = cut(g.shortest_paths(graph, od.select("source").distinct(), targets=od.select("source", F.col("target").alias("node_id"))))
-    mid = _path_parts(paths, od, nodes, 2)
+    _, way = pair_paths(build_overlay(nodes, graph), od)
+    mid = cut(_path_parts(way, od, nodes, 2))
     ok = mid.select("route_id").distinct()
     rr = r.join(ok, "route_id", "left_semi")
     parts = (_one(rr, 0, "a_lon", "a_lat").unionByName(_one(rr.filter("a_proj"), 1, "a_wx", "a_wy")).unionByName(mid)
@@ -198,14 +196,18 @@ def network_routes(requests: DataFrame, lane_nodes: DataFrame, lanes: DataFrame,
                    max_km: float = 2000.0) -> tuple[DataFrame, DataFrame]:
     """Routes over the lane network with terminal approaches; each restriction set is tried, the first that passes wins."""
     r = cut(_lane_candidates(requests, lane_nodes, max_km, ("a", "b")))
-    mids, routes = None, None
+    # one layer of the graph per restriction set, so that one search answers all of them
+    k = len(restrictions)
+    layer = lambda c, i: (F.col(c) * k + i).alias(c)
+    places = lane_nodes.select("lon", "lat", "node_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("alt")).withColumn("node_id", F.col("node_id") * k + F.col("alt"))
+    layers, od = None, None
     for i, blocked in enumerate(restrictions):
-        paths = cut(g.shortest_paths(g.restrict_edges(lanes, blocked), r.select(F.col("a_vertex").alias("source")).distinct()))
-        rid = F.struct("pair_id", F.lit(i).alias("alt"))
-        od = r.select(rid.alias("route_id"), F.col("a_vertex").alias("source"), F.col("b_vertex").alias("target"))
-        m, rr = _path_parts(paths, od, lane_nodes, 2), r.withColumn("route_id", rid)
-        mids = m if mids is None else mids.unionByName(m)
-        routes = rr if routes is None else routes.unionByName(rr)
+        e = g.restrict_edges(lanes, blocked).select(layer("src", i), layer("dst", i), "weight_km")
+        o = r.select("pair_id", F.struct("pair_id", F.lit(i).alias("alt")).alias("route_id"), (F.col("a_vertex") * k + i).alias("source"), (F.col("b_vertex") * k + i).alias("target"))
+        layers, od = (e, o) if layers is None else (layers.unionByName(e), od.unionByName(o))
+    _, way = pair_paths(build_overlay(places, layers), od)
+    mids = cut(_path_parts(way, od.drop("pair_id"), places, 2))
+    routes = r.join(od.select("pair_id", "route_id"), "pair_id")
     line = cut(mids.select("route_id", (F.col("seq") + 1).alias("seq"), "lon", "lat"))
     routes = routes.join(line.select("route_id").distinct(), "route_id", "left_semi")
     dep, line = _approach(line, routes, "a", edges, True)
@@ -235,12 +237,18 @@ def gateway_routes(requests: DataFrame, nodes: DataFrame, graph: DataFrame, snap
     r = cut(_lane_candidates(r.join(_snap_side(snaps, "a"), "a_id"), lane_nodes, max_km, ("b",)))
     top = sector_top(r, gateways, k).join(gateways.drop("sector"), "gateway_id")
     c = cut(r.join(top, "pair_id").withColumn("route_id", F.struct("pair_id", "gateway_id")))
-    src = gateways.select(F.col("node_id").alias("source")).distinct()
-    water = cut(g.shortest_paths(graph, src.join(c.select(F.col("node_id").alias("source")), "source", "left_semi")))
-    lane = cut(g.shortest_paths(lanes, c.select(F.col("vertex_id").alias("source")).distinct()))
-    wpart = _path_parts(water, c.select("route_id", F.col("node_id").alias("source"), F.col("a_node").alias("target")), nodes, 2, reverse=True)
-    lpart = _path_parts(lane, c.select("route_id", F.col("vertex_id").alias("source"), F.col("b_vertex").alias("target")), lane_nodes, 3)
-    wkm = water.select(F.col("source").alias("node_id"), F.col("node_id").alias("a_node"), F.col("dist_km").alias("water_km"))
+    # water and lanes as two layers of one graph
+    even, odd = lambda x: x * 2, lambda x: x * 2 + 1
+    places = nodes.select(even(F.col("node_id")).alias("node_id"), "lon", "lat").unionByName(lane_nodes.select(odd(F.col("node_id")).alias("node_id"), "lon", "lat"))
+    both = graph.select(even(F.col("src")).alias("src"), even(F.col("dst")).alias("dst"), F.col("weight_km").cast("double").alias("weight_km")).unionByName(
+        lanes.select(odd(F.col("src")).alias("src"), odd(F.col("dst")).alias("dst"), F.col("weight_km").cast("double").alias("weight_km")))
+    wod = c.select("route_id", even(F.col("node_id")).alias("source"), even(F.col("a_node")).alias("target"))
+    lod = c.select("route_id", odd(F.col("vertex_id")).alias("source"), odd(F.col("b_vertex")).alias("target"))
+    dist, way = pair_paths(build_overlay(places, both), wod.unionByName(lod))
+    way = cut(way)
+    wpart, lpart = _path_parts(way, wod, places, 2, reverse=True), cut(_path_parts(way, lod, places, 3))
+    wkm = dist.select((F.col("source") / 2).cast("bigint").alias("node_id"), (F.col("target") / 2).cast("bigint").alias("a_node"), F.col("dist_km").alias("water_km")).join(
+        wod.select((F.col("source") / 2).cast("bigint").alias("node_id"), (F.col("target") / 2).cast("bigint").alias("a_node")).distinct(), ["node_id", "a_node"])
     c = cut(c.join(wkm, ["node_id", "a_node"]).join(lpart.select("route_id").distinct(), "route_id", "left_semi"))
     line = cut(lpart.select("route_id", (F.col("seq") + 1).alias("seq"), "lon", "lat"))
     far, line = _approach(line, c, "b", edges, False)

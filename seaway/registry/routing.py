@@ -123,7 +123,7 @@ def assemble_polyline(spark, sf):
     return rt.assemble_polyline(t, 80.0).select("route_id", "seq", "lon", "lat")
 
 
-# --- smoothing over every route of the lines table (checked by invariants in the tests) ---------------------
+# --- smoothing over every route of the lines table ------------------------------------------------------------
 
 
 def _routes(spark, sf):
@@ -137,7 +137,7 @@ def string_pull(spark, sf):
 
 @register("corner_cut")
 def corner_cut(spark, sf):
-    return sm.corner_cut(_routes(spark, sf), ring_edges(spark, sf), )
+    return sm.corner_cut(_routes(spark, sf), ring_edges(spark, sf))
 
 
 @register("fillet")
@@ -195,12 +195,12 @@ def _setup(spark, sf):
 
 @register("polar_routes")
 def polar_routes(spark, sf):
-    """Routes over the water graph for all requests whose two ports snap to it (invariants in the tests)."""
+    """Routes over the water graph for all requests whose two ports snap to it."""
     req, water, we, _, _, snaps = _setup(spark, sf)
     return rt.polar_routes(req.filter("a_id != b_id"), water, we, snaps, cut(ring_edges(spark, sf)))[1].select("route_id", "result", "length_km", "tortuosity", "n_points")
 
 
 def plan_routes(spark, sf):
-    """Whole plans of the request table: several hundred jobs, so it is run by the tests on a few requests and not registered."""
+    """Whole plans of the request table: many hundred jobs, so it is not registered; ``tests/test_routes.py`` checks it when slow tests are asked for."""
     req, water, we, lane, le, snaps = _setup(spark, sf)
     return rt.plan_routes(req, water, we, snaps, view(spark, sf, "v_gateways"), lane, le, cut(ring_edges(spark, sf)))[1]
