@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,8 @@ from seaway.llm.wordcache import WordCache, with_blanks
 BLANK = "▁"  # stands for a space inside pieces
 NONE = np.iinfo(np.int64).max
 SIEVE = np.uint64(44)
-PAIRS = 2_000_000  # pairs of pieces whose border is remembered
+PAIRS = 1 << 21  # places for pairs of pieces whose border is remembered
+PLACE = np.uint64(64 - 21)
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
 
@@ -86,7 +88,7 @@ class PieceCoder:
         self.keys = keys[self.order]
         self.maybe = np.zeros(1 << (64 - int(SIEVE)), bool)  # a first look: whether any piece has these leading hash bits
         self.maybe[(keys >> SIEVE).astype(np.int64)] = True
-        self.known, self.kept = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.known, self.kept = np.full(PAIRS, -1), np.zeros(PAIRS, bool)
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
         self.power = np.array([pow(_STEP, n, 1 << 64) for n in range(self.longest + 2)], np.uint64)
@@ -139,18 +141,41 @@ class PieceCoder:
                     self.left[i], self.right[i], self.reached[i] = self.index[parts[0]], self.index[parts[1]], True
 
     def merged(self, word: str, stop_before_last: bool = False) -> list[str]:
-        """Plain merging: always the best pair, the leftmost of equals. Used for the table of halves and for words with tied ranks."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = None, -1
-            for j in range(len(parts) - 1):
-                i = self.index.get(parts[j] + parts[j + 1])
-                if i is not None and (best is None or self.score[i] > best):
-                    best, at = self.score[i], j
-            if at < 0 or (stop_before_last and len(parts) == 2):
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """Plain merging: always the best pair, the leftmost of equals, from a heap of the pairs that stand side by side.
+
+        Used for the table of halves and for words with tied ranks (runs of spaces); n log n steps for n characters.
+        """
+        n = len(word)
+        size, ahead, behind = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = ahead[i]
+            if j < n:
+                k = self.index.get(word[i : j + size[j]]) if size[i] + size[j] <= self.longest else None
+                if k is not None:
+                    heap.append((-self.score[k], i, size[i], size[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        heapify(heap)
+        parts = n
+        while heap and not (stop_before_last and parts == 2):
+            _, i, x, y = heappop(heap)
+            j = ahead[i]
+            if size[i] != x or j >= n or size[j] != y:  # one of the two has been merged since
+                continue
+            size[i], size[j], ahead[i] = x + y, 0, ahead[j]
+            if ahead[i] < n:
+                behind[ahead[i]] = i
+            parts -= 1
+            for left in (behind[i], i):
+                if left >= 0:
+                    before = len(heap)
+                    offer(left)
+                    if len(heap) > before:
+                        heappush(heap, heap.pop())
+        return [word[i : i + size[i]] for i in range(n) if size[i]]
 
     def keeps_border(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether merging by rank leaves the border between each two pieces: their merges are undone from the last, and no pair across the border may come earlier."""
@@ -172,18 +197,15 @@ class PieceCoder:
         return good
 
     def _borders(self, pairs: np.ndarray) -> np.ndarray:
-        """``keeps_border`` of pairs given as ``first * pieces + second``, each pair looked into once."""
-        uniq, inverse = np.unique(pairs, return_inverse=True)
-        at = np.searchsorted(self.known, uniq)
-        new = uniq[(self.known[np.minimum(at, len(self.known) - 1)] != uniq)] if len(self.known) else uniq
+        """``keeps_border`` of pairs given as ``first * pieces + second``. Answers stay in a table of ``PAIRS`` places by hash; a later pair takes the place of an earlier one."""
+        place = (mix(pairs.astype(np.uint64)) >> PLACE).astype(np.int64)
+        out, new = self.kept[place], np.flatnonzero(self.known[place] != pairs)
         if len(new):
-            if len(self.known) > PAIRS:
-                self.known, self.kept, new = np.zeros(0, np.int64), np.zeros(0, bool), uniq
-            found = self.keeps_border(new // len(self.ids), new % len(self.ids))
-            at = np.searchsorted(self.known, new)
-            self.known, self.kept = np.insert(self.known, at, new), np.insert(self.kept, at, found)
-            at = np.searchsorted(self.known, uniq)
-        return self.kept[at][inverse]
+            uniq, inverse = np.unique(pairs[new], return_inverse=True)
+            found = self.keeps_border(uniq // len(self.ids), uniq % len(self.ids))
+            out[new] = found[inverse]
+            self.known[place[new]], self.kept[place[new]] = pairs[new], out[new]
+        return out
 
     # encoding
 
@@ -221,7 +243,7 @@ class PieceCoder:
         best[:, 0] = 0
         back = np.ones((len(texts), n + 1), np.int32)
         last = np.full((len(texts), n + 1), -1)  # piece that ends at each position; -1: an unknown character
-        ways: list[list[tuple]] = [[] for _ in range(n + 1)]  # (rows, start, pieces) by end
+        ends, starts, owners, found = [], [], [], []  # of all pieces that occur
         single = np.zeros((len(texts), n), bool)
         for size in range(1, min(self.longest, n) + 1):
             h = mix((total[:, size:] - total[:, :-size]) * down[: n - size + 1] + np.uint64(size * 0x9E3779B97F4A7C15 % (1 << 64)))
@@ -233,40 +255,43 @@ class PieceCoder:
             end, row, piece = end[real], row[real], piece[real]
             if size == 1:
                 single[row, end] = True
-            cuts = np.searchsorted(end, np.arange(n - size + 2))
-            for s in range(n - size + 1):
-                if cuts[s] < cuts[s + 1]:
-                    ways[s + size].append((row[cuts[s] : cuts[s + 1]], s, piece[cuts[s] : cuts[s + 1]]))
+            ends.append(end + size)
+            starts.append(end)
+            owners.append(row)
+            found.append(piece)
+        ends, starts, owners, found = map(np.concatenate, (ends, starts, owners, found))
+        order = np.argsort(ends.astype(np.int32), kind="stable")  # shorter pieces first among those with one end
+        starts, owners, found = starts[order], owners[order], found[order]
+        cuts = np.searchsorted(ends[order], np.arange(n + 2))
         floor = float(self.score.min(initial=0.0)) - 10.0
         for e in range(1, n + 1):
             lone = np.flatnonzero(~single[:, e - 1])  # an unknown character is a way of its own
             best[lone, e] = 0.0 if self.model.merges else best[lone, e - 1] + floor
-            if not ways[e]:
+            some = slice(cuts[e], cuts[e + 1])
+            if cuts[e] == cuts[e + 1]:
                 continue
-            row = np.concatenate([w[0] for w in ways[e]])
-            start = np.concatenate([np.full(len(w[0]), w[1]) for w in ways[e]])
-            piece = np.concatenate([w[2] for w in ways[e]])
-            value = best[row, start]
-            if self.model.merges:
+            row, start, piece = owners[some], starts[some], found[some]
+            if self.model.merges:  # one way at most is open to each position, and all values are 0
+                open_ = best[row, start] == 0.0
                 before = last[row, start]
-                open_ = np.isfinite(value)
                 check = np.flatnonzero(open_ & (before >= 0))
                 open_[check] = self._borders(before[check] * len(self.ids) + piece[check])
-                row, start, piece, value = row[open_], start[open_], piece[open_], np.zeros(int(open_.sum()))
+                row, start, piece = row[open_], start[open_], piece[open_]
+                best[row, e] = 0.0
             else:
-                value = value + self.score[piece]
-            np.maximum.at(best[:, e], row, value)
-            won = value >= best[row, e]
-            row, start, piece = row[won], start[won], piece[won]
+                value = best[row, start] + self.score[piece]
+                np.maximum.at(best[:, e], row, value)
+                won = value >= best[row, e]
+                row, start, piece = row[won], start[won], piece[won]
             back[row, e], last[row, e] = e - start, piece
         if self.model.merges and not np.isfinite(best[:, n]).all():
             raise RuntimeError("a word has no way through the pieces")
-        at, found = np.full(len(texts), n), []
+        at, steps = np.full(len(texts), n), []
         while (at > 0).any():
             live = at > 0
-            found.append(np.where(live, last[rows, at], -2))
+            steps.append(np.where(live, last[rows, at], -2))
             at = np.where(live, at - back[rows, at], 0)
-        path = np.array(found)[::-1].T
+        path = np.array(steps)[::-1].T
         plain = ~(path == -1).any(axis=1)
         out = []
         for t, p, simple in zip(texts, path, plain, strict=True):

@@ -136,3 +136,18 @@ def test_pieces_of_tables(spark, model):
 def test_decoding_of_broken_bytes(model):
     byte = model.coder.bytes
     assert model.coder.decode([byte[0xE4], byte[0xB8]]) == "�" and model.coder.decode(None) == ""
+
+
+def test_long_runs_of_tied_pieces_equal_the_library():
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coder, library = pieces.load_pieces(path).coder, sentencepiece.SentencePieceProcessor(model_file=path)
+    for text in [" " * k for k in (1, 2, 3, 15, 16, 17, 31, 33, 500, 20_001)] + ["a" + " " * k + "b" for k in range(40)]:
+        assert list(coder.encode([text])[0]) == library.encode(text)
+    begin = time.time()
+    assert len(coder.encode([" " * 100_000])[0]) == 6251  # a quadratic merge takes half an hour
+    assert time.time() - begin < 60
