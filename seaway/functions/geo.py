@@ -213,6 +213,35 @@ def slerp(lon1, lat1, lon2, lat2, t) -> tuple[Column, Column]:
     return lon, lat
 
 
+def with_arc(df: DataFrame, lon1, lat1, lon2, lat2) -> DataFrame:
+    """Adds what ``slerp`` needs of a great circle whatever the fraction: unit vectors ``_ga*``, ``_gb*``, angle ``_gw`` and its sine ``_gs``.
+
+    For many points on one arc this is worked out once a row, before the row is exploded.
+    """
+    ends = {f"_g{e}{k}": v for e, xy in (("a", (lon1, lat1)), ("b", (lon2, lat2))) for k, v in zip("xyz", unit_vector(*xy))}
+    df = let(df, **ends)
+    df = let(df, _gw=F.acos(clamp(dot(vec("_ga"), vec("_gb")), -1.0, 1.0)))
+    return let(df, _gs=F.when(F.col("_gw") < 1e-6, F.lit(1.0)).otherwise(F.sin("_gw")))
+
+
+def arc_points(df: DataFrame, lon1, lat1, lon2, lat2, **at) -> DataFrame:
+    """Points of arcs prepared by ``with_arc`` at fractions: ``arc_points(df, ..., p=t)`` adds ``p_lon``, ``p_lat``, equal to ``slerp`` at ``t``.
+
+    Works in steps over columns, so that no angle is computed twice, and takes the columns of ``with_arc`` away.
+    """
+    w, sw, a, b = F.col("_gw"), F.col("_gs"), vec("_ga"), vec("_gb")
+    keep = [k for k in df.columns if not (k.startswith("_g") and k[2:] in ("ax", "ay", "az", "bx", "by", "bz", "w", "s"))]
+    df = let(df, **{f"_{n}_{k}": v for n, t in at.items() for k, v in (("1", F.sin((1.0 - c(t)) * w) / sw), ("2", F.sin(c(t) * w) / sw))})
+    df = let(df, **{f"_{n}_{k}": F.col(f"_{n}_1") * a[i] + F.col(f"_{n}_2") * b[i] for n in at for i, k in enumerate("xyz")})
+    out = []
+    for n, t in at.items():
+        t = c(t)
+        start = (t <= 0.0) | (w < 1e-6)
+        out += [F.when(t >= 1.0, c(lon2)).when(start, c(lon1)).otherwise(F.degrees(F.atan2(F.col(f"_{n}_y"), F.col(f"_{n}_x")))).alias(f"{n}_lon"),
+                F.when(t >= 1.0, c(lat2)).when(start, c(lat1)).otherwise(F.degrees(F.asin(clamp(F.col(f"_{n}_z"), -1.0, 1.0)))).alias(f"{n}_lat")]
+    return df.select(*keep, *out)
+
+
 @remembered
 def chord_m(u: Vec, v: Vec) -> Column:
     """Great-circle distance of two unit vectors, from the chord between them."""
@@ -283,6 +312,15 @@ def _arc_sides(a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec):
     return plus, minus, dot(a, b) * sa - sb, qlen
 
 
+@remembered
+def may_cross_vec(a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec) -> Column:
+    """Cheap test that every crossing passes: neither arc lies wholly on one side of the other's plane, within the tolerance of ``_arc_sides``."""
+    w1, w2 = dot(n1, n1), dot(n2, n2)
+    tol = 1.001e-9 * F.sqrt(w1 * w2)  # |n1 x n2| is at most |n1| |n2|
+    beside = lambda s, t, w: ((s * w > tol) & (t * w > tol)) | ((s * w < -tol) & (t * w < -tol))
+    return ~beside(dot(n2, a), dot(n2, b), w1) & ~beside(dot(n1, e), dot(n1, d), w2)
+
+
 @remembered
 def arcs_cross_vec(a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec) -> Column:
     plus, minus, *_ = _arc_sides(a, b, n1, e, d, n2)

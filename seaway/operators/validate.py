@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seaway.functions import geo
 from seaway.operators import spatial as sp
+from seaway.operators.cover import points_in_cover, ring_cover
 from seaway.operators.ordered import ends
 from seaway.operators.tracks import legs
 from seaway.session import cut
@@ -33,12 +34,13 @@ def unsafe_segments(segs: DataFrame, edges: DataFrame, points: DataFrame | None
     near = sp.edges_near(s, edges, F.greatest(F.lit(0.6), F.greatest("tol_km", "clear_km") * 1.5 / 111.0))
     near = geo.let(near, t=sp.crossing_param())
     cx, cy = geo.slerp("x1", "y1", "x2", "y2", "t")
-    near = geo.let(near, cx=cx, cy=cy)
+    crossed = F.col("t").isNotNull()
+    near = geo.let(near, cx=F.when(crossed, cx), cy=F.when(crossed, cy))
     cross = F.col("t").isNotNull() & _outside_dock("cx", "cy", "tol_km")
     bad = near.filter(cross | (F.col("dock_x").isNull() & sp.too_close())).select("sid")
-    p = s.selectExpr("sid", "x1", "y1", "x2", "y2", "dock_x", "dock_y", "tol_km", f"explode(if({_KM} > 15.0, array(0.25D, 0.5D, 0.75D), array(0.5D))) as _t")
-    sx, sy = geo.slerp("x1", "y1", "x2", "y2", "_t")
-    p = geo.let(p, lon=F.when(F.col("_t") == 0.5, geo.c("(x1 + x2) / 2.0D")).otherwise(sx), lat=F.when(F.col("_t") == 0.5, geo.c("(y1 + y2) / 2.0D")).otherwise(sy))
+    p = geo.with_arc(s.selectExpr("sid", "x1", "y1", "x2", "y2", "dock_x", "dock_y", "tol_km", f"if({_KM} > 15.0, array(0.25D, 0.5D, 0.75D), array(0.5D)) as _ts"), "x1", "y1", "x2", "y2")
+    p = geo.arc_points(p.withColumn("_t", F.explode("_ts")), "x1", "y1", "x2", "y2", s="_t")
+    p = geo.let(p, lon=F.when(F.col("_t") == 0.5, geo.c("(x1 + x2) / 2.0D")).otherwise(F.col("s_lon")), lat=F.when(F.col("_t") == 0.5, geo.c("(y1 + y2) / 2.0D")).otherwise(F.col("s_lat")))
     p = p.filter(_outside_dock("lon", "lat", "tol_km")).select("sid", "lon", "lat")
     if points is not None:
         p = p.unionByName(points.select("sid", "lon", "lat"))
@@ -56,13 +58,12 @@ def unsafe_arcs(arcs: DataFrame, edges: DataFrame, step_km: float = 75.0, points
     ``arcs`` is read several times and should be settled.
     """
     a = arcs.selectExpr("sid", "x1", "y1", "x2", "y2", "clear_km", f"{_KM} as _km").withColumn("_n", F.expr(f"int(greatest(1, ceil(_km / {step_km}D)))"))
-    long = a.filter("_km > 80").selectExpr("sid", "x1", "y1", "x2", "y2", "explode(array(0.25D, 0.5D, 0.75D)) as _t")
-    lon, lat = geo.slerp("x1", "y1", "x2", "y2", "_t")
-    long = geo.let(long, lon=lon, lat=lat).select("sid", "lon", "lat")
-    sub = a.selectExpr("sid", "x1", "y1", "x2", "y2", "clear_km", "_n", "explode(sequence(1, _n)) as _k")
-    p, q = geo.slerp("x1", "y1", "x2", "y2", "(_k - 1) / _n"), geo.slerp("x1", "y1", "x2", "y2", "_k / _n")
-    sub = geo.let(sub.selectExpr("sid", "x1", "y1", "x2", "y2", "clear_km", "_k", "_n"), a=p[0], b=p[1], c=q[0], d=q[1]).selectExpr(
-        "sid", "a as x1", "b as y1", "c as x2", "d as y2", "cast(null as double) as dock_x", "cast(null as double) as dock_y", "0.0D as tol_km", "clear_km")
+    a = geo.with_arc(a, "x1", "y1", "x2", "y2")
+    long = a.filter("_km > 80").withColumn("_t", F.explode(F.array(*[F.lit(t) for t in (0.25, 0.5, 0.75)])))
+    long = geo.arc_points(long, "x1", "y1", "x2", "y2", m="_t").selectExpr("sid", "m_lon as lon", "m_lat as lat")
+    sub = a.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    sub = geo.arc_points(sub, "x1", "y1", "x2", "y2", p="(_k - 1) / _n", q="_k / _n").selectExpr(
+        "sid", "p_lon as x1", "p_lat as y1", "q_lon as x2", "q_lat as y2", "cast(null as double) as dock_x", "cast(null as double) as dock_y", "0.0D as tol_km", "clear_km")
     return unsafe_segments(sub, edges, long if points is None else long.unionByName(points.select("sid", "lon", "lat")))
 
 
@@ -99,20 +100,18 @@ def failing_segments(points: DataFrame, route_ends: DataFrame, edges: DataFrame)
     x = cut(x)
     step = geo.clamp(20.0 * F.cos(F.radians((F.col("y1") + F.col("y2")) / 2.0)), 2.5, 15.0)
     x = x.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("leg_km") / step)).cast("int"))
-    s = x.select("sid", "x1", "y1", "x2", "y2", "terminal", F.when(F.col("terminal"), F.col("dock.lon")).alias("dock_x"),
-                 F.when(F.col("terminal"), F.col("dock.lat")).alias("dock_y"), "tol_km", "_n", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("k"))
-    p = geo.slerp("x1", "y1", "x2", "y2", (F.col("k") - 1) / F.col("_n"))
-    q = geo.slerp("x1", "y1", "x2", "y2", F.col("k") / F.col("_n"))
-    mx, my = geo.slerp("x1", "y1", "x2", "y2", (F.col("k") - 0.5) / F.col("_n"))
-    s = geo.let(s, a=p[0], b=p[1], c=q[0], d=q[1], lon=mx, lat=my).drop("x1", "y1", "x2", "y2")
-    s = s.withColumnsRenamed({"a": "x1", "b": "y1", "c": "x2", "d": "y2"})
+    s = geo.with_arc(x.select("sid", "x1", "y1", "x2", "y2", "terminal", F.when(F.col("terminal"), F.col("dock.lon")).alias("dock_x"),
+                              F.when(F.col("terminal"), F.col("dock.lat")).alias("dock_y"), "tol_km", "_n"), "x1", "y1", "x2", "y2")
+    s = s.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("k"))
+    s = geo.arc_points(s, "x1", "y1", "x2", "y2", p=(F.col("k") - 1) / F.col("_n"), q=F.col("k") / F.col("_n"), m=(F.col("k") - 0.5) / F.col("_n"))
+    s = s.drop("x1", "y1", "x2", "y2").withColumnsRenamed({"p_lon": "x1", "p_lat": "y1", "q_lon": "x2", "q_lat": "y2", "m_lon": "lon", "m_lat": "lat"})
     s = cut(s)
     hits = sp.arc_crossings(s.drop("lon", "lat"), edges, F.greatest(F.lit(0.6), F.col("tol_km") * 1.5 / 111.0), with_t=True)
     cx, cy = geo.slerp("x1", "y1", "x2", "y2", "t")
     hits = geo.let(hits, cx=cx, cy=cy).filter(F.col("t").isNull() | _outside_dock("cx", "cy", "tol_km"))
     hits = hits.select("sid", F.struct("k", F.lit(1).alias("kind")).alias("hit"))
     m = s.filter(_outside_dock("lon", "lat", "tol_km"))
-    inside = sp.points_in_rings(m.select(F.struct("sid", "k").alias("pid"), "lon", "lat"), edges)
+    inside = points_in_cover(m.select(F.struct("sid", "k").alias("pid"), "lon", "lat"), cut(ring_cover(edges)))
     inside = inside.select("pid.sid", F.struct(F.col("pid.k").alias("k"), F.lit(2).alias("kind")).alias("hit"))
     first = hits.unionByName(inside).groupBy("sid").agg(F.min("hit").alias("hit"))
     tol = F.format_string("%.1f", "tol_km")
