@@ -312,15 +312,6 @@ def _arc_sides(a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec):
     return plus, minus, dot(a, b) * sa - sb, qlen
 
 
-@remembered
-def may_cross_vec(a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec) -> Column:
-    """Cheap test that every crossing passes: neither arc lies wholly on one side of the other's plane, within the tolerance of ``_arc_sides``."""
-    w1, w2 = dot(n1, n1), dot(n2, n2)
-    tol = 1.001e-9 * F.sqrt(w1 * w2)  # |n1 x n2| is at most |n1| |n2|
-    beside = lambda s, t, w: ((s * w > tol) & (t * w > tol)) | ((s * w < -tol) & (t * w < -tol))
-    return ~beside(dot(n2, a), dot(n2, b), w1) & ~beside(dot(n1, e), dot(n1, d), w2)
-
-
 @remembered
 def arcs_cross_vec(a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec) -> Column:
     plus, minus, *_ = _arc_sides(a, b, n1, e, d, n2)
@@ -336,6 +327,32 @@ def arc_param_vec(a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec) -> Column:
     return F.when(plus | minus, frac)
 
 
+def with_crossing(df: DataFrame, a: Vec, b: Vec, n1: Vec, e: Vec, d: Vec, n2: Vec, only: bool = False) -> DataFrame:
+    """Adds ``t``, equal to ``arc_param_vec``, in steps over columns: one small method of generated code instead of one too long to be compiled.
+
+    ``only`` keeps the pairs that cross. Most pairs end at the first step: an arc lies wholly on one side of the other's plane.
+    """
+    keep = df.columns
+    w1, w2, sa, sb, se, sd, q = (F.col(f"_{k}") for k in ("w1", "w2", "sda", "sdb", "sde", "sdd", "qlen"))
+    df = let(df, _sda=dot(n2, a), _sdb=dot(n2, b), _sde=dot(n1, e), _sdd=dot(n1, d), _w1=dot(n1, n1), _w2=dot(n2, n2))
+    tol = 1.001e-9 * F.sqrt(w1 * w2)  # |n1 x n2| is at most |n1| |n2|
+    beside = lambda s, t, w: ((s * w > tol) & (t * w > tol)) | ((s * w < -tol) & (t * w < -tol))
+    may = ~beside(sa, sb, w1) & ~beside(se, sd, w2)
+    if only:
+        df = df.filter(may)
+    df = let(df, _qlen=norm(cross(n1, n2)), _dab=dot(a, b), _may=may)
+    tol = 1e-9 * q
+    real = F.col("_may") & (w1 >= 1e-24) & (w2 >= 1e-24) & (q >= 1e-12)
+    df = let(df, _plus=real & (sa > sb) & (sd > se) & (sa * w1 >= -tol) & (sb * w1 <= tol) & (se * w2 <= tol) & (sd * w2 >= -tol),
+             _minus=real & (sa < sb) & (sd < se) & (sa * w1 <= tol) & (sb * w1 >= -tol) & (se * w2 >= -tol) & (sd * w2 <= tol))
+    if only:
+        df = df.filter(F.col("_plus") | F.col("_minus"))
+    df = let(df, _whole=F.acos(clamp(F.col("_dab"), -1.0, 1.0)), _qa=F.col("_dab") * sa - sb)
+    along = F.acos(clamp(F.when(F.col("_plus"), F.col("_qa")).otherwise(-F.col("_qa")) / F.greatest(F.lit(1e-12), q), -1.0, 1.0))
+    frac = F.when(F.col("_whole") < 1e-9, F.lit(0.0)).otherwise(clamp(along / F.greatest(F.lit(1e-9), F.col("_whole")), 0.0, 1.0))
+    return let(df, t=F.when(F.col("_plus") | F.col("_minus"), frac)).select(*keep, "t")
+
+
 @remembered
 def arcs_cross(p1, p2, p3, p4) -> Column:
     """Whether two great-circle arcs cross; coplanar arcs do not."""

@@ -232,9 +232,9 @@ def arc_crossings(segs: DataFrame, edges: DataFrame, margin=0.6, with_t: bool =
     lbox = (F.col("_box.x0"), F.least("y1", "y2") - m, F.col("_box.x1"), F.greatest("y1", "y2") + m)
     j = box_join(s, e, lbox, _edge_box())
     six = [geo.vec(p) for p in ("_sa", "_sb", "_sn", "_ea", "_eb", "_en")]
-    j = j.filter(geo.may_cross_vec(*six) & geo.arcs_cross_vec(*six))
-    if with_t:
-        j = geo.let(j, t=geo.arc_param_vec(*six))
+    j = geo.with_crossing(j, *six, only=True)
+    if not with_t:
+        j = j.drop("t")
     return j.drop("_box", *[f"_{p}{q}{k}" for p in "se" for q in "abn" for k in "xyz"])
 
 
@@ -245,11 +245,9 @@ def edges_near(segs: DataFrame, edges: DataFrame, margin: Column) -> DataFrame:
     return box_join(s, e, _seg_box("_m"), _edge_box())
 
 
-@remembered
-def crossing_param() -> Column:
-    """Where a pair of ``edges_near`` crosses, as a fraction of the segment; null without a crossing."""
-    six = [geo.vec(p) for p in ("_sa", "_sb", "_sn", "_ea", "_eb", "_en")]
-    return F.when(geo.may_cross_vec(*six), geo.arc_param_vec(*six))
+def with_crossing_param(near: DataFrame) -> DataFrame:
+    """Pairs of ``edges_near`` with ``t``, where they cross as a fraction of the segment; null without a crossing."""
+    return geo.with_crossing(near, *[geo.vec(p) for p in ("_sa", "_sb", "_sn", "_ea", "_eb", "_en")])
 
 
 @remembered

@@ -32,7 +32,7 @@ def unsafe_segments(segs: DataFrame, edges: DataFrame, points: DataFrame | None
     """
     s = sp.split_antimeridian(segs).filter("abs(x1 - x2) >= 1e-6 or abs(y1 - y2) >= 1e-6")
     near = sp.edges_near(s, edges, F.greatest(F.lit(0.6), F.greatest("tol_km", "clear_km") * 1.5 / 111.0))
-    near = geo.let(near, t=sp.crossing_param())
+    near = sp.with_crossing_param(near)
     cx, cy = geo.slerp("x1", "y1", "x2", "y2", "t")
     crossed = F.col("t").isNotNull()
     near = geo.let(near, cx=F.when(crossed, cx), cy=F.when(crossed, cy))

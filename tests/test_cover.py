@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from seaway.operators import cover
+from seaway.functions import geo
+from seaway.operators import cover, spatial
 
 POINT = "pid long, lon double, lat double"
 EDGE = "ring_id long, edge_idx long, x1 double, y1 double, x2 double, y2 double"
@@ -78,3 +79,24 @@ def test_cover_of_nothing(spark):
     p = spark.createDataFrame([(1, 0.7, 0.2)], POINT)
     assert cover.points_in_cover(p, none).count() == 0 and cover.points_in_cover(p.filter("pid = 2"), some).count() == 0
     assert [tuple(r) for r in cover.points_in_cover(p, some).collect()] == [(1, 1)]
+
+
+def test_stepwise_arcs_equal_the_plain_formulas(spark):
+    rnd = random.Random(11)
+    spot = lambda: (rnd.choice([0.0, 10.0, 179.0, rnd.uniform(-180, 180)]), rnd.choice([-60.0, 0.0, rnd.uniform(-89, 0)]))
+    rows = [(*spot(), *spot(), *spot(), *spot(), rnd.choice([0.0, 0.5, 1.0, rnd.random()])) for _ in range(800)]
+    for _ in range(400):  # short arcs that often cross, and arcs that share an end or a line
+        x, y = spot()
+        near = [(x + rnd.uniform(-1, 1), y - rnd.uniform(0, 1)) for _ in range(4)]
+        rows += [(*near[0], *near[1], *near[2], *near[3], rnd.random()), (*near[0], *near[1], *near[1], *near[2], 0.3), (*near[0], *near[0], *near[0], *near[1], 0.3)]
+    d = spark.createDataFrame(rows, "x1 double, y1 double, x2 double, y2 double, ex1 double, ey1 double, ex2 double, ey2 double, f double")
+    lon, lat = geo.slerp("x1", "y1", "x2", "y2", "f")
+    want = d.select("*", lon.alias("wlon"), lat.alias("wlat"))
+    got = geo.arc_points(geo.with_arc(want, "x1", "y1", "x2", "y2"), "x1", "y1", "x2", "y2", p="f")
+    assert got.columns == [*want.columns, "p_lon", "p_lat"]
+    assert got.filter("not (p_lon <=> wlon and p_lat <=> wlat)").count() == 0
+    v = spatial.edge_vectors(spatial.edge_vectors(d, "_s", "x1", "y1", "x2", "y2"), "_e", "ex1", "ey1", "ex2", "ey2")
+    six = [geo.vec(p) for p in ("_sa", "_sb", "_sn", "_ea", "_eb", "_en")]
+    both = geo.with_crossing(v.withColumn("want", geo.arc_param_vec(*six)), *six)
+    assert both.filter("not (t <=> want)").count() == 0 and both.filter("t is not null").count() > 100
+    assert geo.with_crossing(v, *six, only=True).count() == both.filter("t is not null").count()
