@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seaway.functions.clean import first_reason
 from seaway.operators.ordered import ends, over_blocks
+from seaway.operators.ranks import percentiles
 
 
 def split_valid(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
@@ -69,12 +70,13 @@ def normalise_ring(points: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def target_stats(df: DataFrame) -> DataFrame:
-    """Counts per fast-ice class and area statistics; the median is the exact interpolated one."""
+    """Counts per fast-ice class and area statistics; the median is the exact interpolated one, found by ranges."""
+    (median,) = percentiles(df, "area_km2", [0.5])
     st = F.col("fast_ice_status")
     return df.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(st == "Outside").alias("outside"), F.count_if(st == "Inside").alias("inside"),
         F.count_if(st == "Partial").alias("partial"), F.min("area_km2").alias("min_area"), F.max("area_km2").alias("max_area"),
-        F.median("area_km2").alias("median_area"), F.avg("area_km2").alias("mean_area"),
+        F.lit(median).cast("double").alias("median_area"), F.avg("area_km2").alias("mean_area"),
         (F.count_if(F.col("area_km2") < 1.0) / F.count(F.lit(1)) * 100.0).alias("pct_under_1"))
 
 
