@@ -10,7 +10,7 @@ from seaway import registry
 from seaway.session import build_session
 
 HEADLINE = ["route_length", "quality_metrics", "voyage_profile", "points_in_rings", "radius_join", "nearest_within_cells",
-            "reconcile", "snap_ports", "shortest_paths"]
+            "reconcile", "snap_ports", "shortest_paths", "validate_routes"]
 
 
 def main() -> None:
