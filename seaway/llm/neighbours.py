@@ -4,7 +4,8 @@ Vectors are lengthened by one component so that the nearest in distance is the l
 around sampled pivots and each cell to shards of bounded size; a shard is one row with a vantage-point tree over its distinct
 vectors. A query first searches the shards of its nearest cells, which gives it a radius, and then every shard whose cell can
 come within that radius. In the trees as among the cells a part is left out by the triangle inequality with the radius
-divided by ``relax``: 1 is exact, larger values prune more.
+divided by ``relax``: 1 is exact, larger values prune more. Scores decide which points stay, and among equal scores the
+smaller id, however many are equal: a list of ``k + 1`` entries, ordered so, is all that ``k`` neighbours can need.
 
 Records: gateways and graph nodes of the engine as positions on the sphere are such vectors (``node_id``, ``position``), where
 the largest inner product is the shortest great circle; any table of an id and an array of numbers fits.
@@ -13,7 +14,8 @@ the largest inner product is the shortest great circle; any table of an id and a
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,7 @@ from seaway.session import cut
 SHARD = 4096  # distinct vectors of a shard, about
 CELLS = 1024  # cells at most; larger cells have more shards
 LEAF = 128
-SPARE = 8  # entries kept beyond k, so that neither the query itself nor rounding at the end of the list costs a neighbour
+MARGIN = 1e-7  # distances come from matrix products: what is within this much of a radius is looked at, and exact scores decide
 QUERIES = 256  # queries that search a shard together
 
 
@@ -54,23 +56,40 @@ class VantageTree:
         self.nodes[at] = (vantage, d[inner].min(), d[inner].max(), d[outer].min(), d[outer].max(), self._build(rows[inner]), self._build(rows[outer]))
         return at
 
-    def search(self, queries: np.ndarray, k: int, radius: np.ndarray, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, rows) of the ``k`` nearest points within ``radius`` of each query, found best first; -1 fills up."""
+    def search(self, queries: np.ndarray, k: int, radius: np.ndarray, relax: float, score: Callable[[np.ndarray, np.ndarray], np.ndarray], tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distances, scores, rows) of the ``k`` best points within ``radius`` of each query, best first; -1 fills up.
+
+        Distances find and prune; ``score(rows, queries)``, given two lists of positions, orders what was found, and among equal scores ``tie`` does.
+        """
         dist = np.full((len(queries), k), np.inf)
+        high = np.full((len(queries), k), -np.inf)
         rows = np.full((len(queries), k), -1)
         bound = radius.astype(np.float64).copy()
 
+        def keep(who: np.ndarray, d: np.ndarray, found: np.ndarray) -> None:
+            """Merge the points ``found`` at distances ``d`` into the lists of the queries ``who``."""
+            i, j = np.nonzero(d <= bound[who, None] * (1 + 1e-9) + MARGIN)
+            if not len(i):
+                return
+            hit = np.unique(i)
+            own, slot = np.nonzero(rows[who[hit]] >= 0)
+            old = who[hit][own]
+            at = np.concatenate([hit[own], i])
+            r = np.concatenate([rows[old, slot], found[j]])
+            sc = np.concatenate([high[old, slot], score(found[j], who[i])])
+            ds = np.concatenate([dist[old, slot], d[i, j]])
+            order = np.lexsort((tie[r], -sc, at))
+            at, r, sc, ds = at[order], r[order], sc[order], ds[order]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            top = rank < k
+            q, n = who[at[top]], rank[top]
+            rows[q, n], high[q, n], dist[q, n] = r[top], sc[top], ds[top]
+            bound[who] = np.minimum(bound[who], dist[who].max(axis=1))
+
         def visit(node: int, who: np.ndarray) -> None:
             part = self.nodes[node]
             if part[0] is None:
-                found = part[1]
-                d = _distances(queries[who], self.points[found])
-                d[d > radius[who, None] + 1e-7] = np.inf
-                all_d = np.concatenate([dist[who], d], axis=1)
-                all_r = np.concatenate([rows[who], np.broadcast_to(found, d.shape)], axis=1)
-                best = np.argsort(all_d, axis=1, kind="stable")[:, :k]
-                dist[who], rows[who] = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_r, best, 1)
-                bound[who] = np.minimum(bound[who], dist[who, -1])
+                keep(who, _distances(queries[who], self.points[part[1]]), part[1])
                 return
             vantage, lo_in, hi_in, lo_out, hi_out, inner, outer = part
             d = np.sqrt(np.maximum(((queries[who] - self.points[vantage]) ** 2).sum(axis=1), 0))
@@ -79,14 +98,13 @@ class VantageTree:
             first_in = gap_in <= gap_out
             for near, far, gap_n, gap_f, some in ((inner, outer, gap_in, gap_out, first_in), (outer, inner, gap_out, gap_in, ~first_in)):
                 for child, gap in ((near, gap_n), (far, gap_f)):
-                    go = who[some & (gap * relax <= bound[who] * (1 + 1e-9) + 1e-7)]
+                    go = who[some & (gap * relax <= bound[who] * (1 + 1e-9) + MARGIN)]
                     if len(go):
                         visit(child, go)
 
         if len(queries):
             visit(0, np.arange(len(queries)))
-        rows[np.isinf(dist)] = -1
-        return dist, rows
+        return dist, high, rows
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -161,6 +179,14 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0))
 
 
+def _products(x: np.ndarray, q: np.ndarray, rows: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Inner products of rows of ``x`` and of ``q``, added up in component order."""
+    total = np.zeros(len(rows))
+    for j in range(x.shape[1]):
+        total += x[rows, j] * q[who, j]
+    return total
+
+
 def _spread(x: np.ndarray, number: int) -> np.ndarray:
     """Pivots: some rounds of k-means from the first rows."""
     c = x[:number].copy()
@@ -202,7 +228,7 @@ def nearest(nodes: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.
                 near = np.argsort(d, axis=1, kind="stable")[:, :first_cells]
                 home = np.zeros(d.shape, bool)
                 np.put_along_axis(home, near, True, 1)
-                go = home if first else ~home & ((d - radii[full]) * relax <= pdf["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-7)
+                go = home if first else ~home & ((d - radii[full]) * relax <= pdf["bound"].to_numpy()[:, None] * (1 + 1e-9) + MARGIN)
                 rows, cells = np.nonzero(go)
                 cells = full[cells]
                 each = shards[cells]
@@ -223,13 +249,11 @@ def nearest(nodes: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.
                 t = VantageTree.__new__(VantageTree)
                 t.points, t.nodes = lengthened(x, frame["top"]), shape
                 q = np.array([np.asarray(e["v"], np.float64) for e in qs])
-                dist, rows = t.search(aimed(q), k + SPARE, np.array([e["bound"] for e in qs]), relax)
+                tie = np.empty(len(ids), np.int64)
+                tie[sorted(range(len(ids)), key=lambda i: ids[i][0])] = np.arange(len(ids))  # noqa: B023
+                dist, high, rows = t.search(aimed(q), k + 1, np.array([e["bound"] for e in qs]), relax, partial(_products, x, q), tie)
                 a, b = np.nonzero(rows >= 0)
-                r = rows[a, b]
-                score = np.zeros(len(r))
-                for j in range(x.shape[1]):  # in component order
-                    score += x[r, j] * q[a, j]
-                yield pd.DataFrame({"q": [qs[i]["q"] for i in a], "dist": dist[a, b], "score": score, "ids": pd.Series([ids[i] for i in r], dtype=object)})
+                yield pd.DataFrame({"q": [qs[i]["q"] for i in a], "dist": dist[a, b], "score": high[a, b], "ids": pd.Series([ids[i] for i in rows[a, b]], dtype=object)})
 
     def search(visits: DataFrame) -> DataFrame:
         """Queries of a shard in groups of bounded size, each group with the shard's tree."""
@@ -239,9 +263,9 @@ def nearest(nodes: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1.
         return x.join(index, ["cell", "shard"]).select("tree", "ids", "qs").mapInPandas(searched, f"q {kind}, dist double, score double, ids array<{kind}>")
 
     def best(found: DataFrame) -> DataFrame:
-        """The nearest entries of each query; entries as near as the last one all stay."""
-        w = Window.partitionBy("q").orderBy(F.desc("score"))
-        return found.withColumn("_r", F.rank().over(w)).filter(F.col("_r") <= k + SPARE).drop("_r")
+        """The ``k + 1`` best entries of each query by score and least id; one of them may hold only the query itself."""
+        w = Window.partitionBy("q").orderBy(F.desc("score"), F.element_at("ids", 1))
+        return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1).drop("_r")
 
     one = cut(best(search(asks.mapInPandas(plan(True), visit))))
     reach = one.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("dist"))).filter(F.col("_r") == k + 1).select("q", F.col("dist").alias("bound"))

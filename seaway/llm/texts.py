@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+    "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "ց": "g", "ո": "n", "ս": "u", "օ": "o", "ɡ": "g", "ɑ": "a", "ɩ": "i",
     "ı": "i", "ł": "l", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "$": "s", "@": "a", "!": "i",
 }
 
@@ -51,7 +52,7 @@ def as_text(points: np.ndarray) -> str:
 def letter_table(lookalikes: bool = False) -> np.ndarray:
     """For every code point its lower-case letter, or a space for what is no letter or mark.
 
-    ``lookalikes`` also folds ``LOOKALIKES`` and the full-width forms onto Latin letters.
+    ``lookalikes`` also folds ``LOOKALIKES`` and compatibility forms (full width, mathematical, circled, raised) onto Latin letters.
     """
     table = np.full(0x110000, 32, np.uint32)
     for cp in range(0x30000):
@@ -60,8 +61,11 @@ def letter_table(lookalikes: bool = False) -> np.ndarray:
             low = ch.lower()
             table[cp] = ord(low) if len(low) == 1 else cp
     if lookalikes:
-        for cp in range(0xFF01, 0xFF5F):
-            table[cp] = table[cp - 0xFEE0]
+        for cp in range(0x80, 0x30000):
+            if unicodedata.decomposition(chr(cp)).startswith("<"):  # a form of another character, not a letter with a mark
+                plain = unicodedata.normalize("NFKD", chr(cp)).strip("()")
+                if len(plain) == 1:
+                    table[cp] = table[ord(plain)] if plain.isalpha() else ord(LOOKALIKES.get(plain, " "))
         for a, b in LOOKALIKES.items():
             for form in {a, a.upper()}:
                 if len(form) == 1:

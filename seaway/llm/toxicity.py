@@ -82,7 +82,14 @@ class ToxicityModel:
                     excused.append((start, end))
                 else:
                     hits[start] = max(hits.get(start, 0.0), weight)
-        return sum(w for s, w in hits.items() if not any(a <= s <= b for a, b in excused))
+        if not excused:
+            return sum(hits.values())
+        spans = np.array(sorted(excused))
+        reach = np.maximum.accumulate(spans[:, 1])  # how far the spans that begin up to here go
+        at = np.fromiter(hits, np.int64, len(hits))
+        last = np.searchsorted(spans[:, 0], at, side="right") - 1
+        free = (last < 0) | (reach[np.maximum(last, 0)] < at)
+        return float(np.fromiter(hits.values(), np.float64, len(hits))[free].sum())
 
     def score(self, densities: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * np.log1p(densities) + self.offset)
@@ -144,14 +151,16 @@ def _neighbours(entries: Sequence[tuple[str, bool, float]], batches: Iterable[pd
 
 
 def fit_toxicity(plans: DataFrame, grades: DataFrame, plan_id: str = "route_id", plan_text: str = "plan_text", grade: str = "toxic",
-                 per_class: int = 4000, support: int = 4, share: float = 0.015, least_weight: float = 4.0, entries: int = 5000, exceptions: Sequence[str] = ()) -> ToxicityModel:
+                 per_class: int = 4000, support: int = 4, least_weight: float = 4.0, chance: float = 0.05, exceptions: Sequence[str] = ()) -> ToxicityModel:
     """Learn the lexicon, the exception phrases and the curve from graded plans.
 
     ``grades(plan_id, grade)`` marks plans with 1 (toxic) or 0. The fit reads at most ``per_class`` plans of each class,
     chosen by a hash of their id (the documented bound), and of near copies only one, so that chance words of a copied
-    plan gain no support. A word, or a word beginning of 4 to 8 letters, enters the lexicon
-    if at least ``support`` toxic plans, and ``share`` of them, hold it and its log odds reach ``least_weight``; of nested beginnings the shortest
-    whose odds are about as good stays; at most ``entries`` of the strongest are kept. A two-word phrase around a lexicon
+    plan gain no support. A word, or a word beginning of 4 to 8 letters, enters the lexicon if at least ``support`` toxic plans
+    hold it, its log odds reach ``least_weight`` and the odds are no accident: Chernoff's bound of the chance that a term held alike
+    by both classes falls so one-sidedly stays below ``chance`` divided by the number of terms with that support. The
+    support does not grow with the sample and no number of entries is set. Of nested beginnings the shortest whose odds are
+    about as good stays. A two-word phrase around a lexicon
     word becomes an exception if at least ``support`` clean plans and no toxic plan hold it. Without toxic or clean
     examples the model has no entries and scores every text alike, below one half.
     """
@@ -161,13 +170,16 @@ def fit_toxicity(plans: DataFrame, grades: DataFrame, plan_id: str = "route_id",
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return ToxicityModel(exceptions=tuple(exceptions))
-    support = max(support, round(share * n1))
     least_weight = min(least_weight, 0.75 * math.log(2 * (n0 + 1)))  # what few clean plans can show at all
     terms = sample.mapInPandas(_terms, "term string, stem boolean, clean long, toxic long").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    terms = cut(terms.filter(F.col("toxic") >= support))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    rows = terms.filter(F.col("toxic") >= support).withColumn("weight", odds).filter(F.col("weight") >= least_weight)
-    # rare clean words reach high odds only with enough toxic plans; at most 4 * entries rows reach the driver
-    rows = rows.orderBy(F.desc("weight"), "term", "stem").limit(4 * entries).collect()
+    held, base = F.col("toxic") + F.col("clean"), n1 / (n0 + n1)
+    part = lambda n, p: F.when(n == 0, 0.0).otherwise(n * F.log(n / (held * p)))
+    surprise = part(F.col("toxic"), base) + part(F.col("clean"), 1 - base)  # the Chernoff exponent of toxic plans among those that hold the term
+    least = math.log(max(1, terms.count()) / chance)
+    # only the lexicon itself reaches the driver
+    rows = terms.withColumn("weight", odds).filter((F.col("weight") >= least_weight) & (surprise >= least)).collect()
     kept: dict[str, tuple[str, bool, float]] = {}
     stems: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r.term), not r.stem)):
@@ -177,10 +189,10 @@ def fit_toxicity(plans: DataFrame, grades: DataFrame, plan_id: str = "route_id",
         if r.stem:
             stems[r.term] = r.weight
         kept[f"{r.term}|{r.stem}"] = (r.term, r.stem, float(r.weight))
-    chosen = sorted(kept.values(), key=lambda e: (-e[2], e[0], e[1]))[:entries]
+    chosen = sorted(kept.values(), key=lambda e: (-e[2], e[0], e[1]))
     near = sample.mapInPandas(lambda b: _neighbours(chosen, b), "phrase string, grade int, n long")
     near = near.groupBy("phrase").agg(F.sum(F.when(F.col("grade") == 0, F.col("n"))).alias("c"), F.sum(F.when(F.col("grade") == 1, F.col("n"))).alias("t"))
-    excused = [r[0] for r in near.filter((F.col("c") >= support) & F.col("t").isNull()).orderBy(F.desc("c"), "phrase").limit(entries).collect()]
+    excused = [r[0] for r in near.filter((F.col("c") >= support) & F.col("t").isNull()).orderBy(F.desc("c"), "phrase").collect()]
     model = ToxicityModel(tuple(chosen), tuple(dict.fromkeys([*exceptions, *excused])))
 
     def densities(batches):

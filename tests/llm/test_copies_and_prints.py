@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seaway.llm import fingerprints as fp
 from seaway.llm import near_copies as nc
@@ -215,3 +216,23 @@ def test_neighbours_recall_when_relaxed_and_small_tables(spark):
     assert neighbours.nearest(nodes.limit(0), nodes, k=3).count() == 0
     assert neighbours.nearest(nodes.filter("node_id < 3"), nodes.filter("node_id = 0"), k=5).count() == 2
     assert neighbours.nearest(nodes, nodes.limit(0), k=3).count() == 0
+
+
+@pytest.mark.parametrize("relax", [1.0, 1.4])
+def test_neighbours_of_tied_vectors_go_to_the_smaller_id(spark, monkeypatch, relax):
+    monkeypatch.setattr(neighbours, "SHARD", 200)
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(np.arange(1, 1024))
+    rows = [(int(i), [float(n >> b & 1) for b in range(10)]) for i, n in zip(ids, range(1, 1024), strict=True)]
+    nodes = spark.createDataFrame(rows, "node_id long, position array<double>")
+    asked = [20, 512]
+    got = neighbours.nearest(nodes, nodes.filter(F.col("node_id").isin(asked)), k=20, relax=relax).orderBy("query_id", "rank").collect()
+    v = dict(rows)
+    want = []
+    for q in asked:
+        score = {i: sum(a * b for a, b in zip(v[i], v[q], strict=True)) for i in v if i != q}
+        want += [(q, n + 1, i, score[i]) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:20])]
+    if relax == 1.0:
+        assert [tuple(r) for r in got] == want
+    else:
+        assert len({(r.query_id, r.node_id) for r in got} & {(w[0], w[2]) for w in want}) >= 36

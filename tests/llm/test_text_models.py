@@ -1,6 +1,7 @@
 """Quality, toxicity and language of passage plans: learned on made-up plans, held against plain versions and held-out rows."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -103,6 +104,38 @@ def test_automaton_equals_plain_search():
         assert model.mass(toxicity.fold(text)) == want
 
 
+def test_excused_spans_are_swept():
+    model = toxicity.ToxicityModel((("clown", False, 3.0),), ("clown fish",))
+    started = time.perf_counter()
+    assert model.mass(toxicity.fold("clown fish " * 100_000 + "clown")) == 3.0
+    assert time.perf_counter() - started < 10
+    nested = toxicity.ToxicityModel((("a", False, 1.0), ("b", False, 2.0)), ("a b c", "b", "c a"))
+    assert nested.mass(toxicity.fold("a b c a b")) == 0 and nested.mass(toxicity.fold("a d b")) == 1.0
+
+
+def test_forms_of_letters_are_folded():
+    assert toxicity.fold("𝐜𝓵𝔬𝚠ⓝ ｃｌｏｗｎ ᶜlοwո").split() == ["clown"] * 3
+    assert toxicity.fold("año").split() == ["año"]  # letters with marks are other letters
+
+
+def test_rare_insults_enter_and_chance_words_do_not(spark):
+    rng = random.Random(3)
+    common = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)]
+    rows, grades = [], []
+    for i in range(3000):
+        toxic = i % 2
+        words = [rng.choice(common) for _ in range(20)] + [f"only{''.join(rng.choice('abcdefgh') for _ in range(3))}"]
+        if toxic:
+            words.append("blockhead" if i % 3 else "numskull")
+            words += ["dunderpate"] if i % 74 == 1 else []  # 41 of 1,500 plans
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        grades.append((i, toxic))
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, PLAN), spark.createDataFrame(grades, "route_id long, toxic int"))
+    assert {e[0][:4] for e in model.entries} == {"bloc", "nums", "dund"}
+    assert model.density("a dunderpate") > 0 and model.density(" ".join(common)) == 0
+
+
 def test_toxicity_of_one_class_only(spark, graded):
     plans, grades, _ = graded
     model = toxicity.fit_toxicity(plans, grades.filter("toxic = 0"))
