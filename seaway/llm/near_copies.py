@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -28,14 +29,33 @@ from seaway.llm.texts import small_batches
 from seaway.operators.graph import connected_components
 from seaway.session import cut
 
-CHUNKS, SYMBOLS, ERRORS = 12, 6, 1  # 72 symbols: every pair with at most 23 different ones shares a key, and nearly all others that are alike
-FAR = 34  # more different symbols than these are no link: at 80 percent 14.4 are expected, with a deviation of 3.4
+LENGTH, ERRORS = 72, 1  # symbols of a signature; symbols of a chunk that may differ
+MISSED, BEYOND = 3e-6, 1e-7  # of pairs at the similarity: chance to share no key, chance to differ in more symbols than are compared
 SYMBOL = np.uint16
 BROADCAST_IDS = 1_000_000  # ids of candidate texts that are broadcast; more are joined by shuffle
 BROADCAST_KEYS = 2_000_000  # keys of larger buckets that are broadcast; more are joined by shuffle
 BROADCAST_SHINGLES = 4_000_000  # shingles of candidate sets (32 MB) that are broadcast; more are joined by shuffle
 TILE = 200_000  # shingles on each side of a tile of strays and family, about
-_SEEDS = mix(np.arange(1, CHUNKS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+_SEEDS = mix(np.arange(1, LENGTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """(chunks, most differing symbols) for a similarity: the fewest chunks that lose less than ``MISSED`` of the pairs at ``percent``.
+
+    At 80 and more these are 12 chunks of 6 symbols, so that every pair with at most 23 different ones shares a key, at 60 and 50
+    24 chunks of 3. Symbols of a pair at the similarity agree with its probability, each for itself; more similar
+    pairs are lost less often. Below 17 percent no chunk holds the bound, which is an error.
+    """
+    same = percent / 100
+    for size in (6, 4, 3, 2):
+        held = sum(comb(size, e) * (1 - same) ** e * same ** (size - e) for e in range(ERRORS + 1))
+        if (1 - held) ** (LENGTH // size) <= MISSED:
+            break
+    else:
+        raise ValueError("percent must be 17 or more: less similar sets rarely share a key")
+    chances = [comb(LENGTH, i) * (1 - same) ** i * same ** (LENGTH - i) for i in range(LENGTH + 1)]
+    far = next(f for f in range(LENGTH + 1) if sum(chances[f + 1 :]) <= BEYOND)
+    return LENGTH // size, far
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -49,7 +69,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return mix(low).astype(SYMBOL)
 
 
-def chunk_keys(signatures: np.ndarray, chunks: int = CHUNKS, errors: int = ERRORS) -> np.ndarray:
+def chunk_keys(signatures: np.ndarray, chunks: int, errors: int = ERRORS) -> np.ndarray:
     """Keys of each signature: one for every chunk and every choice of ``errors`` symbols of it left out. Shape (rows, keys)."""
     parts = signatures.astype(np.uint64).reshape(len(signatures), chunks, -1)
     keys = []
@@ -80,7 +100,7 @@ def shingle_signatures(plans: DataFrame, words: int, plan_id: str = "route_id",
     return x.mapInPandas(made, f"id {kind}, n_shingles long, set_key binary, signature binary")
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, chunks: int) -> DataFrame:
     """(key, id) of every class under every key of its signature."""
     kind = classes.schema["id"].dataType.simpleString()
 
@@ -89,7 +109,7 @@ def _keys(classes: DataFrame) -> DataFrame:
             for i in range(0, len(pdf), 2000):
                 part = pdf[i : i + 2000]
                 sig = np.frombuffer(b"".join(part.signature), SYMBOL).reshape(len(part), -1)
-                yield pd.DataFrame({"id": part["id"], "keys": list(chunk_keys(sig).view(np.int64))})
+                yield pd.DataFrame({"id": part["id"], "keys": list(chunk_keys(sig, chunks).view(np.int64))})
 
     x = classes.select("id", "signature").mapInPandas(made, f"id {kind}, keys array<long>")
     return x.select(F.explode("keys").alias("key"), "id")
@@ -106,6 +126,7 @@ class _Search:
     def __init__(self, plans: DataFrame, classes: DataFrame, words: int, percent: int, plan_id: str, plan_text: str):
         self.plans = plans.select(F.col(plan_id).alias("id"), F.col(plan_text).alias("text"))
         self.classes, self.words, self.percent = classes, words, percent
+        self.far = layout(percent)[1]
         self.kind = classes.schema["id"].dataType.simpleString()
         self.groups = classes.select("id", F.col("id").alias("component_id")).distinct()
 
@@ -131,12 +152,13 @@ class _Search:
         c = self.classes.select("id", "n", "signature")
         x = pairs.join(c.withColumnsRenamed({"id": "a", "n": "na", "signature": "sa"}), "a").join(c.withColumnsRenamed({"id": "b", "n": "nb", "signature": "sb"}), "b")
         x = x.filter(self.fits(F.least("na", "nb"), F.col("na"), F.col("nb")))
+        far = self.far
 
         def made(batches):
             for pdf in batches:
                 if len(pdf):
                     one, two = (np.frombuffer(b"".join(pdf[c]), SYMBOL).reshape(len(pdf), -1) for c in ("sa", "sb"))
-                    yield pdf.loc[(one != two).sum(axis=1) <= FAR, ["a", "b", "na", "nb"]]
+                    yield pdf.loc[(one != two).sum(axis=1) <= far, ["a", "b", "na", "nb"]]
 
         return x.mapInPandas(made, f"a {self.kind}, b {self.kind}, na long, nb long")
 
@@ -165,14 +187,14 @@ class _Search:
         """Links between texts that share a bucket but not yet a component; every such pair is compared on full sets.
 
         A text outside the largest component of its bucket is a stray of that component, its family. The strays of a family are
-        compared with each other and with the family's members, in tiles of about ``TILE`` shingles a side: a tile counts common
+        compared with each other and with the members whose buckets hold strays, in tiles of about ``TILE`` shingles a side: a tile counts common
         shingles as a matrix product and hands on only links, one for each stray and component. A family of any size is many tiles.
         """
         x = members.join(self.groups, "id").select("key", "id", "component_id")
         size = x.groupBy("key", "component_id").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "component_id")).alias("top"))
         tops = size.filter("parts > 1").select("key", F.col("top.component_id").alias("family"))
         strays = cut(x.join(tops, "key").filter("component_id <> family").select("family", "id", "component_id").distinct())
-        own = self.groups.join(strays.select(F.col("family").alias("component_id")).distinct(), "component_id").select(F.col("component_id").alias("family"), "id", "component_id")
+        own = x.join(tops, "key").filter("component_id = family").select("family", "id", "component_id").distinct()
         rows = strays.withColumn("stray", F.lit(True)).unionByName(own.withColumn("stray", F.lit(False)))
         rows = cut(rows.join(self.classes.groupBy("id").agg(F.max("n").alias("n")), "id"))
         blocks = lambda flag: F.ceil(F.sum(F.when(F.col("stray") == flag, F.col("n")).otherwise(0)) / float(TILE)).cast("int")
@@ -239,14 +261,16 @@ def near_copies(plans: DataFrame, words: int = 5, percent: int = 80, plan_id: st
     repeat an id are linked if any of their texts are. Equal sets are one class (found by key), so copies make no pairs.
     Other columns of ``plans`` are not used.
 
-    A link is lost only if two sets at the similarity differ in two or more symbols of all 12 chunks (at 80 percent less than
-    three in a million) or in more than ``FAR`` of all symbols (less than one in a million).
+    A link is lost only if two sets differ in two or more symbols of every chunk (less than three in a million at the
+    similarity) or in more symbols than ``layout`` allows (less than one in ten million). Both follow ``percent``, which must
+    be 17 to 100; below that a ``ValueError`` is raised.
     """
+    chunks, _ = layout(percent)
     signed = cut(shingle_signatures(plans, words, plan_id, plan_text))
     classes = cut(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
     search = _Search(plans, classes, words, percent, plan_id, plan_text)
-    shared = cut(_keys(classes).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
-    members = cut(_keys(classes).join(_small(shared.filter("m > 2").select("key", "lo"), BROADCAST_KEYS), "key"))
+    shared = cut(_keys(classes, chunks).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    members = cut(_keys(classes, chunks).join(_small(shared.filter("m > 2").select("key", "lo"), BROADCAST_KEYS), "key"))
     pairs = shared.filter("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(members.filter("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")))
     search.confirm(ordered(pairs, "a", "b"))
     search.join(search.rest(members.select("key", "id")))

@@ -86,13 +86,14 @@ def test_near_copies_of_empty_null_and_repeated_ids(spark):
 
 def test_pigeonhole_of_chunk_keys():
     rng = np.random.default_rng(3)
-    most = nc.CHUNKS * (nc.ERRORS + 1) - 1
+    chunks, _ = nc.layout(80)
+    most = chunks * (nc.ERRORS + 1) - 1
     for _ in range(200):
-        a = rng.integers(0, 1 << 16, nc.CHUNKS * nc.SYMBOLS).astype(nc.SYMBOL)
+        a = rng.integers(0, 1 << 16, nc.LENGTH).astype(nc.SYMBOL)
         b = a.copy()
         at = rng.choice(len(b), most, replace=False)
         b[at] ^= rng.integers(1, 1 << 16, most).astype(nc.SYMBOL)
-        keys = nc.chunk_keys(np.array([a, b]))
+        keys = nc.chunk_keys(np.array([a, b]), chunks)
         assert set(keys[0]) & set(keys[1])
 
 
@@ -236,3 +237,22 @@ def test_neighbours_of_tied_vectors_go_to_the_smaller_id(spark, monkeypatch, rel
         assert [tuple(r) for r in got] == want
     else:
         assert len({(r.query_id, r.node_id) for r in got} & {(w[0], w[2]) for w in want}) >= 36
+
+
+@pytest.mark.parametrize("percent", [50, 60])
+def test_links_of_other_similarities(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for i in range(150):  # pairs a little above and below the limit, by words that both texts or only one of them holds
+        both = [f"w{i}x{j}" for j in range(percent + rng.randint(-3, 6))]
+        own = 100 - len(both)
+        cut = rng.randint(0, own)
+        rows += [(2 * i, " ".join(both + [f"l{i}x{j}" for j in range(cut)])), (2 * i + 1, " ".join(both + [f"r{i}x{j}" for j in range(own - cut)]))]
+    got = {r.route_id: (r.n_shingles, r.component_id) for r in nc.near_copies(spark.createDataFrame(rows, PLAN), words=1, percent=percent).collect()}
+    assert got == plain_groups(rows, 1, percent)
+
+
+def test_layouts_of_similarities():
+    assert nc.layout(80) == (12, 34) and nc.layout(100) == (12, 0) and nc.layout(60)[0] == nc.layout(50)[0] == 24
+    with pytest.raises(ValueError):
+        nc.layout(10)
