@@ -178,12 +178,17 @@ def _ladder(t, a, b, c):
 
 
 @register("search_ports", f"""WITH p AS (SELECT port_id, CAST(port_id AS VARCHAR) AS pid, lower(port_name) AS nm, lower(concat_ws(' ', harbor_type, harbor_size)) AS al, lower(country) AS cy, lower(region_name) AS rg FROM v_ports),
+ qt AS (SELECT * FROM (VALUES {_QT}) t(i, q) UNION ALL SELECT 1000 + min(port_id), substr(nm, 1, 16) AS q FROM p GROUP BY q UNION ALL SELECT -1 - min(port_id), cy FROM p GROUP BY cy),
  s AS (SELECT CAST(i AS BIGINT) AS query_id, port_id, CASE WHEN regexp_full_match(q, '[0-9]+') THEN CASE WHEN pid = q THEN 1000 WHEN starts_with(pid, q) THEN 500 ELSE 0 END ELSE 0 END
-   + {_ladder('nm', 500, 300, 150)} + {_ladder('al', 400, 250, 100)} + CASE WHEN cy = q THEN 80 WHEN starts_with(cy, q) THEN 40 WHEN contains(rg, q) THEN 30 ELSE 0 END AS score FROM p CROSS JOIN (VALUES {_QT}) t(i, q))
+   + {_ladder('nm', 500, 300, 150)} + {_ladder('al', 400, 250, 100)} + CASE WHEN cy = q THEN 80 WHEN starts_with(cy, q) THEN 40 WHEN contains(rg, q) THEN 30 ELSE 0 END AS score FROM p CROSS JOIN qt)
  SELECT query_id, port_id, CAST(score AS BIGINT) AS score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, port_id) AS rank FROM s WHERE score > 0) WHERE rank <= 6""")
 def search_ports(spark, sf):
+    """Written-out terms, the beginnings of all port names, and all countries."""
+    p = named_ports(spark, sf)
     q = spark.createDataFrame([(i, t) for i, t in enumerate(_TERMS)], "query_id long, text string")
-    return po.search_ports(q, named_ports(spark, sf)).select("query_id", "port_id", "score", "rank")
+    names = p.groupBy(F.substring("port_name", 1, 16).alias("text")).agg((F.min("port_id") + 1000).alias("query_id"))
+    countries = p.groupBy(F.col("country").alias("text")).agg((-1 - F.min("port_id")).alias("query_id"))
+    return po.search_ports(q.unionByName(names).unionByName(countries), p)
 
 
 _PRJ = f"""ip AS (SELECT port_id, min(ring_id) AS ring_id FROM (SELECT port_id, ring_id FROM v_ports p JOIN v_ring_edges e ON {S.toggles('p.lon', 'p.lat', 'x1', 'y1', 'x2', 'y2')} GROUP BY 1, 2 HAVING COUNT(*) % 2 = 1) GROUP BY 1),

@@ -217,6 +217,26 @@ def test_search_scores(spark):
     assert got == {0: [(63130, 1000)], 1: [(631, 1000), (63130, 500)], 2: [(63130, 300), (631, 250), (7, 180)], 3: [(631, 40)]}
 
 
+def test_search_of_many_queries(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))
+    rows = [(i, word(), word() if i % 3 else None, word(), None if i % 7 == 0 else word()) for i in range(40)]
+    p = spark.createDataFrame(rows, "port_id long, port_name string, alternate_name string, country string, region_name string")
+    asked = [(i, rng.choice([word(), word().upper() + "\t", str(rng.randint(0, 40))])) for i in range(1500)] + [(5000, None), (5001, "\n "), (5002, "zzz"), (5003, "")]
+    got = {}
+    for r in ports.search_ports(spark.createDataFrame(asked, "query_id long, text string"), p).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.port_id, r.score))
+    steps = lambda t, q, a, b, c: a if t == q else b if t.startswith(q) else c if q in t else 0
+    for i, t in asked:
+        q, found = (t or "").strip().lower(), []
+        for pid, name, alt, country, region in rows if q else []:
+            s = (1000 if str(pid) == q else 500 if str(pid).startswith(q) else 0) if q.isdigit() else 0
+            s += steps(name, q, 500, 300, 150) + (steps(alt, q, 400, 250, 100) if alt else 0)
+            s += 80 if country == q else 40 if country.startswith(q) else 30 if q in (region or "") else 0
+            found += [(-s, pid)] if s else []
+        assert sorted(got.get(i, [])) == [(n + 1, pid, -s) for n, (s, pid) in enumerate(sorted(found)[:6])], (i, t)
+
+
 def test_progress_boundaries(spark):
     d = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 1.0, 0.0), (1, 3, 3.0, 0.0)], "route_id long, seq long, lon double, lat double")
     m = spark.createDataFrame([(0, 1, -5.0), (1, 1, hav((0, 0), (1, 0)) * 2), (2, 1, 1e9)], "mark_id long, route_id long, at_m double")
