@@ -106,8 +106,12 @@ _VC = S.hav_km("lon", "lat", "x2", "y2")
 def passage_plan(spark, sf):
     from seaway.sources.writers import passage_plan as op
 
-    wp = folds.navigational_waypoints(view(spark, sf, "v_track_points"), keys=["track_id"])
-    return op(wp, ["track_id"])
+    t, p = view(spark, sf, "v_track_points"), view(spark, sf, "v_ports").select("port_id", "port_name")
+    port = lambda end, key: p.select(F.col("port_id").alias(key), F.col("port_name").alias(end), F.col("port_id").alias(end + "_id"))
+    ends = t.select("track_id").distinct().withColumn("a", F.col("track_id")).withColumn("b", F.col("track_id") + 1)
+    ends = ends.join(port("departure", "a"), "a", "left").join(port("destination", "b"), "b", "left")
+    wp = folds.navigational_waypoints(t, keys=["track_id"])
+    return op(wp, ["track_id"], ends, F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
 @register("assemble_polyline", """SELECT route_id, CAST(ROW_NUMBER() OVER (PARTITION BY route_id ORDER BY part_no, seq) AS BIGINT) AS seq, lon, lat FROM (SELECT track_id AS route_id, seq // 9 AS part_no, seq, lon, lat FROM v_track_points

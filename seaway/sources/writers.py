@@ -56,22 +56,39 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat_text(df).write.mode("errorifexists").option("header", True).csv(path)
 
 
-def passage_plan(waypoints: DataFrame, keys: Sequence[str] = ("route_id",)) -> DataFrame:
+def passage_plan(waypoints: DataFrame, keys: Sequence[str] = ("route_id",), ends: DataFrame | None = None, generated: Column | None = None) -> DataFrame:
     """Text lines ``(key, line_no, line)`` of the passage plan of each route: comments, header, one line per waypoint.
 
+    ``ends`` has a row per route with its keys, ``departure``, ``departure_id``, ``destination`` and ``destination_id``; what is
+    null or has no row is N/A. ``generated`` is the time of the export, now if none is given, and written in UTC.
     Lines stay rows; a writer sorts by (key, line_no). Line numbers come from the waypoint index, so no route is collected.
     """
     line = F.format_string("%s,%.5f,%.5f,%.1f,%.1f,%.1f,%s,%.1f,%s", "name", "lat", "lon", "bearing", "leg_nm", "turn", "side", "cum_nm", "zone")
-    body = waypoints.select(*keys, (F.col("wp_index") + 5).alias("line_no"), line.alias("line"))
+    body = waypoints.select(*keys, (F.col("wp_index") + 6).alias("line_no"), line.alias("line"))
     total = waypoints.groupBy(*keys).agg(F.max("cum_nm").alias("nm"), F.max("cum_km").alias("km"))
-    key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    names = ("departure", "departure_id", "destination", "destination_id")
+    if ends is not None:
+        total = total.join(ends.groupBy(*keys).agg(F.min(F.struct(*names)).alias("e")).select(*keys, "e.*"), list(keys), "left")
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A")) if ends is not None else F.lit("N/A")
+    end = lambda title, c: F.concat(F.lit(f"# {title}: "), known(c), F.lit(" (WPI "), known(c + "_id"), F.lit(")"))
     dist = F.format_string("# Total Distance: %d NM (%d km)", F.floor(F.col("nm") + 0.5), F.floor(F.col("km") + 0.5))
-    heads = [F.lit("# PASSAGE PLAN VOYAGE EXPORT"), F.concat(F.lit("# Route: "), key), dist, F.lit("# Units: degrees, nautical miles"),
+    when = F.to_utc_timestamp(F.current_timestamp() if generated is None else generated, F.current_timezone())
+    heads = [F.lit("# ECDIS PASSAGE PLAN VOYAGE EXPORT"), end("Departure", "departure"), end("Destination", "destination"), dist,
+             F.concat(F.lit("# Generated: "), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")),
              F.lit("WP_NAME,LATITUDE,LONGITUDE,TRUE_BEARING_DEG,LEG_DIST_NM,TURN_DEG,TURN_DIR,CUMUL_DIST_NM,ZONE")]
     head = total.select(*keys, F.posexplode(F.array(*heads)).alias("i", "line")).select(*keys, (F.col("i") + 1).cast("bigint").alias("line_no"), "line")
     return head.unionByName(body)
 
 
+def plan_texts(lines: DataFrame, keys: Sequence[str] = ("route_id",)) -> DataFrame:
+    """(key, ``plan_text``): the lines of each passage plan as one text, in line order with line ends between them.
+
+    A row holds one whole plan, as the export does; null lines are left out.
+    """
+    x = lines.filter("line is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+    return x.select(*keys, F.array_join(F.transform("_l", lambda p: p["line"]), "\n").alias("plan_text"))
+
+
 def file_facts(spark: SparkSession, path: str) -> DataFrame:
     """Size and SHA-256 of every source file, hashed on the executors one file per row."""
     b = spark.read.format("binaryFile").load(path)

@@ -70,3 +70,16 @@ def test_lineage_counts_and_hash(spark, tmp_path):
     r = writers.lineage(d, d.filter("id > 0"), d.filter("id = 0"), writers.file_facts(spark, str(f))).first()
     assert (r.raw_record_count, r.processed_record_count, r.rejected_record_count, r.file_size_bytes) == (3, 2, 1, 3)
     assert r.files[0].sha256.startswith("ba7816bf")
+
+
+def test_passage_plans_as_lines_and_texts(spark):
+    w = spark.createDataFrame([(1, 1, "WP1", 59.123456, -3.0, 0.0, 0.0, 0.0, "-", 0.0, 0.0, "OCEAN"), (1, 2, "WP2", 60.0, -4.0, 330.04, 60.44, 12.0, "PORT", 60.44, 111.9, "ICE"), (2, 1, "WP1", 1.0, 2.0, 0.0, 0.0, 0.0, "-", 0.0, 0.0, "OCEAN")],
+                              "route_id long, wp_index long, name string, lat double, lon double, bearing double, leg_nm double, turn double, side string, cum_nm double, cum_km double, zone string")
+    ends = spark.createDataFrame([(1, "Kirkwall", 30600, None, None), (1, "Kirkwall", 30600, None, None)], "route_id long, departure string, departure_id long, destination string, destination_id long")
+    lines = writers.passage_plan(w, ends=ends, generated=F.lit("2024-02-01 10:00:00").cast("timestamp"))
+    got = {r.route_id: r.plan_text.split("\n") for r in writers.plan_texts(lines).collect()}
+    assert got[1][:4] == ["# ECDIS PASSAGE PLAN VOYAGE EXPORT", "# Departure: Kirkwall (WPI 30600)", "# Destination: N/A (WPI N/A)", "# Total Distance: 60 NM (112 km)"]
+    assert got[1][4].startswith("# Generated: 2024-") and got[1][4].endswith(":00:00.000Z")
+    assert got[1][6:] == ["WP1,59.12346,-3.00000,0.0,0.0,0.0,-,0.0,OCEAN", "WP2,60.00000,-4.00000,330.0,60.4,12.0,PORT,60.4,ICE"]
+    assert got[2][1] == "# Departure: N/A (WPI N/A)" and len(got[2]) == 7
+    assert writers.passage_plan(w.limit(0)).count() == 0 and writers.plan_texts(lines.limit(0)).count() == 0
